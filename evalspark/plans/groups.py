@@ -71,3 +71,30 @@ def join_groups(df: DataFrame, groups: DataFrame, on: Sequence[str], how: str =
 def scalar(df: DataFrame, value: str) -> Column:
     """A one-row aggregate as a scalar subquery: no join, no driver round trip."""
     return df.select(value).scalar()
+
+
+def running(df: DataFrame, by: Sequence[str], order: Sequence, values: dict[str, tuple]) -> DataFrame:
+    """Running aggregates over the strictly earlier rows of each group, balanced like rank_rows.
+
+    `values` maps an output column to (aggregate function, input column), for an aggregate that combines with itself
+    (sum, max, min). The first row of a group gets NULL.
+    """
+    by, order = list(by), [col(o) for o in order]
+    placed = cut_lineage(df.repartitionByRange(*[F.col(b) for b in by], *order)
+                         .withColumn("__part", F.spark_partition_id()))
+    local = Window.partitionBy(*by, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = placed.groupBy(*by, "__part").agg(*[f(c).alias(f"__p_{o}") for o, (f, c) in values.items()])
+    parts = parts.select(*by, "__part", *[f(f"__p_{o}").over(earlier).alias(f"__s_{o}") for o, (f, _) in values.items()])
+    rows = placed.select("*", *[f(c).over(local).alias(f"__l_{o}") for o, (f, c) in values.items()])
+    out = rows.join(parts, [*by, "__part"])
+    merge = {F.sum: lambda a, b: F.coalesce(a + b, a, b), F.max: F.greatest, F.min: F.least}
+
+    def combined(o: str, f) -> Column:
+        a, b = F.col(f"__l_{o}"), F.col(f"__s_{o}")
+        if f in merge and dict(out.dtypes)[f"__l_{o}"].startswith("struct"):
+            pick = (a > b) if f is F.max else (a < b)
+            return F.when(a.isNull(), b).when(b.isNull(), a).when(pick, a).otherwise(b)
+        return merge[f](a, b)
+
+    return out.select(*df.columns, *[combined(o, f).alias(o) for o, (f, _) in values.items()])

@@ -54,6 +54,9 @@ VIEWS = {
  SELECT l_orderkey AS item_id, (l_linenumber::BIGINT * 1000000 + l_partkey) * 10000 + l_suppkey AS inst_id,
   floor({_k("x")} * 200)::DOUBLE AS x, floor({_k("y")} * 200)::DOUBLE AS y, l_quantity AS r,
   {grain(_k("p"))} AS p, l_discount < 0.05::DOUBLE AS keep FROM lineitem""",
+    "instance_runs": f"""
+ SELECT item_id, inst_id, r, arm, seed, scale, {grain("0.5::DOUBLE * p + 0.5::DOUBLE * " + U("item_id", "inst_id", "arm", "seed", "scale"))} AS p
+ FROM instance, (VALUES ('full'), ('plain')) a(arm), seed_list, (VALUES (0), (1)) s(scale)""",
     "box": f"""
  SELECT CASE WHEN l_suppkey % 17 <> 0 THEN 'fields/' || file_name END AS image_path, * EXCLUDE (l_suppkey) FROM (
  SELECT l_suppkey, (l_suppkey % 20) || '_' || l_suppkey || '_1000_' ||
@@ -80,9 +83,9 @@ VIEWS = {
  SELECT item_id, pos // 8 AS row, pos % 8 AS col, greatest(value * 2.0::DOUBLE, 0.0::DOUBLE) AS heat,
   (pos // 8 BETWEEN 2 AND 5 AND pos % 8 BETWEEN 2 AND 5)::INT AS mask, value FROM vector""",
     "grey_items": f"""
- SELECT 's' || label AS source, vec_id::VARCHAR AS item_id, list_transform(embedding, x -> x::DOUBLE) AS grid
+ SELECT 's' || label AS source, vec_id::VARCHAR AS item_id, list_transform(embedding, lambda x: x::DOUBLE) AS grid
  FROM embeddings UNION ALL
- SELECT 'copy' || (label % 3), 'c' || vec_id, list_transform(range(64), i -> embedding[((i % 8) * 8 + 7 - i // 8 + 1)::INT]::DOUBLE
+ SELECT 'copy' || (label % 3), 'c' || vec_id, list_transform(range(64), lambda i: embedding[((i % 8) * 8 + 7 - i // 8 + 1)::INT]::DOUBLE
    * 1.001::DOUBLE) FROM embeddings WHERE {U("vec_id", "'copy'")} < 0.3::DOUBLE""",
     "train_log": f"""
  SELECT 'cls_' || arm || '_seed' || seed AS run_id, * FROM (

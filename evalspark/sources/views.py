@@ -21,6 +21,11 @@ def grain(x) -> "F.Column":
     return F.floor(x * F.lit(1000.0)) / F.lit(1000.0)
 
 
+def once(x) -> "F.Column":
+    """Keep a costly expression from being copied into every filter above it: filters do not move below a generator."""
+    return F.explode(F.array(x))
+
+
 def items(spark: SparkSession, folder: str) -> DataFrame:
     """One row per item: label, cohort, resampling unit (never mixing classes) and subtype."""
     o = table(spark, folder, "orders")
@@ -38,7 +43,7 @@ def prediction(spark: SparkSession, folder: str) -> DataFrame:
     d = items(spark, folder).withColumn("run", runs).select("*", "run.*").drop("run")
     d = d.withColumn("k", F.col("w") + F.lit(0.05) * F.col("seed")).withColumn("u", uniform("item_id", "arm", "seed"))
     p = F.lit(0.5) * F.col("k") * F.col("y") + F.col("u") * (F.lit(1.0) - F.lit(0.5) * F.col("k"))
-    return d.select("cohort", "arm", "seed", "item_id", "unit", "subtype", "y", grain(p).alias("p"))
+    return d.select("cohort", "arm", "seed", "item_id", "unit", "subtype", "y", once(grain(p)).alias("p"))
 
 
 def swap_scores(spark: SparkSession, folder: str) -> DataFrame:
@@ -46,7 +51,7 @@ def swap_scores(spark: SparkSession, folder: str) -> DataFrame:
     cond = F.explode(F.array(*[F.struct(F.lit(c).alias("condition"), F.lit(s).alias("s")) for c, s in SWAP.items()]))
     d = prediction(spark, folder).withColumn("c", cond).select("*", "c.*").drop("c")
     noisy = F.col("p") * (F.lit(1.0) - F.col("s")) + F.col("s") * uniform("item_id", "arm", "seed", "condition")
-    return d.withColumn("p", grain(noisy)).drop("s")
+    return d.withColumn("p", once(grain(noisy))).drop("s")
 
 
 SWAP = {"original": 0.0, "none": 0.5, "other0": 0.4, "other1": 0.4, "same0": 0.2, "same1": 0.2}
@@ -170,3 +175,12 @@ def duration_log(spark: SparkSession, folder: str) -> DataFrame:
                     .alias("cell"), F.col("value").alias("seconds"),
                     F.when(u < 0.7, "ok").when(u < 0.85, "skipped").when(u < 0.95, "failed").otherwise("interrupted")
                     .alias("status"))
+
+
+def instance_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Instance scores of every run, at two scales."""
+    runs = F.explode(F.array(*[F.struct(F.lit(a).alias("arm"), F.lit(s).alias("seed"), F.lit(k).alias("scale"))
+                               for a in ("full", "plain") for s in SEEDS for k in (0, 1)]))
+    d = instance(spark, folder).withColumn("run", runs).select("item_id", "inst_id", "r", "p", "run.*")
+    p = grain(0.5 * F.col("p") + 0.5 * uniform("item_id", "inst_id", "arm", "seed", "scale"))
+    return d.withColumn("p", once(p))
