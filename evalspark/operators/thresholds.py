@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from evalspark.functions.columns import clip, finite, logit, ratio, sigmoid
 from evalspark.operators import metrics as M
@@ -33,10 +35,12 @@ def _histogram(P: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def _state(hist: DataFrame, by: Sequence[str], rows: list[tuple], **cols: str) -> DataFrame:
-    """Loop state, one row per run: the only thing that travels through the driver."""
+    """Loop state, one row per run: the only thing that travels through the driver. Handed over as an Arrow table, it
+    becomes a local relation of known size, so Spark itself decides whether it is small enough to broadcast."""
     schema = T.StructType([hist.schema[b] for b in by] + [T.StructField(k, T._parse_datatype_string(v))
                                                           for k, v in cols.items()])
-    return hist.sparkSession.createDataFrame(rows, schema)
+    data = {f.name: [r[i] for r in rows] for i, f in enumerate(schema)}
+    return hist.sparkSession.createDataFrame(pa.table(data, schema=to_arrow_schema(schema)), schema)
 
 
 def prior_shift(P: DataFrame, by: Sequence[str], train_prior: float = 0.5, iters: int = 1000, tol: float = 1e-6,

@@ -83,10 +83,15 @@ VIEWS = {
  SELECT item_id, pos // 8 AS row, pos % 8 AS col, greatest(value * 2.0::DOUBLE, 0.0::DOUBLE) AS heat,
   (pos // 8 BETWEEN 2 AND 5 AND pos % 8 BETWEEN 2 AND 5)::INT AS mask, value FROM vector""",
     "grey_items": f"""
+ SELECT *, array_to_string(list_transform(grid, lambda v: floor(v * 1000.0::DOUBLE)::BIGINT::VARCHAR), ',') AS content FROM (
  SELECT 's' || label AS source, vec_id::VARCHAR AS item_id, list_transform(embedding, lambda x: x::DOUBLE) AS grid
  FROM embeddings UNION ALL
- SELECT 'copy' || (label % 3), 'c' || vec_id, list_transform(range(64), lambda i: embedding[((i % 8) * 8 + 7 - i // 8 + 1)::INT]::DOUBLE
-   * 1.001::DOUBLE) FROM embeddings WHERE {U("vec_id", "'copy'")} < 0.3::DOUBLE""",
+ SELECT 'copy' || (label % 3), 'c' || vec_id, CASE WHEN {U("vec_id", "'copy'")} < 0.1::DOUBLE THEN
+  list_transform(embedding, lambda x: x::DOUBLE) ELSE list_transform(range(64), lambda i: embedding[((i % 8) * 8 + 7 - i // 8 + 1)::INT]::DOUBLE
+   * 1.001::DOUBLE) END FROM embeddings WHERE {U("vec_id", "'copy'")} < 0.3::DOUBLE)""",
+    "doc_features": """
+ SELECT cls, item_id, ('0x' || substr(md5(line), 1, 15))::BIGINT AS code FROM (SELECT lang AS cls, doc_id AS item_id,
+  unnest(string_split(text, chr(10))) AS line FROM documents) WHERE line <> ''""",
     "train_log": f"""
  SELECT 'cls_' || arm || '_seed' || seed AS run_id, * FROM (
  SELECT (['blend', 'full', 'jitter', 'plain', 'base'])[(user_id % 5 + 1)::INT] AS arm, (user_id // 5)::BIGINT AS seed,

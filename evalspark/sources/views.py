@@ -121,17 +121,28 @@ def heat_grid(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def grey_items(spark: SparkSession, folder: str) -> DataFrame:
-    """8 x 8 grey grids per source: the embeddings, and a rotated, slightly perturbed copy of some of them."""
+    """8 x 8 grey grids per source: the embeddings, with exact copies of some and turned, rescaled copies of others."""
     e = table(spark, folder, "embeddings").withColumn("grid", F.transform("embedding", lambda v: v.cast("double")))
     base = e.select(F.concat(F.lit("s"), F.col("label").cast("string")).alias("source"),
                     F.col("vec_id").cast("string").alias("item_id"), "grid")
-    # rot90: out[r, c] = in[c, 7 - r]
+    # a quarter turn: out[r, c] = in[c, 7 - r]
     turned = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.get(
         "grid", ((i % 8) * 8 + 7 - F.floor(i / 8)).cast("int")) * F.lit(1.001))
-    copies = e.filter(uniform("vec_id", F.lit("copy")) < 0.3).select(
+    u = uniform("vec_id", F.lit("copy"))
+    copies = e.filter(u < 0.3).select(
         F.concat(F.lit("copy"), (F.col("label") % 3).cast("string")).alias("source"),
-        F.concat(F.lit("c"), F.col("vec_id").cast("string")).alias("item_id"), turned.alias("grid"))
-    return base.unionByName(copies)
+        F.concat(F.lit("c"), F.col("vec_id").cast("string")).alias("item_id"),
+        F.when(u < 0.1, F.col("grid")).otherwise(turned).alias("grid"))
+    grey = F.transform("grid", lambda v: F.floor(v * 1000.0).cast("string"))
+    return base.unionByName(copies).withColumn("content", F.concat_ws(",", grey))
+
+
+def doc_features(spark: SparkSession, folder: str) -> DataFrame:
+    """Local features of an item: one hashed code per non-empty line of a document; the class is its language."""
+    d = table(spark, folder, "documents")
+    lines = d.select(F.col("lang").alias("cls"), F.col("doc_id").alias("item_id"), F.explode(F.split("text", "\n")).alias("line"))
+    code = F.conv(F.substring(F.md5("line"), 1, 15), 16, 10).cast("bigint")
+    return lines.filter("line <> ''").select("cls", "item_id", code.alias("code"))
 
 
 def train_log(spark: SparkSession, folder: str) -> DataFrame:
