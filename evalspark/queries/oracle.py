@@ -68,7 +68,7 @@ VIEWS = {
   8.0::DOUBLE * floor({_k("x")} * 77) AS x, 8.0::DOUBLE * floor({_k("y")} * 77) AS y,
   CASE WHEN {_k("ws")} < 0.02::DOUBLE THEN 4.0::DOUBLE ELSE 16.0::DOUBLE + 8.0::DOUBLE * floor({_k("w")} * 4) END AS w,
   CASE WHEN {_k("hs")} < 0.02::DOUBLE THEN 4.0::DOUBLE ELSE 16.0::DOUBLE + 8.0::DOUBLE * floor({_k("h")} * 4) END AS h,
-  640 AS img_w, 640 AS img_h, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS annotation_id,
+  640 AS img_w, 640 AS img_h, ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS annotation_id,
   CASE WHEN l_orderkey % 2 = 0 THEN 'a.json' ELSE 'b.json' END AS source_json FROM lineitem)""",
     "features": """
  SELECT d.doc_id AS item_id, l.quality AS y, d.source AS unit, d.lang AS subtype,

@@ -73,7 +73,7 @@ def box(spark: SparkSession, folder: str) -> DataFrame:
     """Annotation boxes on the field of a supplier, on a coarse lattice so that overlaps and conflicts occur."""
     li = table(spark, folder, "lineitem")
     key = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    ann = (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")
+    ann = ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")
     category = (F.when(F.col("l_returnflag") == "A", "lymph")
                 .when((F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "F"), "mono")
                 .when((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "O"), "none").otherwise("blast"))
