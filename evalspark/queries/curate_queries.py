@@ -169,7 +169,7 @@ q("c24_class_weights", lambda s, d: rounded(C.class_weights(V.items(s, d), "subt
   "SELECT subtype, count(*) AS n, round((SELECT count(*) FROM items) / (4.0 * count(*)), 6) AS weight FROM items GROUP BY ALL")
 q("c25_content_digest", lambda s, d: C.content_digest(V.items(s, d), ["item_id", "y", "unit"], ["cohort"]),
   """SELECT cohort, sum(n)::BIGINT AS rows, sha256(string_agg(v, '' ORDER BY v)) AS digest FROM dg4 GROUP BY ALL""",
-  dg0="SELECT cohort, h, h || ':' || count(*) AS v, count(*) AS n FROM (SELECT cohort, sha256(concat_ws(chr(1), item_id, y, unit)) AS h FROM items) GROUP BY ALL",
+  dg0="SELECT cohort, h, h || ':' || count(*) AS v, count(*) AS n FROM (SELECT cohort, sha256(concat_ws(chr(1), item_id, y, unit)) AS h FROM items) GROUP BY cohort, h",
   dg8="SELECT cohort, substr(h, 1, 8) AS p, substr(h, 1, 8) || sha256(string_agg(v, '' ORDER BY v)) AS v, sum(n) AS n FROM dg0 GROUP BY cohort, substr(h, 1, 8)",
   dg4="SELECT cohort, substr(p, 1, 4) AS q, substr(p, 1, 4) || sha256(string_agg(v, '' ORDER BY v)) AS v, sum(n) AS n FROM dg8 GROUP BY cohort, substr(p, 1, 4)")
 q("c25_provenance_changed", lambda s, d: C.provenance_changed(
