@@ -33,12 +33,15 @@ def q(name, fn, body=None, **kw):
     Q[name] = (fn, sql(body, **kw) if body else None)
 
 
-mask = F.col("value") > 0.03
-q("x01_masked_stats", lambda s, d: rounded(X.masked_stats(V.heat_grid(s, d), ["item_id"], mask, "value", 26)),
+def mask():
+    return F.col("value") > 0.03
+
+
+q("x01_masked_stats", lambda s, d: rounded(X.masked_stats(V.heat_grid(s, d), ["item_id"], mask(), "value", 26)),
   """SELECT item_id, n, round(CASE WHEN n > 26 THEN m ELSE m0 END, 6) AS mean, round(CASE WHEN n > 26 THEN s ELSE s0 END, 6) AS sd FROM (SELECT item_id,
  count(*) FILTER (value > 0.03::DOUBLE) AS n, avg(value) FILTER (value > 0.03::DOUBLE) AS m, stddev_pop(value) FILTER (value > 0.03::DOUBLE) AS s,
  avg(value) AS m0, stddev_pop(value) AS s0 FROM heat_grid GROUP BY ALL)""")
-q("x02_in_mask_stats", lambda s, d: rounded(X.masked_stats(V.heat_grid(s, d), ["item_id"], mask, "value", 24, fallback=False)),
+q("x02_in_mask_stats", lambda s, d: rounded(X.masked_stats(V.heat_grid(s, d), ["item_id"], mask(), "value", 24, fallback=False)),
   """SELECT item_id, n, round(CASE WHEN n >= 24 THEN m END, 6) AS mean, round(CASE WHEN n >= 24 THEN s END, 6) AS sd FROM (SELECT item_id,
  count(*) FILTER (value > 0.03::DOUBLE) AS n, avg(value) FILTER (value > 0.03::DOUBLE) AS m, stddev_pop(value) FILTER (value > 0.03::DOUBLE) AS s
  FROM heat_grid GROUP BY ALL)""")
