@@ -65,6 +65,14 @@ q("x07_permutations", lambda s, d: X.permutations(V.features(s, d), 5),
 q("x07_permutation_control", lambda s, d: rounded(X.permutation_control(doc_prediction(s, d), X.standardise(V.features(s, d), COLS), COLS, 10)))
 q("x08_control_score", lambda s, d: X.control_score(V.features(s, d), COLS, "unit").select(
     "arm", *[F.round(c, 4).alias(c) for c in ("auc", "auc_residual", "r2")]))
+
+
+def swap_rounded(df):
+    """Shifts are means of three-decimal scores; eight places keep them clear of rounding ties."""
+    dp = [c for c in df.columns if c.startswith("dp_")]
+    return rounded(df.withColumns({c: F.round(c, 8) for c in dp}), keep=dp)
+
+
 SW = dict(
     sauc=auc_sql(f"{R}, condition", "swap_scores"),
     skind=f"SELECT {R}, regexp_replace(condition, '[0-9]+$', '') AS kind, avg(roc_auc) AS auc FROM sauc GROUP BY ALL",
@@ -73,8 +81,8 @@ SW = dict(
     swe=f"""SELECT {R}, max(auc) FILTER (kind = 'original') AS auc, max(auc) FILTER (kind = 'none') AS auc_none, max(auc) FILTER (kind = 'other') AS auc_other,
  max(auc) FILTER (kind = 'same') AS auc_same, max(dp) FILTER (kind = 'other') AS dp_towards_other_other, max(dp) FILTER (kind = 'same') AS dp_towards_other_same
  FROM skind LEFT JOIN sdp USING ({R}, kind) GROUP BY ALL""")
-q("x09_swap_effects", lambda s, d: rounded(X.swap_effects(V.swap_scores(s, d))),
-  f"""SELECT {R}, {", ".join(f"round({c}, 6) AS {c}" for c in ("auc", "auc_none", "auc_other", "auc_same", "dp_towards_other_other", "dp_towards_other_same"))},
+q("x09_swap_effects", lambda s, d: swap_rounded(X.swap_effects(V.swap_scores(s, d))),
+  f"""SELECT {R}, {", ".join(f"round({c}, {8 if c.startswith('dp') else 6}) AS {c}" for c in ("auc", "auc_none", "auc_other", "auc_same", "dp_towards_other_other", "dp_towards_other_same"))},
  round(auc - auc_other, 6) AS auc_drop_other, round(auc - auc_same, 6) AS auc_drop_same, round(auc_same - auc_other, 6) AS class_specific_effect FROM swe""", **SW)
 q("x10_swap_intervals", lambda s, d: rounded(X.swap_summary(X.swap_effects(V.swap_scores(s, d)), [("full", "plain"), ("blend", "jitter")])[0]))
 q("x10_swap_pairs", lambda s, d: rounded(X.swap_summary(X.swap_effects(V.swap_scores(s, d)), [("full", "plain"), ("blend", "jitter")])[1].drop("ci_low", "ci_high")),
