@@ -19,3 +19,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def work_folder(spark, name: str) -> str:
+    """A fresh folder beside the checkpoints, on the storage every executor shares."""
+    import uuid
+
+    context = spark.sparkContext
+    base = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        base = tempfile.mkdtemp(prefix="spark-work-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
