@@ -214,8 +214,8 @@ def transfer_audit(Fr: DataFrame, source: str, fit_source: str, cols: Sequence[s
     d = Fr.withColumn("__ok", complete)
     fit = d.filter(F.col("__ok") & (F.col(source) == fit_source))
     beta = logistic(standardise(fit, cols).withColumn("m", F.lit(0)), ["m"], cols, y)
-    scored = standardise(d.filter("__ok"), cols, fit=fit).withColumn("m", F.lit(0)).join(beta, "m").withColumn(
-        "p", sigmoid(linear(F.col("beta"), cols)))
+    weights = F.array(*[F.lit(v) for v in beta.first()["beta"]])
+    scored = standardise(d.filter("__ok"), cols, fit=fit).withColumn("p", sigmoid(linear(weights, cols)))
     auc = M.roc_auc(scored.withColumn("part", F.col(source)), ["part"], y=y)
     auc = auc.unionByName(cv_auc(fit, cols, y=y).select(F.lit(f"{fit_source} (cross-validated)").alias("part"),
                                                        F.col("cv_auc").alias("roc_auc")))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from evalspark.functions.columns import hamming, ratio
 from evalspark.functions.fingerprint import grid_fingerprints
 from evalspark.plans.components import connected_components  # noqa: F401  (part of this module's surface)
-from evalspark.plans.groups import join_groups, rank_rows
+from evalspark.plans.groups import join_groups, join_skewed, rank_rows
 
 H1_MAX, H2_MAX = 6, 10
 BLOCK = 20_000
@@ -118,10 +118,11 @@ def min_distance(df: DataFrame, source: str = "source", block: int = BLOCK) -> D
     f = df.select(source, "h1").distinct()
     hit = near_pairs(df).groupBy("source_a", "source_b").agg(F.min("d1").alias("min_distance"))
     n = f.groupBy(source).agg(F.ceil(F.count(F.lit(1)) / float(block)).cast("int").alias("k"))
-    left = n.select(F.col(source).alias("source_a"), F.col("k").alias("ka"), F.lit(1).alias("one"))
-    right = n.select(F.col(source).alias("source_b"), F.col("k").alias("kb"), F.lit(1).alias("one"))
-    todo = left.join(right, "one").filter("source_a < source_b").drop("one").join(
-        hit, ["source_a", "source_b"], "left_anti")
+    every = n.agg(F.sort_array(F.collect_list(F.struct(source, "k"))).alias("s"))  # one entry per source
+    left = every.select("s", F.posexplode("s").alias("i", "a"))
+    todo = left.select("a", F.explode(F.slice("s", F.col("i") + 2, F.size("s"))).alias("b")).select(
+        F.col(f"a.{source}").alias("source_a"), F.col("a.k").alias("ka"), F.col(f"b.{source}").alias("source_b"), F.col("b.k").alias("kb"))
+    todo = todo.join(hit, ["source_a", "source_b"], "left_anti")
     own = F.pmod(F.xxhash64("h1"), F.col("k")).cast("int")
     fb = join_groups(f, n, [source]).withColumn("own", own)
     q = fb.select(F.col(source).alias("source_a"), "h1", F.col("own").alias("i")).join(todo, "source_a").withColumn(
@@ -157,9 +158,10 @@ def feature_sets(codes: DataFrame, by: str = "cls", item: str = "item_id", code:
     """(contents, members): items with equal feature counts share a content whose id is the smallest item; contents are
     (cls, content, n, norm) with their features, members map every item to its content."""
     c = codes.groupBy(by, item, code).agg(F.count(F.lit(1)).alias("w"))
-    own = c.groupBy(by, item).agg(F.md5(F.concat_ws(",", F.sort_array(F.collect_list(
-        F.concat_ws(":", F.col(code).cast("string"), F.col("w").cast("string")))))).alias("digest"),
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("w") * F.col("w")).alias("norm"))
+    # two independent 64-bit sums identify the counts of an item whatever their order, without gathering them
+    sums = [F.sum(h.cast("decimal(38,0)")) for h in (F.xxhash64(code, "w"), F.xxhash64("w", code, F.lit(17)))]
+    own = c.groupBy(by, item).agg(F.concat_ws(":", *[x.cast("string") for x in sums]).alias("digest"),
+                                  F.count(F.lit(1)).alias("n"), F.sum(F.col("w") * F.col("w")).alias("norm"))
     content = own.groupBy(by, "digest").agg(F.min(item).alias("content"), F.count(F.lit(1)).alias("copies"))
     members = own.join(content, [by, "digest"]).select(by, item, "content", "copies", "n", "norm")
     feats = c.join(members.filter(F.col(item) == F.col("content")).select(by, item, "n", "norm", "copies"), [by, item])
@@ -176,11 +178,10 @@ def pairs_within(feats: DataFrame, min_matches: int, min_overlap: float) -> Data
     freq = feats.groupBy("cls", "code").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     need = F.greatest(F.lit(min_matches), F.ceil(F.col("n") * F.lit(min_overlap) - 1e-9)).cast("int")
     d = feats.join(freq, ["cls", "code"]).select("cls", "content", "n", need.alias("need"), F.struct("df", "code").alias("f"))
-    sets = d.groupBy("cls", "content", "n", "need").agg(F.sort_array(F.collect_list("f")).alias("fs"))
     # features seen once cannot be shared; they come first in the order and take up prefix places
-    keep = F.greatest(F.lit(0), F.col("n") - F.col("need") + 1 - (F.col("n") - F.size("fs"))).cast("int")
-    pre = sets.filter(keep > 0).select("cls", "content", "n", F.explode(F.slice("fs", F.lit(1), keep)).alias("f"))
-    pre = pre.select("cls", "content", "n", F.col("f.code").alias("code"))
+    shared = d.groupBy("cls", "content").agg(F.count(F.lit(1)).alias("shared"))
+    d = join_skewed(d.select("*", "f.df", "f.code").drop("f"), shared.withColumn("m", F.col("shared")), ["cls", "content"], "m")
+    pre = rank_rows(d.filter("shared >= need"), ["cls", "content"], ["df", "code"], "r").filter("r <= shared - need + 1")
     a = pre.select("cls", "code", F.col("content").alias("a"), F.col("n").alias("na"))
     b = pre.select("cls", "code", F.col("content").alias("b"), F.col("n").alias("nb"))
     fits = (F.least("na", "nb") >= F.lit(min_overlap) * F.greatest("na", "nb") - 1e-9) & (F.col("a") < F.col("b"))

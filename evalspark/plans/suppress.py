@@ -78,6 +78,8 @@ def _rounds(df: DataFrame, by: list[str], conflict, register: Column, probe: Col
         wins = near.groupBy(*by, *geometry, "__prio").agg(F.min("__first").alias("__first")).filter(
             F.col("__first") >= F.col("__prio")).drop("__first")
         wins = cut_lineage(wins)
+        if wins.isEmpty():
+            raise ValueError("geometry must not be NULL")
         kept = wins if kept is None else kept.unionByName(wins)
         k = _cells(wins, by, register).select("__cell", F.struct(*by, *geometry, "__prio").alias("k"))
         u = _cells(todo, by, probe).select("__cell", F.struct(*by, *geometry, "__prio").alias("u"))
