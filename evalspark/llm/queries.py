@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from evalspark.llm.bpe import encode_documents
 from evalspark.llm.exact_dedup import exact_dedup
+from evalspark.llm.language import held_out, identify, train
 from evalspark.llm.mixing import mix
+from evalspark.llm.neighbours import nearest
 from evalspark.sources.tables import table
 
 Q: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -43,3 +45,15 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_mixing")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return mix(table(spark, folder, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+@query("op1_neighbours")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest(table(spark, folder, "embeddings"), query_step=20, k=20)
+
+
+@query("op4_language")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    told = identify(docs.select("doc_id", "text"), train(docs))
+    return told.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
