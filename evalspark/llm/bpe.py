@@ -39,7 +39,8 @@ class Bpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = {i: s for s, i in self.ids.items()} | {i: s for s, i in self.special.items()}
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        self.merges = {(self.ids[a], self.ids[b]): (rank, self.ids[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.rank = {self.ids[a] << 20 | self.ids[b]: r for r, (a, b) in enumerate(pairs)}
+        self.made = [self.ids[a + b] for a, b in pairs]
         self.letters = byte_letters()
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
         self.pieces = regex.compile(split.replace(r"\s", r"\p{White_Space}"))
@@ -48,26 +49,31 @@ class Bpe:
         self.known: dict[str, tuple[str, str, int]] = {}
 
     def merge(self, word: str) -> list[int]:
-        """Ids of one word. Symbols form a doubly linked list; a queue holds (rank, position, pair) of neighbours. An
-        entry whose pair no longer stands at its position is stale and skipped."""
+        """Ids of one word. Symbols form a doubly linked list; a queue holds rank << 32 | position of neighbours that
+        merge. A rank names one pair, so an entry is stale, and skipped, unless its pair still stands at its position."""
         letters = [self.letters[b] for b in word.encode("utf-8")]
         letters[-1] += self.end
         symbol = [self.ids[x] for x in letters]
-        n = len(symbol)
+        n, rank = len(symbol), self.rank.get
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        queue = [(m[0], i, symbol[i], symbol[i + 1], m[1]) for i in range(n - 1) if (m := self.merges.get((symbol[i], symbol[i + 1])))]
+        queue = [r << 32 | i for i in range(n - 1) if (r := rank(symbol[i] << 20 | symbol[i + 1])) is not None]
         heapq.heapify(queue)
         while queue:
-            _, i, a, b, new = heapq.heappop(queue)
+            entry = heapq.heappop(queue)
+            i, r = entry & 0xFFFFFFFF, entry >> 32
             j = after[i]
-            if symbol[i] != a or j < 0 or symbol[j] != b:
+            if j < 0 or symbol[i] < 0 or rank(symbol[i] << 20 | symbol[j]) != r:
                 continue
-            symbol[i], symbol[j], after[i] = new, -1, after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            for left, right in ((before[i], i), (i, after[i])):
-                if left >= 0 and right >= 0 and (m := self.merges.get((symbol[left], symbol[right]))):
-                    heapq.heappush(queue, (m[0], left, symbol[left], symbol[right], m[1]))
+            new = self.made[r]
+            symbol[i], symbol[j] = new, -1
+            after[i] = k = after[j]
+            if k >= 0:
+                before[k] = i
+                if (r := rank(new << 20 | symbol[k])) is not None:
+                    heapq.heappush(queue, r << 32 | i)
+            h = before[i]
+            if h >= 0 and (r := rank(symbol[h] << 20 | new)) is not None:
+                heapq.heappush(queue, r << 32 | h)
         return [s for s in symbol if s >= 0]
 
     @staticmethod
@@ -84,16 +90,6 @@ class Bpe:
             out += [part] if part in self.special else self.pieces.findall(self.normalise(part))
         return out
 
-    def learn(self, words: list[str]) -> None:
-        """Encode the words not yet known; what is kept is bounded by CACHE_WORDS and the words of one text."""
-        new = set(words) - self.known.keys()
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            new = set(words)
-        for w in new:
-            ids = [self.special[w]] if w in self.special else self.merge(w)
-            self.known[w] = (" ".join(map(str, ids)), self.decode(ids), len(ids))
-
     def encode(self, text: str) -> list[int]:
         return [i for w in self.words(text) for i in ([self.special[w]] if w in self.special else self.merge(w))]
 
@@ -102,10 +98,18 @@ class Bpe:
         return " ".join(self.strings[i] for i in ids)
 
     def encoded(self, text: str) -> tuple[str, str, int]:
-        """Decimal ids with spaces, decoded text, number of ids, by way of the known words."""
+        """Decimal ids with spaces, decoded text, number of ids. Words met before are looked up; CACHE_WORDS of them are
+        kept, which are the frequent ones, as those are met first."""
         words = self.words(text)
-        self.learn(words)
-        found = list(map(self.known.__getitem__, words))
+        found = list(map(self.known.get, words))
+        if None in found:
+            new = {w: None for w, f in zip(words, found) if f is None}
+            for w in new:
+                ids = [self.special[w]] if w in self.special else self.merge(w)
+                new[w] = (" ".join(map(str, ids)), self.decode(ids), len(ids))
+            if len(self.known) < CACHE_WORDS:
+                self.known.update(new)
+            found = [f or new[w] for w, f in zip(words, found)]
         return " ".join([f[0] for f in found]), " ".join([f[1] for f in found]), sum([f[2] for f in found])
 
 
