@@ -11,6 +11,7 @@ from evalspark.llm.exact_dedup import exact_dedup
 from evalspark.llm.language import held_out, identify, train
 from evalspark.llm.mixing import mix
 from evalspark.llm.neighbours import nearest
+from evalspark.llm.ngram_join import ngram_groups
 from evalspark.sources.tables import table
 
 Q: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -57,3 +58,23 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     told = identify(docs.select("doc_id", "text"), train(docs))
     return told.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query("op2_ngram_join", """
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x : x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [ws]
+             ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i : ws[i:i + 2])) END AS sh FROM w),
+u AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+f AS (SELECT g, count(*) AS df FROM u GROUP BY g HAVING df > 1),
+r AS (SELECT u.*, row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(df, 1), g) AS place, df FROM u LEFT JOIN f USING (g)),
+p AS (SELECT * FROM r WHERE place <= n - (9 * n + 9) // 10 + 1 AND df > 1),
+c AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb FROM p a JOIN p b ON a.g = b.g AND a.doc_id < b.doc_id),
+l AS (SELECT c.a, c.b FROM c JOIN u x ON x.doc_id = c.a JOIN u y ON y.doc_id = c.b AND y.g = x.g
+      GROUP BY c.a, c.b, c.na, c.nb HAVING 190 * count(*) >= 90 * (c.na + c.nb)),
+e AS (SELECT a AS x, b AS y FROM l UNION SELECT b, a FROM l),
+t(x, y) AS (SELECT x, y FROM e UNION SELECT t.x, e.y FROM t JOIN e ON t.y = e.x)
+SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id
+FROM s LEFT JOIN (SELECT x, min(y) AS m FROM t GROUP BY x) ON x = doc_id""")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_groups(table(spark, folder, "documents"), words=3, percent=90).select("doc_id", "n_shingles", "component_id")
