@@ -21,6 +21,7 @@ BUCKET_BITS = 18
 CHUNKS = 64
 FRAGMENTS = 8
 HUB_ROWS = 1000
+BITMAP_BITS = 23
 
 
 def _bucket(tokens: np.ndarray) -> np.ndarray:
@@ -97,11 +98,27 @@ def _signatures(docs: DataFrame, counts, words: int, percent: int, kind: str) ->
     return docs.mapInArrow(run, f"doc_id {kind}, n bigint, digest binary, typical int, prefix array<bigint>")
 
 
-def _segments(docs: DataFrame, cuts, words: int, kind: str) -> DataFrame:
-    """(doc_id, fragment, tokens): the set of each document, cut at the fragments."""
+def _bitmap(ids: DataFrame) -> np.ndarray:
+    """Which of 2^BITMAP_BITS hash values occur among the ids: a filter of fixed size (1 MB) that lets a scan leave out
+    most documents before it does any work; what it lets through by chance is dropped by the joins that follow."""
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(1 << BITMAP_BITS))
+    rows = ids.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
+    out = np.zeros((1 << BITMAP_BITS) + (1 << 15) * 2, bool)
+    for r in rows:  # buckets count from 1, and position p of a bucket is bit p % 8 of byte p // 8
+        bits = np.unpackbits(np.frombuffer(bytes(r.bits), np.uint8), bitorder="little")
+        out[r.k * (1 << 15):r.k * (1 << 15) + len(bits)] = bits
+    return out
+
+
+def _segments(docs: DataFrame, ids: DataFrame, cuts, words: int, kind: str) -> DataFrame:
+    """(doc_id, fragment, tokens) of the documents named, and of a few more: their sets, cut at the fragments."""
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(1 << BITMAP_BITS))
+    wanted = docs.sparkSession.sparkContext.broadcast(np.packbits(_bitmap(ids)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = cuts.value
+        table, bits = cuts.value, np.unpackbits(wanted.value).astype(bool)
         for batch in batches:
+            batch = batch.filter(pa.array(bits[batch.column("k").to_numpy() * (1 << 15) + batch.column("p").to_numpy()]))
             for i, t in zip(batch.column("doc_id"), batch.column("text")):
                 s = shingle_set(t.as_py(), words)
                 f = table[_bucket(s)]
@@ -110,7 +127,8 @@ def _segments(docs: DataFrame, cuts, words: int, kind: str) -> DataFrame:
                                                   pa.array([s[f == x].view(np.int64) for x in found], pa.list_(pa.int64()))],
                                                  ["doc_id", "fragment", "tokens"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, fragment int, tokens array<bigint>")
+    placed = docs.withColumns({"k": F.bitmap_bucket_number(at), "p": F.bitmap_bit_position(at)})
+    return placed.mapInArrow(run, f"doc_id {kind}, fragment int, tokens array<bigint>")
 
 
 def _possible(n1: Column, at1: Column, n2: Column, at2: Column, percent: int) -> Column:
@@ -125,7 +143,7 @@ def _links(pairs: DataFrame, docs: DataFrame, cuts, words: int, percent: int, ki
     pairs is repeated over salts."""
     pairs = cut_lineage(pairs)
     used = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    segments = cut_lineage(_segments(docs.join(used, "doc_id", "left_semi"), cuts, words, kind))
+    segments = cut_lineage(_segments(docs, used, cuts, words, kind))
     degree = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("degree"))
     hubs = segments.withColumnsRenamed({"doc_id": "a", "tokens": "ta"}).join(degree, "a").groupBy("a").agg(
         F.collect_list(F.struct("fragment", "ta")).alias("segs"), F.max("degree").alias("degree"))
@@ -147,8 +165,8 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Equal sets are one class first, so copies never pair up. Each class is listed under its rarest n-grams (prefix
     filter; n-grams found everywhere come last in the order). The classes of a list are compared with one hub each, the
     class whose n-grams are the most common, that is, the one nearest to the middle of a family of near copies; after
-    that only pairs of a list that are still in different components are compared, each outsider with the others. So a
-    family costs as many comparisons as it has members, and the pairs that are skipped cannot change a component.
+    that each member of a list that did not link to its hub is compared with the others. Two members that link to the hub
+    are in one component already, so a family costs as many comparisons as it has members, not pairs.
     Comparisons ship sets cut at FRAGMENTS fragments of the global order; each fragment counts its part of the overlap
     and the parts are summed per pair.
 
@@ -163,28 +181,31 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     counts, cuts = context.broadcast(sketch), context.broadcast(fragment_table(sketch))
     rows = cut_lineage(_signatures(base, counts, words, percent, kind))
     classes = cut_lineage(rows.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("members")))
-    heads = (rows.filter("size(prefix) > 0").join(classes.select("digest", F.col("class_id").alias("doc_id")), ["digest", "doc_id"])
-             .dropDuplicates(["doc_id"]))
-    listed = heads.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), "typical", F.posexplode("prefix").alias("at", "token"))
-    lists = cut_lineage(listed.groupBy("token").agg(
-        F.max_by(F.struct("b", "nb", "at"), F.struct("typical", "b")).alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1"))
-    shared = cut_lineage(join_by_size(listed, lists, ["token"], "size"))
-    unlike = F.col("b") != F.col("hub.b")
-    first = shared.filter(unlike & _possible(F.col("nb"), F.col("at"), F.col("hub.nb"), F.col("hub.at"), percent))
-    first = first.select(F.col("hub.b").alias("a"), F.col("hub.nb").alias("na"), "b", "nb").distinct()
+    heads = cut_lineage(rows.filter("size(prefix) > 0").join(classes.select("digest", F.col("class_id").alias("doc_id")), ["digest", "doc_id"])
+                        .select("doc_id", F.col("n").alias("nb"), "typical", "prefix").dropDuplicates(["doc_id"]))
+    listed = heads.select(F.col("doc_id").alias("b"), F.posexplode("prefix").alias("at", "token"))
+    lists = cut_lineage(listed.groupBy("token").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
+    shared = join_by_size(listed, lists, ["token"], "size").join(heads.select(F.col("doc_id").alias("b"), "nb", "typical"), "b")
+    shared = cut_lineage(shared.select("token", "b", "nb", "at", "typical"))
+    hubs = cut_lineage(shared.groupBy("token").agg(F.max_by(F.struct("b", "nb", "at"), F.struct("typical", "b")).alias("hub"),
+                                                   F.count(F.lit(1)).alias("size")))
+    shared = join_by_size(shared.drop("typical"), hubs, ["token"], "size").select(
+        "token", "b", "nb", "at", F.col("hub.b").alias("a"), F.col("hub.nb").alias("na"), F.col("hub.at").alias("a_at"))
+    shared = cut_lineage(shared.filter("a <> b"))
+    first = cut_lineage(shared.filter(_possible(F.col("nb"), F.col("at"), F.col("na"), F.col("a_at"), percent))
+                        .select("a", "na", "b", "nb").distinct())
     links = cut_lineage(_links(first, base, cuts, words, percent, kind))
-    nodes = shared.select(F.col("b").alias("node")).distinct()
-    parts = cut_lineage(connected_components(nodes, links, out="part"))
-
-    placed = shared.join(parts.withColumnRenamed("node", "b"), "b")
-    placed = placed.join(parts.select(F.col("node").alias("hub_id"), F.col("part").alias("hub_part")), placed["hub.b"] == F.col("hub_id"))
-    placed = cut_lineage(placed.select("token", "b", "nb", "at", "part", "hub_part"))
-    out = placed.filter("part <> hub_part").select("token", *[F.col(c).alias(f"o_{c}") for c in ("b", "nb", "at", "part")])
-    crossing = out.join(placed, "token").filter((F.col("part") != F.col("o_part")) & ((F.col("part") == F.col("hub_part")) | (F.col("b") < F.col("o_b")))
+
+    near = links.withColumn("near", F.lit(True))
+    placed = cut_lineage(shared.join(near, ["a", "b"], "left").select("token", "b", "nb", "at", F.coalesce("near", F.lit(False)).alias("near")))
+    out = placed.filter("not near").select("token", *[F.col(c).alias(f"o_{c}") for c in ("b", "nb", "at")])
+    crossing = out.join(placed, "token").filter((F.col("b") != F.col("o_b")) & (F.col("near") | (F.col("b") < F.col("o_b")))
                                                 & _possible(F.col("nb"), F.col("at"), F.col("o_nb"), F.col("o_at"), percent))
-    second = crossing.select(F.col("o_b").alias("a"), F.col("o_nb").alias("na"), "b", "nb").distinct()
-    second = second.join(first.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti").join(first.select("a", "b"), ["a", "b"], "left_anti")
-    links = cut_lineage(links.unionByName(_links(second.select("a", "na", "b", "nb"), base, cuts, words, percent, kind)))
+    second = crossing.select(F.greatest("b", "o_b").alias("a"), F.when(F.col("b") > F.col("o_b"), F.col("nb")).otherwise(F.col("o_nb")).alias("na"),
+                             F.least("b", "o_b").alias("b"), F.when(F.col("b") > F.col("o_b"), F.col("o_nb")).otherwise(F.col("nb")).alias("nb")).distinct()
+    known = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    second = second.join(known, ["a", "b"], "left_anti").select("a", "na", "b", "nb")
+    links = cut_lineage(links.unionByName(_links(second, base, cuts, words, percent, kind)))
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     linked = connected_components(ends.select("node"), links, out="component_id").join(ends, "node")
     final = cut_lineage(classes.join(linked.withColumnRenamed("node", "class_id"), "class_id", "left").select(
