@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from evalspark.llm.bpe import encode_documents
 from evalspark.llm.exact_dedup import exact_dedup
+from evalspark.llm.html_text import extract
 from evalspark.llm.language import held_out, identify, train
+from evalspark.llm.line_dedup import line_dedup
 from evalspark.llm.mixing import mix
 from evalspark.llm.neighbours import nearest
 from evalspark.llm.ngram_join import ngram_groups
+from evalspark.llm.secrets import labelled_findings, scan
+from evalspark.llm.secrets import train as train_forest
 from evalspark.sources.tables import table
 
 Q: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -78,3 +82,18 @@ SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, least(doc_id, coalesce(m,
 FROM s LEFT JOIN (SELECT x, min(y) AS m FROM t GROUP BY x) ON x = doc_id""")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_groups(table(spark, folder, "documents"), words=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op6_html_text")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return extract(table(spark, folder, "pages"))
+
+
+@query("op9_line_dedup")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup(table(spark, folder, "documents"))
+
+
+@query("op10_secrets")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return scan(table(spark, folder, "documents"), train_forest(labelled_findings(spark)))

@@ -1,5 +1,6 @@
-"""All queries of this folder."""
+"""All queries of this folder, and the pipeline at the repository's top."""
 
-from evalspark.llm.queries import Q
+from corpus_pipeline import ORACLE_SQL, run
+from evalspark.llm.queries import Q as _QUERIES
 
-__all__ = ["Q"]
+Q = _QUERIES | {"pipeline": (run, ORACLE_SQL)}
