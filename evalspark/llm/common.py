@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalspark.plans.lineage import cut_lineage
+
 WORD = r"[^\x20\x09-\x0D]+"
 HOT_PARTS = 10_000
 
@@ -44,3 +46,19 @@ def join_by_size(rows: DataFrame, groups: DataFrame, on: Sequence[str], size: st
     warm = tried.filter(F.col("__hot").isNotNull()).select(*rows.columns, *[F.col(f"__hot.{c}").alias(c) for c in rest])
     return warm.unionByName(tried.filter(F.col("__hot").isNull()).select(*rows.columns).join(cold, on, how)
                             .select(*rows.columns, *rest))
+
+
+FILTER_BITS = 23
+
+
+def maybe_among(rows: DataFrame, ids: DataFrame, key: str, negate: bool = False) -> DataFrame:
+    """The rows whose key may be among `ids` (all that are, and a few by chance), or with `negate` the others, of which
+    none is. It spares a scan the shuffle of most rows before an exact join. The filter is a bitmap over 2^FILTER_BITS
+    hash values, at most 256 rows of 4 KB whatever the input, so it is broadcast."""
+    at = F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS))
+    bits = cut_lineage(ids.groupBy(F.bitmap_bucket_number(at).alias("__k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("__bits")))
+    place = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = F.coalesce(F.floor(byte / F.pow(F.lit(2.0), place % 8)) % 2 == 1, F.lit(False))
+    tried = rows.withColumn("__k", F.bitmap_bucket_number(at)).join(F.broadcast(bits), "__k", "left")
+    return tried.filter(~bit if negate else bit).select(*rows.columns)

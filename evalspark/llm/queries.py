@@ -14,6 +14,7 @@ from evalspark.llm.line_dedup import line_dedup
 from evalspark.llm.mixing import mix
 from evalspark.llm.neighbours import nearest
 from evalspark.llm.ngram_join import ngram_groups
+from evalspark.llm.repeats import remove_repeats
 from evalspark.llm.secrets import labelled_findings, scan
 from evalspark.llm.secrets import train as train_forest
 from evalspark.sources.tables import table
@@ -97,3 +98,8 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_secrets")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return scan(table(spark, folder, "documents"), train_forest(labelled_findings(spark)))
+
+
+@query("op3_repeats")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeats(table(spark, folder, "documents"), span=400).drop("kept")
