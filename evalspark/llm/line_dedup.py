@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import join_by_size, plain
+from evalspark.llm.common import join_by_size, maybe_among, plain
 from evalspark.plans.lineage import cut_lineage
 
 PIECE = 64
@@ -43,8 +43,8 @@ def near_lines(docs: DataFrame, distinct: DataFrame, min_fuzzy: int) -> DataFram
     keyed = cut_lineage(long.select(*LINE, "first", F.explode("keys").alias("key")))
     shared = cut_lineage(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
     some = join_by_size(keyed, shared, ["key"], "size").select(*LINE, "first").distinct()
-    some = some.withColumns({"doc_id": F.col("first.doc_id"), "line_no": F.col("first.line_no")})
-    texts = cut_lineage(_lines(docs.join(some.select("doc_id").distinct(), "doc_id", "left_semi")).drop(*LINE).join(some, ["doc_id", "line_no"])
+    some = cut_lineage(some).withColumns({"doc_id": F.col("first.doc_id"), "line_no": F.col("first.line_no")})
+    texts = cut_lineage(_lines(maybe_among(docs, some.select("doc_id"), "doc_id")).drop(*LINE).join(some, ["doc_id", "line_no"])
                         .select(*LINE, "first", "line"))
     # role 0: the line as it may be substituted in or added to; role 1: as the longer line, whose piece has one letter more
     pieces = F.sequence(F.lit(0), F.floor((F.col("n") - 1) / PIECE).cast("int"))
@@ -108,9 +108,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     late = cut_lineage(late.filter("near or places > 1"))
     drops = join_by_size(_lines(base).drop("line"), late, LINE, "places")
     drops = drops.filter("near or doc_id <> first.doc_id or line_no <> first.line_no")
-    drops = drops.groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
+    drops = cut_lineage(drops.groupBy("doc_id").agg(F.collect_set("line_no").alias("gone")))
     split = docs.select(docs[id_col].alias("doc_id"), F.split(docs[text_col], "\n").alias("lines"), F.struct(F.lit(0).alias("__"), *carry).alias("rest"))
-    out = split.join(drops, "doc_id", "left")
+    changed = maybe_among(split, drops.select("doc_id"), "doc_id").join(drops, "doc_id", "left")
+    out = changed.unionByName(maybe_among(split, drops.select("doc_id"), "doc_id", negate=True), allowMissingColumns=True)
     gone = F.coalesce("gone", F.expr("cast(array() as array<int>)"))
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), gone)
     return out.select("doc_id", F.coalesce(F.size("lines"), F.lit(0)).alias("n_lines"), F.size(gone).alias("n_dropped"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from evalspark.llm.common import plain
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_=.-]*[0-9])[A-Za-z0-9+/_=.-]{16,}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/_.-]*[0-9])[A-Za-z0-9+/_.-]{16,}={0,2}"
 # Words that make up identifiers, and words beside a finding that speak for or against it.
 DICTIONARY = ("account access api app auth base build cache class client code com config data date default demo dev file get html http https id image index "
               "info json key lib list local log main name node num org page path php post prod public query read request response sample server set src "
@@ -44,8 +44,8 @@ def features(found: DataFrame) -> DataFrame:
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, word_no, token, word, before, after): every run of 16 or more letters, digits and + / _ = . - that holds a
-    digit, with the word it stands in and the three words before and one after it. Texts without one are left at the
+    """(doc_id, word_no, token, word, before, after): every run of 16 or more letters, digits and + / _ . - that holds a
+    digit (with up to two = at its end), with the word it stands in and the three words before and one after it. Texts without one are left at the
     scan; of the others only the words around candidates leave it."""
     base = plain(docs, doc_id=id_col, text=text_col).filter(F.col("text").rlike(CANDIDATE)).select("doc_id", F.split("text", r"[\x20\x09-\x0D]+").alias("words"))
     pad = F.array(F.lit(""))
