@@ -138,9 +138,9 @@ def _possible(n1: Column, at1: Column, n2: Column, at2: Column, percent: int) ->
     return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & ((100 + percent) * most >= need)
 
 
-def _links(pairs: DataFrame, docs: DataFrame, cuts, words: int, percent: int, kind: str) -> DataFrame:
-    """The pairs (a, na, b, nb) that link: overlaps are counted per fragment and summed per pair. A hub with very many
-    pairs is repeated over salts."""
+def _overlaps(pairs: DataFrame, docs: DataFrame, cuts, words: int, percent: int, kind: str) -> DataFrame:
+    """(a, b, near, far) of the pairs (a, na, b, nb) that share an n-gram: whether they link, and their Jaccard distance.
+    Overlaps are counted per fragment and summed per pair. A hub with very many pairs is repeated over salts."""
     pairs = cut_lineage(pairs)
     used = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     segments = cut_lineage(_segments(docs, used, cuts, words, kind))
@@ -152,7 +152,9 @@ def _links(pairs: DataFrame, docs: DataFrame, cuts, words: int, percent: int, ki
     both = one.join(segments.withColumnsRenamed({"doc_id": "b", "tokens": "tb"}), ["b", "fragment"])
     partial = both.select("a", "na", "b", "nb", F.size(F.array_intersect("ta", "tb")).cast("bigint").alias("common"))
     total = partial.groupBy("a", "na", "b", "nb").agg(F.sum("common").alias("common"))
-    return total.filter((100 + percent) * F.col("common") >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
+    size = F.col("na") + F.col("nb")
+    return total.select("a", "b", ((100 + percent) * F.col("common") >= percent * size).alias("near"),
+                        (1.0 - F.col("common") / (size - F.col("common"))).alias("far"))
 
 
 def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -166,7 +168,8 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     filter; n-grams found everywhere come last in the order). The classes of a list are compared with one hub each, the
     class whose n-grams are the most common, that is, the one nearest to the middle of a family of near copies; after
     that each member of a list that did not link to its hub is compared with the others. Two members that link to the hub
-    are in one component already, so a family costs as many comparisons as it has members, not pairs.
+    are in one component already, so a family costs as many comparisons as it has members, not pairs; and as the Jaccard
+    distance is a metric, two members whose distances to the hub differ by more than the bound need no comparison.
     Comparisons ship sets cut at FRAGMENTS fragments of the global order; each fragment counts its part of the overlap
     and the parts are summed per pair.
 
@@ -194,18 +197,20 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = cut_lineage(shared.filter("a <> b"))
     first = cut_lineage(shared.filter(_possible(F.col("nb"), F.col("at"), F.col("na"), F.col("a_at"), percent))
                         .select("a", "na", "b", "nb").distinct())
-    links = cut_lineage(_links(first, base, cuts, words, percent, kind))
+    compared = cut_lineage(_overlaps(first, base, cuts, words, percent, kind))
+    links = compared.filter("near").select("a", "b")
 
-    near = links.withColumn("near", F.lit(True))
-    placed = cut_lineage(shared.join(near, ["a", "b"], "left").select("token", "b", "nb", "at", F.coalesce("near", F.lit(False)).alias("near")))
-    out = placed.filter("not near").select("token", *[F.col(c).alias(f"o_{c}") for c in ("b", "nb", "at")])
+    placed = cut_lineage(shared.join(compared, ["a", "b"], "left").select("token", "b", "nb", "at", F.coalesce("near", F.lit(False)).alias("near"), "far"))
+    out = placed.filter("not near").select("token", *[F.col(c).alias(f"o_{c}") for c in ("b", "nb", "at", "far")])
+    apart = F.abs(F.col("far") - F.col("o_far")) > 1.0 - percent / 100 + 1e-9
     crossing = out.join(placed, "token").filter((F.col("b") != F.col("o_b")) & (F.col("near") | (F.col("b") < F.col("o_b")))
+                                                & ~F.coalesce(apart, F.lit(False))
                                                 & _possible(F.col("nb"), F.col("at"), F.col("o_nb"), F.col("o_at"), percent))
     second = crossing.select(F.greatest("b", "o_b").alias("a"), F.when(F.col("b") > F.col("o_b"), F.col("nb")).otherwise(F.col("o_nb")).alias("na"),
                              F.least("b", "o_b").alias("b"), F.when(F.col("b") > F.col("o_b"), F.col("o_nb")).otherwise(F.col("nb")).alias("nb")).distinct()
     known = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     second = second.join(known, ["a", "b"], "left_anti").select("a", "na", "b", "nb")
-    links = cut_lineage(links.unionByName(_links(second, base, cuts, words, percent, kind)))
+    links = cut_lineage(links.unionByName(_overlaps(second, base, cuts, words, percent, kind).filter("near").select("a", "b")))
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     linked = connected_components(ends.select("node"), links, out="component_id").join(ends, "node")
     final = cut_lineage(classes.join(linked.withColumnRenamed("node", "class_id"), "class_id", "left").select(
