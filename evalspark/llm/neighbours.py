@@ -128,7 +128,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     asked = asked.select("id", "r.*")
     n_queries, n = asked.count(), rows.count()
     blocks = max(1, math.ceil(n_queries / QUERY_BLOCK))
-    fill = math.ceil(4 * vectors.sparkSession.sparkContext.defaultParallelism / blocks)
+    fill = math.ceil(vectors.sparkSession.sparkContext.defaultParallelism / blocks)
     strips = max(1, min(fill, math.ceil(n / TILE_ROWS)))
     sides = (asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
              .withColumn("strip", F.explode(F.sequence(F.lit(0), F.lit(strips - 1)))).withColumn("side", F.lit(0)))
