@@ -12,8 +12,7 @@ from pyspark.sql import types as T
 from evalspark.functions.columns import nan_to_null
 from evalspark.operators.curate import canonical_groups
 
-# fixed name formats
-RUN_NAME = r"cls_(?P<arm>[a-z_0-9]+?)_seed(?P<seed>\d+)_(?:test_)?(?P<cohort>[a-z0-9]+)"
+# fixed name format
 FIELD_NAME = r"^(\d+)_(\d+)_(\d+)(?:_([A-Za-z]+))?\.[a-z]+$"
 
 PREDICTION = "y_true array<int>, probs array<array<double>>, names array<string>, y_pred array<int>, threshold double, " \
@@ -26,14 +25,26 @@ def _must(value: Column, ok: Column, message: str, dtype) -> Column:
     return F.when(ok, value).otherwise(F.raise_error(F.lit(message)).cast(dtype))
 
 
+def _run_key(path: Column) -> dict[str, Column]:
+    """arm, seed and cohort from the file or folder named cls_ARM_seedN_COHORT or cls_ARM_seedN_test_COHORT, with or
+    without .json; every part but the seed may hold underscores. All empty for other paths."""
+    named = F.transform(F.split(path, "/"), lambda x: F.regexp_replace(x, "^[a-z]+=", ""))  # as partition folders are
+    inside = F.filter(named, lambda x: x.startswith("cls_") & x.contains("_seed"))
+    run = F.regexp_replace(F.coalesce(F.get(inside, F.size(inside) - 1), F.lit("")), r"\.json$", "")
+    arm = F.substring(F.substring_index(run, "_seed", 1), 5, 1000)
+    rest = F.substring_index(run, "_seed", -1)
+    seed = F.substring_index(rest, "_", 1)
+    cohort = F.regexp_replace(F.substring(rest, F.length(seed) + 2, F.length(rest)), "^test_", "")
+    known = seed.rlike("^[0-9]+$")
+    return {"arm": F.when(known, arm).otherwise(""), "seed": F.when(known, seed), "cohort": F.when(known, cohort).otherwise("")}
+
+
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     """One row per (run, item) from prediction files of parallel arrays; the run key comes from the file name. A run
     may be spread over several files or lines."""
     name = F.input_file_name()
     d = spark.read.schema(PREDICTION).option("recursiveFileLookup", "true").json(path)
-    key = {k: F.regexp_extract(name, RUN_NAME.replace("?P<arm>", "").replace("?P<seed>", "").replace("?P<cohort>", ""), i)
-           for i, k in ((1, "arm"), (2, "seed"), (3, "cohort"))}
-    d = d.withColumns(key).filter(F.col("arm") != "")
+    d = d.withColumns(_run_key(name)).filter("arm <> '' and cohort <> ''")
     same = (F.size("y_true") == F.size("probs")) & (F.size("probs") == F.size("names"))
     d = d.withColumn("y_true", _must(F.col("y_true"), same, "parallel arrays differ in length", "array<int>"))
     e = d.select("cohort", "arm", F.col("seed").cast("int").alias("seed"), "inference",
