@@ -13,7 +13,7 @@ from evalspark.functions.columns import box_intersection, draw_index, hash_int,
 from evalspark.plans.lineage import cut_lineage
 from evalspark.plans.groups import first_per_group, join_groups, join_skewed, rank_rows, top_per_group
 from evalspark.plans.prefix import exact_quantiles
-from evalspark.plans.suppress import FOLD_ROWS, suppress
+from evalspark.plans.suppress import FOLD_ROWS, real, suppress
 
 BBOX = ("x", "y", "w", "h")
 # fixed curation values
@@ -60,7 +60,8 @@ def _cell_ids(structs: Column) -> Column:
 
 def greedy_iou_dedup(boxes: DataFrame, thr: float = DUPLICATE_IOU, by: Sequence[str] = ("file_name", "label"),
                      order: Sequence = ("source_json", "annotation_id"), fold_rows: int = FOLD_ROWS) -> DataFrame:
-    """`kept` is False for a box that overlaps an earlier kept box of its group by more than `thr`.
+    """`kept` is False for a box that overlaps an earlier kept box of its group by more than `thr`. A box without an area
+    overlaps nothing and is kept.
 
     For the grid: an overlap above thr needs side ratios below 1/thr and offsets below (1 - thr) of the larger side,
     so cells are scaled per size class and only neighbouring cells and size classes matter.
@@ -80,7 +81,8 @@ def greedy_iou_dedup(boxes: DataFrame, thr: float = DUPLICATE_IOU, by: Sequence[
     probe = _cell_ids(F.array(*[F.struct((lw + i).alias("a"), (lh + j).alias("b"), cell("x", lw + i).alias("c"),
                                          cell("y", lh + j).alias("d")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     return suppress(boxes, by, order, lambda k, u: iou([k + c for c in BBOX], [u + c for c in BBOX]) > thr,
-                    lambda k, row: _boxes_clash(k, row, thr), register, probe, BBOX, fold_rows)
+                    lambda k, row: _boxes_clash(k, row, thr), real(*BBOX) & (F.col("w") > 0) & (F.col("h") > 0), register, probe,
+                    BBOX, fold_rows)
 
 
 def skip_reason(boxes: DataFrame, denied: DataFrame | None = None, excluded: Sequence[str] = ("CLL",),
@@ -355,7 +357,8 @@ def _discs_clash(k: np.ndarray, row: np.ndarray, sep: float) -> bool:
 
 def radius_nms(df: DataFrame, by: Sequence[str], sep: float = 0.8, fold_rows: int = FOLD_ROWS, min_level: int = -8) -> DataFrame:
     """Instances left after dropping each one within sep * (r1 + r2) of a larger kept one. Cells are scaled per size
-    class (radii below 2^min_level share one); an instance looks only into its own and larger classes."""
+    class (radii below 2^min_level share one); an instance looks only into its own and larger classes. Instances whose
+    place or radius is missing, not finite or negative stay and drop nothing."""
     level = F.greatest(F.floor(F.log2("r")), F.lit(min_level)).cast("int")
     max_level = df.agg(F.max(level)).first()[0] or 0
 
@@ -372,7 +375,8 @@ def radius_nms(df: DataFrame, by: Sequence[str], sep: float = 0.8, fold_rows: in
             F.col(k + "r") + F.col(u + "r"))
 
     order = [-F.col("r"), -F.col("x"), -F.col("y"), F.col("inst_id")]
-    t = suppress(df, by, order, near, lambda k, row: _discs_clash(k, row, sep), register, probe, ("x", "y", "r"), fold_rows)
+    t = suppress(df, by, order, near, lambda k, row: _discs_clash(k, row, sep), real("x", "y", "r") & (F.col("r") >= 0), register,
+                 probe, ("x", "y", "r"), fold_rows)
     return t.filter("kept").drop("kept")
 
 

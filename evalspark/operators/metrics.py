@@ -222,7 +222,7 @@ def _bins(P: DataFrame, by: Sequence[str], bins: int) -> DataFrame:
     rows = P.select(*by, "y", F.when(finite("p"), F.col("p")).alias("p"))
     rows = rows.select(*by, "y", "p", F.coalesce(score_bin("p", bins), F.lit(-1)).alias("bin"))
     return rows.groupBy(*by, "bin").agg(
-        F.count("p").alias("n"), F.sum("p").alias("sp"), F.sum(F.col("y").cast("bigint")).alias("sy")).filter("n > 0")
+        F.count("p").alias("n"), F.sum(F.col("p").cast("decimal(28,18)")).cast("double").alias("sp"), F.sum(F.col("y").cast("bigint")).alias("sy")).filter("n > 0")
 
 
 def ece(P: DataFrame, by: Sequence[str], bins: int = 10) -> DataFrame:

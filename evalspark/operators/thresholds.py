@@ -48,7 +48,8 @@ def prior_shift(P: DataFrame, by: Sequence[str], train_prior: float = 0.5, iters
     """Label-free threshold: the positive prior is re-estimated by EM on the unlabelled scores.
 
     All runs advance together, one aggregate over the score histogram per step; a run whose estimate moved less than
-    `tol` is frozen before that step's update and leaves the next aggregate.
+    `tol` is frozen before that step's update and leaves the next aggregate. `converged` is False for a run whose
+    estimate still moved after `iters` steps.
     """
     by = list(by)
     hist = _histogram(P, by)
@@ -69,23 +70,30 @@ def prior_shift(P: DataFrame, by: Sequence[str], train_prior: float = 0.5, iters
                 pi[key] = new
     hist.unpersist()
     prior = train_prior / (1 - train_prior)
-    rows = [(*k, v, ((1 - v) / v * prior) / (1 + (1 - v) / v * prior) if v > 0 else 1.0) for k, v in pi.items()]
-    return _state(hist, by, rows, prior="double", **{out: "double"})
+    rows = [(*k, v, ((1 - v) / v * prior) / (1 + (1 - v) / v * prior) if v > 0 else 1.0, k not in active) for k, v in pi.items()]
+    return _state(hist, by, rows, prior="double", **{out: "double"}, converged="boolean")
+
+
+def _constant(P: DataFrame, keys: list[str], cutoff: float) -> DataFrame:
+    return P.groupBy(*keys).agg(F.lit(cutoff).alias("threshold"))
+
+
+def _from_validation(P: DataFrame, keys: list[str], cohort: str, validation: str) -> DataFrame:
+    shared = [k for k in keys if k != cohort]
+    chosen = youden(P.where(F.col(cohort) == validation), shared)
+    return P.groupBy(*keys).agg(F.lit(1).alias("__run")).join(chosen, shared).select(*keys, "threshold")
 
 
 def resolve_threshold(P: DataFrame, rule, keys: Sequence[str] = ("cohort", "arm", "seed"),
                       cohort: str = "cohort", validation: str = "val") -> DataFrame:
-    """One threshold per run: a number, `val_youden` (same arm and seed on the validation cohort) or `prior_shift`."""
-    keys = list(keys)
-    if rule == "val_youden":
-        rest = [k for k in keys if k != cohort]
-        t = youden(P.filter(F.col(cohort) == validation), rest)
-        return P.select(*keys).distinct().join(t, rest).select(*keys, "threshold")
-    if rule == "prior_shift":
-        return prior_shift(P, keys).select(*keys, "threshold")
-    if isinstance(rule, str):
-        raise ValueError(f"a rule is a number, val_youden or prior_shift, not {rule!r}")
-    return P.select(*keys).distinct().withColumn("threshold", F.lit(float(rule)))
+    """One threshold per run: a number, or the rule of a name: `val_youden` takes it from the same arm and seed on the
+    validation cohort, `prior_shift` from the unlabelled scores."""
+    named = {"val_youden": lambda: _from_validation(P, list(keys), cohort, validation),
+             "prior_shift": lambda: prior_shift(P, keys).select(*keys, "threshold")}
+    make = named.get(rule) if isinstance(rule, str) else lambda: _constant(P, list(keys), float(rule))
+    if make is None:
+        raise ValueError(f"unknown rule {rule!r}; known are numbers and {', '.join(named)}")
+    return make()
 
 
 def metrics_at_rules(P: DataFrame, rules: Sequence = RULES, keys: Sequence[str] = ("cohort", "arm", "seed"),

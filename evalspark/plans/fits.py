@@ -47,7 +47,8 @@ def least_squares(df: DataFrame, by: Sequence[str], cols: Sequence[str], target:
 def logistic(df: DataFrame, by: Sequence[str], cols: Sequence[str], y: str = "y", c: float | Mapping[tuple, float] = 1.0,
              weight: str | None = None, iters: int = 50, tol: float = 1e-8) -> DataFrame:
     """(by, beta): L2-penalised logistic regression (penalty |w|^2 / 2C, intercept free) of every group by Newton steps.
-    All models share each pass; a converged model leaves the next one."""
+    All models share each pass; a converged model leaves the next one. A fit that has not converged after `iters` passes
+    is an error."""
     by, k = list(by), len(cols) + 1
     d = df.persist()
     keys = [tuple(r) for r in d.select(*by).distinct().collect()]
@@ -72,4 +73,6 @@ def logistic(df: DataFrame, by: Sequence[str], cols: Sequence[str], y: str = "y"
             if np.abs(step).max() < tol:
                 active.discard(key)
     d.unpersist()
+    if active:
+        raise RuntimeError(f"{len(active)} of {len(keys)} fits did not converge in {iters} steps")
     return _state(d, by, [(*key, b.tolist()) for key, b in beta.items()], beta="array<double>")

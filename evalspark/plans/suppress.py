@@ -9,6 +9,7 @@ it. A cell has at most one winner per round, so a round stays linear in the rows
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -21,23 +22,34 @@ FOLD_ROWS = 5000
 
 
 def suppress(df: DataFrame, by: Sequence[str], order: Sequence, conflict: Callable[[str, str], Column],
-             clashes: Callable[[np.ndarray, np.ndarray], bool], register: Column, probe: Column, geometry: Sequence[str],
-             fold_rows: int = FOLD_ROWS) -> DataFrame:
+             clashes: Callable[[np.ndarray, np.ndarray], bool], able: Column, register: Column, probe: Column,
+             geometry: Sequence[str], fold_rows: int = FOLD_ROWS) -> DataFrame:
     """df with a boolean `kept`.
 
     order     columns that order a group totally
     conflict  expression for (earlier row, later row), each given as a column prefix such as "k." or "u."
     clashes   the same test for the walk: (geometry of the kept rows, geometry of one row)
+    able      rows with a geometry that can conflict at all, and does with its equal; the others (empty, NULL, NaN or
+              infinite geometry) are kept and drop nothing, in groups of every size
     register  array of bigint cells a row occupies; probe: the cells in which a conflicting earlier row is registered
     """
     by = list(by)
     keys = [F.col(o) if isinstance(o, str) else o for o in order]
+    marked = cut_lineage(df.withColumn("__able", F.coalesce(able, F.lit(False))))
+    apart = marked.filter(~F.col("__able")).drop("__able").withColumn("kept", F.lit(True))
+    df = marked.filter("__able").drop("__able")
     hot = df.groupBy(*by).count().filter(F.col("count") > fold_rows).select(*by)
     if hot.isEmpty():
-        return _walk(df, by, keys, clashes, geometry)
+        return _walk(df, by, keys, clashes, geometry).unionByName(apart)
     prio = df.withColumn("__prio", F.struct(*[k.alias(f"o{i}") for i, k in enumerate(keys)]))
     large = _rounds(prio.join(hot, by, "left_semi"), by, conflict, register, probe, geometry).drop("__prio")
-    return _walk(df.join(hot, by, "left_anti"), by, keys, clashes, geometry).unionByName(large)
+    return _walk(df.join(hot, by, "left_anti"), by, keys, clashes, geometry).unionByName(large).unionByName(apart)
+
+
+def real(*columns: str) -> Column:
+    """All of these numbers are there and finite."""
+    inside = [F.abs(F.col(c)) < F.lit(float("inf")) for c in columns]  # NaN counts as larger than any number
+    return reduce(lambda a, b: a & b, inside)
 
 
 def _walk(df: DataFrame, by: list[str], keys: list[Column], clashes, geometry: Sequence[str]) -> DataFrame:
@@ -79,7 +91,7 @@ def _rounds(df: DataFrame, by: list[str], conflict, register: Column, probe: Col
             F.col("__first") >= F.col("__prio")).drop("__first")
         wins = cut_lineage(wins)
         if wins.isEmpty():
-            raise ValueError("geometry must not be NULL")
+            raise ValueError("the order must be total")
         kept = wins if kept is None else kept.unionByName(wins)
         k = _cells(wins, by, register).select("__cell", F.struct(*by, *geometry, "__prio").alias("k"))
         u = _cells(todo, by, probe).select("__cell", F.struct(*by, *geometry, "__prio").alias("u"))

@@ -46,7 +46,7 @@ def tsql(body):
 
 Q["t01_youden"] = (lambda s, d: T.youden(P(s, d), RUN), tsql(f"SELECT {R}, threshold FROM youden"))
 Q["t02_prior_shift"] = (lambda s, d: rounded(T.prior_shift(P(s, d), RUN)),
-                        tsql(f"SELECT {R}, round(prior, 6) AS prior, round(threshold, 6) AS threshold FROM shift"))
+                        tsql(f"SELECT {R}, round(prior, 6) AS prior, round(threshold, 6) AS threshold, TRUE AS converged FROM shift"))
 Q["t03_resolve_threshold"] = (
     lambda s, d: T.resolve_threshold(P(s, d), "val_youden").select(*RUN, "threshold"),
     tsql(f"SELECT {R}, threshold FROM th WHERE rule = 'val_youden'"))

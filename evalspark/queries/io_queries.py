@@ -80,14 +80,15 @@ LOG = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("run_
                     T.StructField("gpu_util", T.DoubleType())])
 
 
-def log_lines(s, d):
-    """The gauge log as text lines, some torn, some with a column too many."""
-    e = table(s, d, "events")
+def log_lines(s, d, order, odd):
+    """The odd or even events of the gauge log as text lines, some torn, some with a column too many."""
+    e = table(s, d, "events").filter(F.col("event_id") % 2 == odd)
     from evalspark.functions.columns import uniform
     u = uniform("event_id", F.lit("torn"))
     g = F.when(uniform("event_id", F.lit("gpu")) < 0.1, F.lit("NaN")).otherwise(F.floor(F.col("value")).cast("string"))
-    full = F.concat_ws(",", F.col("event_id").cast("string"), F.concat(F.lit("u"), F.col("user_id").cast("string")),
-                       F.dayofmonth("ts").cast("string"), g)
+    cells = dict(zip(LOG.names, (F.col("event_id").cast("string"), F.concat(F.lit("u"), F.col("user_id").cast("string")),
+                                 F.dayofmonth("ts").cast("string"), g)))
+    full = F.concat_ws(",", *[cells[n] for n in order])
     return e.select(F.when(u < 0.05, F.concat_ws(",", F.col("event_id").cast("string"), F.lit("u")))
                     .when(u < 0.1, F.concat(full, F.lit(",extra"))).otherwise(full).alias("value"))
 
@@ -96,15 +97,17 @@ TORN = f"""SELECT event_id, 'u' || user_id AS run_id, day(ts)::BIGINT AS epoch,
  FROM events WHERE {U("event_id", "'torn'")} >= 0.1::DOUBLE"""
 
 
-def read_log(s, d):
-    path = work_folder(s, "log")
-    log_lines(s, d).write.text(path)
-    full = T.StructType([*LOG.fields, T.StructField("_corrupt", T.StringType())])
-    raw = s.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").csv(path)
-    return S.clean_log(raw, LOG)
+def log_files(s, d, path):
+    """The log as files of two column orders, and files of another log."""
+    lines = table(s, d, "events").select(F.col("event_id").cast("string"), "event_type")
+    sets = [(order, log_lines(s, d, order, odd)) for odd, order in enumerate((LOG.names, LOG.names[::-1]))]
+    for names, rows in [*sets, (["event_id", "kind"], lines.select(F.concat_ws(",", "event_id", "event_type")))]:
+        # the names as one column name, and a separator that no line holds: each file gets its header, lines stay as they are
+        rows.toDF(",".join(names)).write.mode("append").option("header", "true").option("sep", "\x01").option("quote", "").csv(path)
+    return path
 
 
-q("s05_read_log", read_log, TORN)
+q("s05_read_log", lambda s, d: S.read_log(s, log_files(s, d, work_folder(s, "log")), LOG), TORN)
 
 
 def append_twice(s, d):
@@ -153,10 +156,7 @@ def samples(s, d):
 
 def followed_log(s, d):
     base = work_folder(s, "follow")
-    log_lines(s, d).write.text(f"{base}/in")
-    full = T.StructType([*LOG.fields, T.StructField("_corrupt", T.StringType())])
-    raw = s.readStream.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").csv(f"{base}/in")
-    W.run_to_table(S.clean_log(raw, LOG), f"{base}/out", f"{base}/checkpoint")
+    W.run_to_table(W.stream_log(s, log_files(s, d, f"{base}/in"), LOG), f"{base}/out", f"{base}/checkpoint")
     return s.read.parquet(f"{base}/out")
 
 

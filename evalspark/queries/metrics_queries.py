@@ -18,6 +18,11 @@ def rounded(df, keep=()):
     return df.select(*[round6(c).alias(c) if t == "double" and c not in keep else F.col(c) for c, t in df.dtypes])
 
 
+def fine(df):
+    """Round every double at 12 places, where a quotient of exact sums cannot end in a tie."""
+    return df.select(*[F.round(c, 12).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
 P = V.prediction
 CM = f"""SELECT {R}, count(*) FILTER (y=0 AND pred=0) AS n_0_0, count(*) FILTER (y=0 AND pred=1) AS n_0_1,
  count(*) FILTER (y=1 AND pred=0) AS n_1_0, count(*) FILTER (y=1 AND pred=1) AS n_1_1 FROM pred GROUP BY ALL"""
@@ -36,7 +41,7 @@ CURVE = f"""SELECT {R}, p AS threshold, sum(pos) OVER w AS tp, sum(neg) OVER w A
  sum(neg) OVER (PARTITION BY {R}) AS nn, pos FROM (SELECT {R}, p, sum(y) AS pos, sum(1 - y) AS neg FROM prediction GROUP BY ALL)
  WINDOW w AS (PARTITION BY {R} ORDER BY p DESC)"""
 AP = f"SELECT {R}, sum(pos * tp / (tp + fp)::DOUBLE) / max(np) AS average_precision FROM curve GROUP BY ALL"
-BINS = f"SELECT {R}, {bin_sql('p')} AS bin, count(*) AS n, sum(p) AS sp, sum(y) AS sy FROM prediction GROUP BY ALL"
+BINS = f"SELECT {R}, {bin_sql('p')} AS bin, count(*) AS n, sum(p::DECIMAL(18, 9))::DOUBLE AS sp, sum(y) AS sy FROM prediction GROUP BY ALL"
 F1 = "(coalesce(2.0*n_1_1/nullif(2*n_1_1+n_1_0+n_0_1,0),0) + coalesce(2.0*n_0_0/nullif(2*n_0_0+n_1_0+n_0_1,0),0)) / 2"
 DEC = f"""SELECT {R}, n_1_1/(n_1_1+n_1_0) AS sensitivity, n_0_0/(n_0_0+n_0_1) AS specificity,
  CASE WHEN (n_1_1+n_0_1)*(n_1_1+n_1_0)*(n_0_0+n_0_1)*(n_0_0+n_1_0) > 0 THEN (n_1_1*n_0_0 - n_0_1*n_1_0)::DOUBLE /
@@ -117,11 +122,11 @@ Q["k13_ece"] = (
     lambda s, d: rounded(M.ece(P(s, d), RUN)),
     sql(f"SELECT {R}, round(sum(abs(sy - sp)) / sum(n), 6) AS ece FROM bins GROUP BY ALL", **CTE))
 Q["k14_reliability"] = (
-    lambda s, d: rounded(M.reliability(P(s, d).filter(F.col("p") < 0.55), RUN)),
-    sql(f"""SELECT {R}, bin, round(bin/10.0, 6)::DOUBLE AS bin_low, round((bin+1)/10.0, 6)::DOUBLE AS bin_high,
- round(sp/n, 6) AS mean_p, round(sy/n, 6) AS fraction_positive, coalesce(n, 0) AS count
- FROM (SELECT * FROM (SELECT DISTINCT {R} FROM b2), (SELECT unnest(range(10))::INT AS bin)) LEFT JOIN b2 USING ({R}, bin)""",
-        b2=BINS.replace("GROUP BY", "WHERE p < 0.55::DOUBLE GROUP BY")))
+    lambda s, d: fine(M.reliability(P(s, d), RUN, 40)),
+    sql(f"""SELECT {R}, bin, round(bin/40.0, 12)::DOUBLE AS bin_low, round((bin+1)/40.0, 12)::DOUBLE AS bin_high,
+ round(sp/n, 12) AS mean_p, round(sy/n, 12) AS fraction_positive, coalesce(n, 0) AS count
+ FROM (SELECT * FROM (SELECT DISTINCT {R} FROM b2), (SELECT unnest(range(40))::INT AS bin)) LEFT JOIN b2 USING ({R}, bin)""",
+        b2=BINS.replace(bin_sql("p"), bin_sql("p", 40))))
 Q["k15_diagnostics"] = (
     lambda s, d: rounded(M.diagnostics(M.decide(P(s, d), 0.96), RUN)),
     sql(f"""SELECT {R}, round(r,6) AS positive_rate, round(a,6) AS mean_p_on_negatives, round(b,6) AS mean_p_on_positives,

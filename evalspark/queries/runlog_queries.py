@@ -63,9 +63,10 @@ PHT = """SELECT run_id, epoch, phase, sum(step_ms)::BIGINT AS busy_ms, sum(wait_
  AS wait_frac, sum(step_ms) / count(*) AS step_ms FROM resource_sample GROUP BY ALL"""
 ROWS = """SELECT e.*, max(wait_frac) FILTER (phase = 'train') AS train_wait_frac, max(wait_frac) FILTER (phase = 'val') AS val_wait_frac FROM epr e
  JOIN pht USING (run_id, epoch) GROUP BY ALL"""
-MEANS = ", ".join(f"CASE WHEN count(*) FILTER (epoch > 1) > 0 THEN avg({k}) FILTER (epoch > 1) ELSE avg({k}) END AS {k}" for k in L.MEAN_KEYS)
+STEADY, PEAKS = [[k for k, v in L.SUMMARY.items() if v == kind] for kind in ("steady mean", "peak")]
+MEANS = ", ".join(f"CASE WHEN count(*) FILTER (epoch > 1) > 0 THEN avg({k}) FILTER (epoch > 1) ELSE avg({k}) END AS {k}" for k in STEADY)
 SUMM = f"""SELECT regexp_replace(run_id, '_seed\\d+$', '') AS "group", count(DISTINCT run_id) AS runs, count(*) AS epochs, {MEANS},
- {", ".join(f"max({k}) AS {k}" for k in L.PEAK_KEYS)}, min(ram_avail_min_gb) AS ram_avail_min_gb FROM rrows GROUP BY ALL"""
+ {", ".join(f"max({k}) AS {k}" for k in PEAKS)}, min(ram_avail_min_gb) AS ram_avail_min_gb FROM rrows GROUP BY ALL"""
 RC = dict(epr=EPR, pht=PHT, rrows=ROWS, summ=SUMM)
 FR = "gpu_util_train gpu_util_val proc_cpu_cores_mean sys_cpu_mean".split()
 q("l09_epoch_resources", lambda s, d: rounded(L.epoch_resources(V.resource_sample(s, d))),
@@ -73,7 +74,7 @@ q("l09_epoch_resources", lambda s, d: rounded(L.epoch_resources(V.resource_sampl
 q("l10_phase_timing", lambda s, d: rounded(L.phase_timing(V.resource_sample(s, d))),
   "SELECT * REPLACE (round(wait_frac, 6) AS wait_frac, round(step_ms, 6) AS step_ms) FROM pht", **RC)
 q("l11_resource_summary", lambda s, d: rounded(L.resource_summary(L.resource_rows(V.resource_sample(s, d)))),
-  f"SELECT * REPLACE ({', '.join(f'round({c}, 6) AS {c}' for c in L.MEAN_KEYS)}) FROM summ", **RC)
+  f"SELECT * REPLACE ({', '.join(f'round({c}, 6) AS {c}' for c in STEADY)}) FROM summ", **RC)
 TOT = {"gpu_mem_gb": 250.0, "ram_gb": 100.0, "shm_gb": 100.0}
 q("l12_bottlenecks", lambda s, d: L.bottlenecks(L.resource_summary(L.resource_rows(V.resource_sample(s, d))), TOT).select(
     "group", F.concat_ws("; ", "flags").alias("flags")),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 
 from evalspark.functions.columns import nan_to_null
 from evalspark.operators.curate import canonical_groups
+from evalspark.plans.groups import join_groups
 
 # fixed name format
 FIELD_NAME = r"^(\d+)_(\d+)_(\d+)(?:_([A-Za-z]+))?\.[a-z]+$"
@@ -104,20 +106,37 @@ def map_labels(df: DataFrame, rules: Sequence[tuple[str, str, str]], source: str
         "file", F.concat(F.concat_ws("_", prefix, F.col(stem)), F.lit(".png")))
 
 
-def _log_reader(reader, schema: T.StructType):
-    full = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
-    return reader.schema(full).option("header", "true").option("enforceSchema", "true").option(
-        "mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
+def header_names(line: Column) -> Column:
+    """The column names of a header line."""
+    return F.split(F.translate(line, '"\r', ""), ",")
 
 
-def clean_log(raw: DataFrame, schema: T.StructType) -> DataFrame:
-    """Rows of the expected shape, NaN as NULL; a torn line or a row of another schema is skipped."""
+def is_header(line: Column, schema: T.StructType) -> Column:
+    """Whether the line names exactly the columns of the schema, in any order."""
+    return F.array_sort(header_names(line)) == F.array(*[F.lit(n) for n in sorted(schema.names)])
+
+
+def parse_log(lines: DataFrame, schema: T.StructType) -> DataFrame:
+    """Columns of the schema from (names, value): a CSV record and the column names of its file. NaN becomes NULL; a
+    record with another number of cells, or with a cell that is not of its column's type, is skipped."""
+    cells = [f"c{i}" for i in range(len(schema.fields))]
+    record = F.from_csv("value", ", ".join(f"{c} string" for c in [*cells, "torn"]), {"columnNameOfCorruptRecord": "torn"})
+    by_name = F.map_from_arrays("names", F.array(*[F.col(f"record.{c}") for c in cells]))
+    rows = lines.withColumn("record", record).filter("record.torn is null").select(by_name.alias("cell"))
+    typed = rows.select("cell", *[F.col("cell")[f.name].try_cast(f.dataType).alias(f.name) for f in schema.fields])
+    for f in schema.fields:
+        typed = typed.filter(F.col("cell")[f.name].isNull() | F.col(f.name).isNotNull())
     doubles = {f.name: nan_to_null(f.name) for f in schema.fields if isinstance(f.dataType, T.DoubleType)}
-    return raw.filter(F.col("_corrupt").isNull()).drop("_corrupt").withColumns(doubles)
+    return typed.drop("cell").withColumns(doubles)
 
 
 def read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return clean_log(_log_reader(spark.read, schema).csv(path), schema)
+    """Rows of an append-only log of CSV files. Columns are found by the header of each file, so files may order them
+    differently; files with other columns are skipped, and so are torn rows."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    head = is_header(F.col("value"), schema)
+    names = lines.filter(head).groupBy("file").agg(F.min(header_names(F.col("value"))).alias("names"))
+    return parse_log(join_groups(lines.filter(~head), names, ["file"]).select("names", "value"), schema)
 
 
 def append_log(df: DataFrame, path: str) -> None:
@@ -126,9 +145,25 @@ def append_log(df: DataFrame, path: str) -> None:
 
 
 def write_result(df: DataFrame, path: str, columns: Sequence[str] | None = None, fmt: str = "parquet") -> None:
-    """Replace a result. The commit protocol publishes the files together with a _SUCCESS marker, so an unfinished
-    write never counts as done."""
-    (df.select(*columns) if columns else df).write.mode("overwrite").format(fmt).save(path)
+    """Replace a result. The new one is written beside the old one and takes its place once it is complete; a write that
+    fails leaves the old result as it was."""
+    spark = df.sparkSession
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    mark = uuid.uuid4().hex
+    here, new, old = (path_of(f"{path.rstrip('/')}{end}") for end in ("", f".new-{mark}", f".old-{mark}"))
+    files = here.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        (df.select(*columns) if columns else df).write.format(fmt).save(new.toString())
+    except Exception:
+        files.delete(new, True)
+        raise
+    replaced = files.exists(here) and files.rename(here, old)
+    if not files.rename(new, here):
+        if replaced:
+            files.rename(old, here)
+        raise OSError(f"cannot put the result at {path}")
+    if replaced:
+        files.delete(old, True)
 
 
 def import_groups(df: DataFrame, names: Mapping[str, str] | None = None) -> DataFrame:

@@ -13,14 +13,17 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from evalspark.functions.columns import nan_to_null, ratio
 from evalspark.operators.runlog import LIMITS, latest_epoch
 from evalspark.plans.lineage import work_folder
-from evalspark.sources.io import _log_reader, clean_log
+from evalspark.sources.io import header_names, is_header, parse_log
 
 
 def stream_log(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None) -> DataFrame:
-    """Follow an append-only CSV log, skipping torn and foreign rows."""
-    r = _log_reader(spark.readStream, schema)
+    """Follow an append-only CSV log, skipping torn and foreign rows. Columns are found by the header of each file, as in
+    the batch reader; a file is what one append wrote, and is read as a whole."""
+    r = spark.readStream
     r = r.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else r
-    return clean_log(r.csv(path), schema)
+    files = r.text(path, wholetext=True).select(F.split("value", "\r?\n").alias("lines")).filter(is_header(F.col("lines")[0], schema))
+    lines = files.select(header_names(F.col("lines")[0]).alias("names"), F.explode("lines").alias("value"))
+    return parse_log(lines.filter((F.col("value") != "") & ~is_header(F.col("value"), schema)), schema)
 
 
 def stream_resources(s: DataFrame, width: str = "1 day", delay: str = "1 hour") -> DataFrame:

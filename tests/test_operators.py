@@ -12,6 +12,7 @@ from evalspark.operators import runlog as L
 from evalspark.plans.components import connected_components
 from evalspark.plans.groups import join_groups, join_skewed, rank_rows
 from evalspark.sources import io as S
+from evalspark.streaming import stream as W
 
 
 def brute_boxes(rows, thr):
@@ -52,6 +53,43 @@ def test_radius_suppression_matches_brute_force(spark, fold_rows):
     assert {r["inst_id"] for r in C.radius_nms(df, ["item_id"], fold_rows=fold_rows).collect()} == want
 
 
+@pytest.mark.parametrize("fold_rows", [5000, 2])
+def test_degenerate_geometry_is_kept_in_groups_of_every_size(spark, fold_rows):
+    nan, inf = float("nan"), float("inf")
+    odd = [(1.0, 1.0, 0.0, 5.0)] * 2 + [(1.0, 1.0, nan, 5.0)] * 2 + [(None, 1.0, 4.0, 5.0), (1.0, 1.0, inf, 5.0), (1.0, 1.0, -3.0, -3.0)]
+    rows = [("f", "a", 1, i, *g) for i, g in enumerate([*odd, *[(1.0, 1.0, 4.0, 5.0)] * 3])]
+    df = spark.createDataFrame(rows, "file_name string, source_json string, label int, annotation_id int, x double, y double, w double, h double")
+    got = {r["annotation_id"]: r["kept"] for r in C.greedy_iou_dedup(df, fold_rows=fold_rows).collect()}
+    assert got == {i: i <= 7 for i in range(10)}
+    discs = [(1, i, *g) for i, g in enumerate([(0.0, 0.0, nan), (0.0, None, 1.0), (0.0, 0.0, -1.0), *[(0.0, 0.0, 2.0)] * 3])]
+    t = spark.createDataFrame(discs, "item_id int, inst_id int, x double, y double, r double")
+    assert {r["inst_id"] for r in C.radius_nms(t, ["item_id"], fold_rows=fold_rows).collect()} == {0, 1, 2, 3}
+
+
+def test_log_columns_go_by_the_header_and_a_failed_write_keeps_the_result(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    files = {"a": "run_id,metric,loss\nr1,0.8,0.2\n", "b": "loss,run_id,metric\n0.3,r2,NaN\n0.4,torn\nx,r3,1\n0.1,r4,\n",
+             "c": "run_id,loss\nr9,1\n", "d": "no header here\n"}
+    for name, text in files.items():
+        (tmp_path / "log").mkdir(exist_ok=True)
+        (tmp_path / "log" / f"{name}.csv").write_text(text)
+    schema = T._parse_datatype_string("run_id string, loss double, metric double")
+    want = [("r1", 0.2, 0.8), ("r2", 0.3, None), ("r4", 0.1, None)]
+    log = S.read_log(spark, str(tmp_path / "log"), schema)
+    assert log.columns == ["run_id", "loss", "metric"] and sorted(map(tuple, log.collect())) == want
+    W.run_to_table(W.stream_log(spark, str(tmp_path / "log"), schema), str(tmp_path / "out"), str(tmp_path / "check"))
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == want
+
+    place = str(tmp_path / "result")
+    S.write_result(spark.range(3), place)
+    with pytest.raises(Exception, match="broken"):
+        S.write_result(spark.range(5).withColumn("id", F.when(F.col("id") > 3, F.raise_error(F.lit("broken"))).otherwise(F.col("id"))), place)
+    assert spark.read.parquet(place).count() == 3
+    S.write_result(spark.range(4), place)
+    assert spark.read.parquet(place).count() == 4 and sorted(p.name for p in tmp_path.glob("result*")) == ["result"]
+
+
 def test_rank_and_joins_on_a_hot_group(spark):
     df = spark.range(5000).select(F.when(F.col("id") < 4000, "hot").otherwise("cold").alias("g"), (F.col("id") * 7919 % 5000).alias("v"))
     got = {(r["g"], r["v"]): r["rank"] for r in rank_rows(df, ["g"], ["v"]).collect()}
