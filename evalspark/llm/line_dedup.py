@@ -40,12 +40,12 @@ def _without(piece: Column, i: Column) -> Column:
 def near_lines(docs: DataFrame, distinct: DataFrame, min_fuzzy: int) -> DataFrame:
     """The distinct lines (h, g, n) of at least `min_fuzzy` letters that have an earlier line at edit distance 1."""
     long = distinct.filter(F.col("n") >= min_fuzzy)
-    keyed = cut_lineage(long.select(*LINE, "first", F.explode("keys").alias("key")))
+    # the first place names a line, so hashes and length stay behind and are taken anew from the text
+    keyed = cut_lineage(long.select("first.doc_id", "first.line_no", F.explode("keys").alias("key")))
     shared = cut_lineage(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
-    some = join_by_size(keyed, shared, ["key"], "size").select(*LINE, "first").distinct()
-    some = cut_lineage(some).withColumns({"doc_id": F.col("first.doc_id"), "line_no": F.col("first.line_no")})
-    texts = cut_lineage(_lines(maybe_among(docs, some.select("doc_id"), "doc_id")).drop(*LINE).join(some, ["doc_id", "line_no"])
-                        .select(*LINE, "first", "line"))
+    some = cut_lineage(join_by_size(keyed, shared, ["key"], "size").select("doc_id", "line_no").distinct())
+    texts = cut_lineage(_lines(maybe_among(docs, some.select("doc_id"), "doc_id")).join(some, ["doc_id", "line_no"])
+                        .select(*LINE, F.struct("doc_id", "line_no").alias("first"), "line"))
     # role 0: the line as it may be substituted in or added to; role 1: as the longer line, whose piece has one letter more
     pieces = F.sequence(F.lit(0), F.floor((F.col("n") - 1) / PIECE).cast("int"))
     width = PIECE + F.col("role")
