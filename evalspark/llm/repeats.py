@@ -237,15 +237,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     distinct = cuts.groupBy("anchor", "c1", "c2").agg(F.count(F.lit(1)).alias("m"))
     sizes = cut_lineage(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum("m").alias("size")))
     hot = sizes.filter(F.col("kinds") > HOT_CONTEXTS).select("anchor")
-    crowded = hot.count() > 0
 
     def once(rows: DataFrame) -> DataFrame:
         return rows.groupBy("anchor", "c1", "c2").agg(F.count(F.lit(1)).alias("m"), F.first("context").alias("context"))
 
     # either way is right for any anchor, so those that pass the filter by chance may take the second
-    found = _sorted_groups(once(maybe_among(cuts, hot, "anchor", negate=True) if crowded else cuts), span)
-    if crowded:
-        found = found.unionByName(_hot_windows(once(maybe_among(cuts, hot, "anchor")), span))
+    found = _sorted_groups(once(maybe_among(cuts, hot, "anchor", negate=True)), span).unionByName(
+        _hot_windows(once(maybe_among(cuts, hot, "anchor")), span))
     found = cut_lineage(found.filter(F.size("spans") > 0))
     places = cut_lineage(cuts.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("size")).join(found, ["c1", "c2"]))
     spans = cut_lineage(join_by_size(cuts.select("doc_id", "start", "c1", "c2"), places, ["c1", "c2"], "size")
