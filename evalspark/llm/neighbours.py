@@ -81,9 +81,11 @@ class Best:
         bound = (q.error[:, None] * c.norm[None, :] + q.coded_norm[:, None] * c.error[None, :]) * (1 + SLACK)
         bound += SLACK * q.norm[:, None] * c.norm[None, :]
         floor = self.floor
-        if len(c.ids) > self.k:  # one more than k, as the query itself may be among them
-            at = len(c.ids) - self.k - 1
-            floor = np.maximum(floor, np.partition(about - bound, at, axis=1)[:, at])
+        if len(c.ids) >= self.k:
+            least = about - bound
+            least[q.ids[:, None] == c.ids[None, :]] = -np.inf  # merge() drops all rows of the query's id: they raise no floor
+            at = len(c.ids) - self.k
+            floor = np.maximum(floor, np.partition(least, at, axis=1)[:, at])
         rows, cols = np.nonzero(~(about + bound < floor[:, None]))
         for at in range(0, len(rows), PAIRS_AT_ONCE):
             self.merge(c, rows[at:at + PAIRS_AT_ONCE], cols[at:at + PAIRS_AT_ONCE])

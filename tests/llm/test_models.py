@@ -37,6 +37,15 @@ def test_neighbours(spark, monkeypatch, tile, block):
     assert neighbours.nearest(df.filter("false")).count() == 0
 
 
+def test_neighbours_of_a_query_with_many_rows(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=6).astype(np.float32).tolist()) for i in range(1, 150) if i % 10]
+    rows += [(500, [9.0, -8.0, 7.0, -6.0, 5.0, 4.0])] * 5 + [(510, [3.0] * 6)] * 40
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    got = neighbours.nearest(df, query_step=10, k=5).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == sorted(w[:3] for w in brute(rows, 10, 5))
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(0)
     x, y = rng.normal(size=(200, 33)) * 10.0 ** rng.integers(-3, 3, (200, 1)), rng.normal(size=(300, 33))
