@@ -197,42 +197,48 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     depth, then blind tries. Anchors with more than HOT_CONTEXTS distinct cuts, as at the edges of a passage found
     everywhere, are spread by window hashes instead. No step holds a document's windows against another document.
 
-    `span` must be a multiple of 8, and at least 2 * GRAM. NULL counts as empty; shorter texts lose nothing. Ids name
-    one row each: rows that repeat an id are taken as one text, the smallest, and NULL ids as an id like another. Texts
-    of any length are taken in pieces. Other columns are not read.
+    `span` must be a multiple of 8, and at least 2 * GRAM. NULL counts as empty; shorter texts lose nothing. Rows that
+    agree in id and text are one document delivered again: they do not repeat each other, and each gets the answer. Rows
+    that agree in the id alone are documents of their own, each with its own spans. NULL is an id like another. Texts of
+    any length are taken in pieces. Other columns are not read.
     """
     if span % 8 or span < 2 * GRAM:
         raise ValueError("span must be a multiple of 8 and at least 64")
     spark = docs.sparkSession
     base = plain(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
     kind = dict(base.dtypes)["doc_id"]
+    tagged = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("~"))
+    base = base.withColumn("key", F.unhex(F.md5(F.concat(tagged, F.lit(":"), F.md5("text")))))  # names an id and a text, is never NULL
     long = base.filter(F.octet_length("text") >= span)
+    again = cut_lineage(long.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"))
+    if not again.isEmpty():  # only texts that may be there again move
+        long = maybe_among(long, again, "key", negate=True).unionByName(maybe_among(long, again, "key").dropDuplicates(["key"]))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, t in zip(batch.column("doc_id"), batch.column("text")):
+            for i, t in zip(batch.column("key"), batch.column("text")):
                 value, n = anchor_counts(np.frombuffer(t.as_py().encode(), np.uint8), span)
                 yield pa.RecordBatch.from_arrays([pa.array([i.as_py()] * len(value), i.type), pa.array(value.view(np.int64)), pa.array(n, pa.int32())],
-                                                 ["doc_id", "anchor", "n"])
+                                                 ["key", "anchor", "n"])
 
-    seen = cut_lineage(long.mapInArrow(count, f"doc_id {kind}, anchor bigint, n int"))
+    seen = cut_lineage(long.select("key", "text").mapInArrow(count, "key binary, anchor bigint, n int"))
     shared = cut_lineage(seen.groupBy("anchor").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("size")).filter("n > 1").drop("n"))
-    wanted = cut_lineage(join_by_size(seen, shared, ["anchor"], "size").groupBy("doc_id").agg(F.collect_list("anchor").alias("wanted")))
+    wanted = cut_lineage(join_by_size(seen, shared, ["anchor"], "size").groupBy("key").agg(F.collect_list("anchor").alias("wanted")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, t, w in zip(batch.column("doc_id"), batch.column("text"), batch.column("wanted")):
+            for i, t, w in zip(batch.column("key"), batch.column("text"), batch.column("wanted")):
                 raw = t.as_py().encode()
                 runs = list(candidate_runs(np.frombuffer(raw, np.uint8), span, w.values.to_numpy().view(np.uint64)))
                 cuts = [raw[s:s + n + span - 1] for s, n, _ in runs]
                 marks = np.array([np.frombuffer(hashlib.blake2b(c, digest_size=16).digest(), np.int64) for c in cuts]).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array([i.as_py()] * len(runs), i.type), pa.array([r[0] for r in runs], pa.int64()),
                                                   pa.array([r[2] for r in runs], pa.int64()), pa.array(marks[:, 0]), pa.array(marks[:, 1]),
-                                                  pa.array(cuts, pa.binary())], ["doc_id", "start", "anchor", "c1", "c2", "context"])
+                                                  pa.array(cuts, pa.binary())], ["key", "start", "anchor", "c1", "c2", "context"])
 
     path = work_folder(spark, "cuts")
-    some = maybe_among(long, wanted.select("doc_id"), "doc_id").join(wanted, "doc_id")
-    some.select("doc_id", "text", "wanted").mapInArrow(cut, f"doc_id {kind}, start bigint, anchor bigint, c1 bigint, c2 bigint, context binary").write.parquet(path)
+    some = maybe_among(long, wanted.select("key"), "key").join(wanted, "key")
+    some.select("key", "text", "wanted").mapInArrow(cut, "key binary, start bigint, anchor bigint, c1 bigint, c2 bigint, context binary").write.parquet(path)
     cuts = spark.read.parquet(path)
     distinct = cuts.groupBy("anchor", "c1", "c2").agg(F.count(F.lit(1)).alias("m"))
     sizes = cut_lineage(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum("m").alias("size")))
@@ -246,8 +252,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         _hot_windows(once(maybe_among(cuts, hot, "anchor")), span))
     found = cut_lineage(found.filter(F.size("spans") > 0))
     places = cut_lineage(cuts.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("size")).join(found, ["c1", "c2"]))
-    spans = cut_lineage(join_by_size(cuts.select("doc_id", "start", "c1", "c2"), places, ["c1", "c2"], "size")
-                        .groupBy("doc_id").agg(F.collect_list(F.struct("start", "spans")).alias("found")))
+    spans = cut_lineage(join_by_size(cuts.select("key", "start", "c1", "c2"), places, ["c1", "c2"], "size")
+                        .groupBy("key").agg(F.collect_list(F.struct("start", "spans")).alias("found")))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,8 +274,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                                              ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     schema = f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
-    hit = maybe_among(base, spans.select("doc_id"), "doc_id").join(spans, "doc_id", "left")
-    clean = maybe_among(base, spans.select("doc_id"), "doc_id", negate=True)
+    hit = maybe_among(base, spans.select("key"), "key").join(spans, "key", "left")
+    clean = maybe_among(base, spans.select("key"), "key", negate=True)
     whole = F.encode("text", "utf-8")
     return hit.select("doc_id", "text", "found").mapInArrow(keep, schema).unionByName(
         clean.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), F.lit(0).cast("bigint").alias("n_removed"),

@@ -51,6 +51,27 @@ def test_repeats(make, edge_rows, monkeypatch, hot):
     assert all(hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256 for r in got)
 
 
+def test_repeats_by_id_and_text(make, edge_rows):
+    rng = random.Random(3)
+    word = lambda n: " ".join(rng.choice(["é", "ab", "cde", "fg"]) + str(rng.randrange(50)) for _ in range(n))
+    passage, other, alone = word(40), word(40), word(60)
+    rows = edge_rows + [(None, word(5) + passage, "s"), (20, passage + word(9), "s"), (21, alone, "s"), (21, alone, "s"), (22, "é" + other, "s"),
+                        (22, word(200) + other, "s"), (None, alone[:150] + "!" + word(9), "s"), (None, word(50), "s"), (23, word(4), "s")]
+    rows += rows[-2:-1]
+    texts = {(i, t or "") for i, t, _ in rows}
+    seen = Counter(b[i:i + 64] for _, t in texts for b in [t.encode()] for i in range(len(b) - 63))
+    want = Counter()
+    for i, t, _ in rows:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for s in range(len(b) - 63):
+            if seen[b[s:s + 64]] > 1:
+                gone[s:s + 64] = b"\1" * 64
+        want[i, len(b), sum(gone), sum(1 for k, _ in itertools.groupby(gone) if k), hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()] += 1
+    got = repeats.remove_repeats(make(rows), span=64).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
