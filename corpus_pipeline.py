@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalspark.llm.bpe import encode_documents
+from evalspark.llm.common import document_key, source_key
 from evalspark.llm.language import UNKNOWN, identify, train
 from evalspark.llm.line_dedup import line_dedup
 from evalspark.llm.mixing import mix
@@ -32,16 +33,22 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by five-word shingles at 0.8 or more, the document with the smallest id. Rows without an id
-    cannot be told apart and go."""
-    groups = ngram_groups(docs, words=5, percent=80)
-    return docs.join(groups.filter("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    """Of each group linked by five-word shingles at 0.8 or more, the document with the smallest id, those without an id
+    last. Rows are told apart by id and text; of rows that agree in both one stays."""
+    keyed = docs.withColumn("__key", document_key())
+    groups = ngram_groups(keyed, id_col="__key", words=5, percent=80).select(F.col("doc_id").alias("__key"), "component_id").distinct()
+    first = keyed.select("__key", "doc_id").distinct().join(groups, "__key").groupBy("component_id").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__key")).alias("first"))
+    kept = keyed.join(first.select("first.__key"), "__key", "left_semi")
+    return kept.dropDuplicates(["__key"]).select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as many times as the mix takes it, 0 to 3."""
-    copies = mix(docs).groupBy("doc_id").agg(F.max("copies").cast("int").alias("copies")).filter("copies > 0")
-    taken = docs.join(copies, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    keyed = docs.withColumns({"__key": document_key(), "__source": source_key()})
+    copies = mix(keyed, id_col="__key").select(F.col("doc_id").alias("__key"), source_key().alias("__source"), "copies")
+    copies = copies.groupBy("__key", "__source").agg(F.max("copies").cast("int").alias("copies")).filter("copies > 0")
+    taken = keyed.join(copies, ["__key", "__source"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return taken.select(*docs.columns)
 
 

@@ -27,6 +27,12 @@ def source_key(name: str = "source") -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(name)), F.lit("~"))
 
 
+def document_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """A digest that names an id and a text and is never NULL; NULL ids and texts are values of their own."""
+    tagged = F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit("~"))
+    return F.unhex(F.md5(F.concat(tagged, F.lit(":"), F.coalesce(F.md5(text_col), F.lit("~")))))
+
+
 def join_by_size(rows: DataFrame, groups: DataFrame, on: Sequence[str], size: str, how: str = "inner",
                  parts: int = HOT_PARTS) -> DataFrame:
     """Attach `groups` (one row per key, `size` = the rows of that key) to `rows`, with no key held by one task.
