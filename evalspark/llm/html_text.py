@@ -15,7 +15,8 @@ from evalspark.llm.common import plain
 
 # Element roles of HTML and name parts that sites give to what is not the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe object svg math canvas audio video select option".split())
+RAW = frozenset("script style template textarea title iframe select option".split())  # nothing that a page shows as text
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I | re.A) for tag in RAW}
 BLOCK = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer
 form frameset h1 h2 h3 h4 h5 h6 head header hgroup html legend li main menu nav ol p pre section summary table tbody td tfoot th thead
 tr ul""".split())
@@ -45,7 +46,6 @@ def blocks_of(html: str) -> list[Block]:
     """Blocks in page order. End tags that may be left out are supplied; raw elements end only at their own end tag."""
     stack: list[tuple[int, str, str]] = []
     out, current, links, made, at = [], None, 0, 0, 0
-    lowered = None
     while at < len(html):
         m = TOKEN.match(html, at)
         at = m.end()
@@ -61,10 +61,9 @@ def blocks_of(html: str) -> list[Block]:
         tag = tag.lower()
         if not m[1]:
             if tag in RAW:
-                lowered = html.lower() if lowered is None else lowered
-                end = lowered.find(f"</{tag}", at)
                 if not m[3].rstrip().endswith("/"):
-                    at = len(html) if end < 0 else end
+                    end = RAW_END[tag].search(html, at)
+                    at = len(html) if end is None else end.start()
                 continue
             for open_tag, by in CLOSES.items():
                 if tag in by and any(s[1] == open_tag for s in stack[-3:]):

@@ -130,6 +130,14 @@ def test_html(spark):
     assert extract(df.filter("false")).count() == 0
 
 
+def test_html_keeps_text_after_capital_dotted_i_and_in_formulas():
+    page = "<article><p>" + "İ" * 40 + " ilk.<script>var a = 1;</SCRIPT><p>İkinci paragraf burada.<style>p{}</style><p>Son paragraf da burada.</article>"
+    assert main_text(page) == "İ" * 40 + " ilk.\nİkinci paragraf burada.\nSon paragraf da burada."
+    page = ("<article><p>The sum <math><mi>x</mi><mo>+</mo><mi>y</mi></math> and <svg><title>t</title><text>label</text></svg> are shown here.</p>"
+            "<noscript><p>This paragraph stands in for the script.</p></noscript><video>No video, but this sentence.</video></article>")
+    assert main_text(page) == ("The sum x+y and label are shown here.\nThis paragraph stands in for the script.\nNo video, but this sentence.")
+
+
 def test_secrets(spark, make, edge_rows):
     model = secrets.train(secrets.labelled_findings(spark, 900), trees=10)
     key, digest = hashlib.sha1(b"k").hexdigest(), hashlib.sha1(b"d").hexdigest()
