@@ -62,7 +62,7 @@ q("x06_residual_auc_features", lambda s, d: rounded(X.residual_auc(doc_predictio
 q("x07_permutations", lambda s, d: X.permutations(V.features(s, d), 5),
   f"""SELECT perm, a.item_id, b.item_id AS donor FROM (SELECT item_id, perm, row_number() OVER (PARTITION BY perm ORDER BY {U("item_id", "perm")}, item_id) AS idx
  FROM features, (SELECT unnest(range(5))::INT AS perm)) a JOIN (SELECT item_id, row_number() OVER (ORDER BY item_id) AS idx FROM features) b USING (idx)""")
-q("x07_permutation_control", lambda s, d: rounded(X.permutation_control(doc_prediction(s, d), X.standardise(V.features(s, d), COLS), COLS, 10)))
+q("x07_permutation_control", lambda s, d: rounded(X.permutation_control(doc_prediction(s, d), X.standardise(V.features(s, d), COLS), COLS, 100)))
 q("x08_control_score", lambda s, d: X.control_score(V.features(s, d), COLS, "unit").select(
     "arm", *[F.round(c, 4).alias(c) for c in ("auc", "auc_residual", "r2")]))
 

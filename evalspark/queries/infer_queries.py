@@ -12,7 +12,7 @@ from evalspark.queries.oracle import U, sql
 from evalspark.sources import views as V
 
 P = V.prediction
-NB = 20
+NB = 200
 COMP = ["blend", "jitter", "plain"]
 Q = {}
 
