@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from evalspark.functions import fingerprint as FP
+from evalspark.functions.simhash import text_fingerprints
 from evalspark.operators import dedup as D
 from evalspark.queries.metrics_queries import rounded
 from evalspark.queries.oracle import sql
@@ -67,6 +68,45 @@ Q["d04_fingerprint_views"] = (
     lambda s, d: prints(s, d).select("source", "item_id", F.posexplode(F.arrays_zip("h1", "h2")).alias("view", "h"))
     .select("source", "item_id", "view", "h.h1", "h.h2"),
     fsql("SELECT source, item_id, view, h1, h2 FROM fp"))
+
+SP = "[ \\t\\r\\n]+"
+VOTES = ", ".join(f"sum((h >> {b}) & 1) AS c{b}" for b in range(64))
+BITS = " + ".join(f"CASE WHEN 2 * c{b} > n THEN {1 << b}::HUGEINT ELSE 0 END" for b in range(64))
+TXT = dict(
+    step1="SELECT source, doc_id AS item_id, coalesce(text, '') AS t0, lower(coalesce(text, '')) AS t1 FROM documents",
+    step2="SELECT *, array_to_string(list_sort(string_split(t1, chr(10))), chr(10)) AS t2 FROM step1",
+    step3=f"SELECT *, trim(regexp_replace(t2, '{SP}', ' ', 'g'), ' ') AS t3 FROM step2",
+    step4="SELECT *, trim(regexp_replace(regexp_replace(t3, '[^\\p{L}\\p{N} ]', '', 'g'), ' +', ' ', 'g'), ' ') AS t4 FROM step3",
+    tview="SELECT source, item_id, unnest([0, 1, 2, 3, 4]) AS view, unnest([t0, t1, t2, t3, t4]) AS t FROM step4",
+    tpart=f"""SELECT source, item_id, view, kind, k, len(ws) AS m, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM (
+ SELECT source, item_id, view, 1 AS kind, 3 AS k, list_filter(regexp_split_to_array(t, '{SP}'), lambda w : w <> '') AS ws FROM tview
+ UNION ALL SELECT source, item_id, view, 2, 5, list_filter(string_split(t, ''), lambda w : w <> '') FROM tview)""",
+    tgram="""SELECT source, item_id, view, kind, CASE kind WHEN 1 THEN concat_ws(' ', w, lead(w, 1) OVER o, lead(w, 2) OVER o)
+ ELSE concat(w, lead(w, 1) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o, lead(w, 4) OVER o) END AS g FROM tpart
+ WINDOW o AS (PARTITION BY source, item_id, view, kind ORDER BY i) QUALIFY i <= greatest(m - k, 0)""",
+    tvote=f"""SELECT source, item_id, view, kind, count(*) AS n, {VOTES} FROM (SELECT *, ('0x' || substr(md5(g), 1, 16))::UBIGINT AS h FROM tgram) GROUP BY ALL""",
+    tprint=f"SELECT source, item_id, view, kind, {BITS} AS h FROM tvote",
+    tfp="""SELECT v.source, v.item_id, v.view, (CASE WHEN a.h >= 9223372036854775808::HUGEINT THEN a.h - 18446744073709551616::HUGEINT ELSE coalesce(a.h, 0) END)::BIGINT AS h1,
+ (CASE WHEN b.h >= 9223372036854775808::HUGEINT THEN b.h - 18446744073709551616::HUGEINT ELSE coalesce(b.h, 0) END)::BIGINT AS h2 FROM tview v
+ LEFT JOIN tprint a ON a.source = v.source AND a.item_id = v.item_id AND a.view = v.view AND a.kind = 1
+ LEFT JOIN tprint b ON b.source = v.source AND b.item_id = v.item_id AND b.view = v.view AND b.kind = 2""")
+
+
+def tsql(body):
+    return sql(body, **TXT)
+
+
+def text_prints(s, d, **kw):
+    return text_fingerprints(table(s, d, "documents").select("source", F.col("doc_id").alias("item_id"), "text"), ["source", "item_id"], **kw)
+
+
+Q["d03_text_fingerprints"] = (
+    lambda s, d: text_prints(s, d, views=("as it is",)).select("source", "item_id", F.col("h1")[0].alias("h1"), F.col("h2")[0].alias("h2")),
+    tsql("SELECT source, item_id, h1, h2 FROM tfp WHERE view = 0"))
+Q["d04_text_views"] = (
+    lambda s, d: text_prints(s, d).select("source", "item_id", F.posexplode(F.arrays_zip("h1", "h2")).alias("view", "h"))
+    .select("source", "item_id", "view", "h.h1", "h.h2"),
+    tsql("SELECT source, item_id, view, h1, h2 FROM tfp"))
 Q["d05_hamming"] = (
     lambda s, d: prints(s, d).select("source", "item_id", *[
         F.bit_count(F.col("h1")[0].bitwiseXOR(F.col("h1")[k])).alias(f"d{k}") for k in range(1, 8)]),
