@@ -1,13 +1,14 @@
 """Resampling inference: unit draws as weights, paired / grouped / hierarchical bootstrap, Holm, t tests, ranks.
 
-A draw is a table (stratum, unit, draw, weight), made once and shared by every arm and metric. Items are reduced to
-counts per (unit, score) before they meet the weights. Draw -1 gives every unit weight 1: the observed value comes out
-of the same plan as the resamples.
+A unit carries its weights of all draws as one vector, made once and shared by every arm and metric. Items are reduced
+to counts per (unit, score) before they meet the weights. Draw -1 gives every unit weight 1: the observed value comes
+out of the same plan as the resamples.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 from evalspark.functions.columns import draw_index, ratio
 from evalspark.functions.student import t_quantile975, t_two_sided
 from evalspark.operators import metrics as M
-from evalspark.plans.groups import join_groups, join_skewed, rank_rows
-from evalspark.plans.prefix import running_totals
+from evalspark.plans.groups import join_groups, rank_rows
+from evalspark.plans.vectors import draw_vectors, unpacked, vector_metrics
 
 METRICS = ("roc_auc", "average_precision", "macro_f1")
 OBSERVED = -1
@@ -45,11 +46,7 @@ def guard_units(P: DataFrame, unit: str = "unit", by: Sequence[str] = ("cohort",
 def draw_units(U: DataFrame, n_boot: int, seed: int = 0, strata: Sequence[str] = ("cohort", "y"),
                unit: str = "unit") -> DataFrame:
     """n units with replacement within each stratum, as (stratum, unit, draw, weight)."""
-    strata = list(strata)
-    slots = U.select(*strata, "idx", "n", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("draw"))
-    picks = slots.select(*strata, "draw", draw_index("n", *strata, "draw", "idx", F.lit(seed)).alias("idx"))
-    w = picks.groupBy(*strata, "draw", "idx").agg(F.count(F.lit(1)).alias("weight"))
-    return w.join(U.select(*strata, "idx", unit), [*strata, "idx"]).select(*strata, unit, "draw", "weight")
+    return unpacked(draw_vectors(U, n_boot, seed, strata, unit), n_boot, strata, unit)
 
 
 def draw_items(P: DataFrame, n_boot: int, seed: int = 0, by: Sequence[str] = ("cohort",),
@@ -59,56 +56,38 @@ def draw_items(P: DataFrame, n_boot: int, seed: int = 0, by: Sequence[str] = ("c
     return draw_units(U, n_boot, seed, by).withColumnRenamed("unit", item)
 
 
-def unit_weights(U: DataFrame, draws: DataFrame, strata: Sequence[str], unit: str = "unit") -> DataFrame:
-    """One row per unit with all its (draw, weight) pairs, at most one per draw, and the observed weight 1."""
-    keys = [*strata, unit]
-    packed = draws.groupBy(*keys).agg(F.collect_list(F.struct("draw", "weight")).alias("ws"))
-    one = F.array(F.struct(F.lit(OBSERVED).alias("draw"), F.lit(1).cast("bigint").alias("weight")))
-    return U.select(*keys, "rows").join(packed, keys, "left").select(
-        *keys, "rows", F.when(F.col("ws").isNull(), one).otherwise(F.concat("ws", one)).alias("ws"))
+@dataclass(frozen=True)
+class Weights:
+    """One row per unit with the vector of its weights, the observed weight first."""
+
+    vectors: DataFrame
+    n_boot: int
+
 
+def unit_weights(U: DataFrame, n_boot: int, seed: int = 0, strata: Sequence[str] = ("cohort", "y"), unit: str = "unit") -> Weights:
+    return Weights(draw_vectors(U, n_boot, seed, strata, unit), n_boot)
 
-def weighted_histogram(P: DataFrame, weights: DataFrame, by: Sequence[str], strata: Sequence[str],
-                       unit: str = "unit") -> DataFrame:
-    """Score histogram of every (group, draw): one row per distinct score with weighted positives and negatives."""
-    keys = list(dict.fromkeys([*by, *strata, "y", unit, "p"]))
-    cells = P.groupBy(*keys).agg(F.count(F.lit(1)).alias("c"))
-    j = join_skewed(cells, weights, [*strata, unit], "rows")
-    d = j.select(*by, "y", "p", "c", F.explode("ws").alias("w"))
-    n = F.col("c") * F.col("w.weight")
-    return d.groupBy(*by, F.col("w.draw").alias("draw"), "p").agg(
-        F.sum(F.when(F.col("y") == 1, n).otherwise(0)).alias("pos"),
-        F.sum(F.when(F.col("y") == 1, 0).otherwise(n)).alias("neg"), F.lit(0).alias("bad"))
+
+def make_weights(P: DataFrame, n_boot: int, seed: int = 0, strata: Sequence[str] = ("cohort", "y"),
+                 unit: str = "unit") -> Weights:
+    return unit_weights(units(P, strata, unit), n_boot, seed, strata, unit)
 
 
-def weighted_metrics(P: DataFrame, weights: DataFrame, by: Sequence[str], strata: Sequence[str] = ("cohort", "y"),
+def weighted_metrics(P: DataFrame, weights: Weights, by: Sequence[str], strata: Sequence[str] = ("cohort", "y"),
                      unit: str = "unit", threshold: float = 0.5, metrics: Sequence[str] = METRICS) -> DataFrame:
-    """AUC, average precision and macro-F1 (classes present) of every (group, draw), in long form."""
+    """AUC, average precision and macro-F1 (classes present) of every (group, draw), in long form; NULL where a class has
+    no weight or a score is unusable."""
     keys = [*by, "draw"]
-    hist = weighted_histogram(P, weights, by, strata, unit)
-    if tuple(metrics) == ("roc_auc",):  # the area alone needs no running totals per row, hence no join
-        return M.auc_of_histogram(hist, keys, "value").select(*keys, F.lit("roc_auc").alias("metric"), "value")
-    c = M._descending(hist, keys)
-    wins = F.col("pos").cast("double") * (2.0 * (F.col("n_neg") - F.col("fp")) + F.col("neg"))
-    hit = F.col("p") >= threshold
-    tp, fp = F.sum(F.when(hit, F.col("pos")).otherwise(0)), F.sum(F.when(hit, F.col("neg")).otherwise(0))
-    t = c.groupBy(*keys).agg(F.sum(wins).alias("w"), F.max("n_pos").alias("np"), F.max("n_neg").alias("nn"),
-                             F.sum(F.col("pos") * ratio("tp", F.col("tp") + F.col("fp"))).alias("ap"),
-                             tp.alias("htp"), fp.alias("hfp"))
-    f1 = M._mean_present([ratio(2 * F.col("htp"), F.col("np") + F.col("htp") + F.col("hfp")),
-                          ratio(2 * (F.col("nn") - F.col("hfp")), 2 * F.col("nn") + F.col("np") - F.col("htp") - F.col("hfp"))])
-    value = {"roc_auc": ratio("w", 2.0 * F.col("np").cast("double") * F.col("nn")),
-             "average_precision": ratio("ap", "np"), "macro_f1": f1}
-    long = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), value[m].alias("value")) for m in metrics]))
+    t = vector_metrics(P, weights.vectors, weights.n_boot, by, strata, unit, threshold)
+    np_, nn, tp, fp = (F.col(c) for c in ("n_pos", "n_neg", "tp", "fp"))
+    f1 = M._mean_present([ratio(2 * tp, np_ + tp + fp), ratio(2 * (nn - fp), 2 * nn + np_ - tp - fp)])
+    value = {"roc_auc": ratio(2.0 * np_ * nn - F.col("lost"), 2.0 * np_ * nn),
+             "average_precision": ratio("ap", "n_pos"), "macro_f1": f1}
+    usable = F.col("bad") == 0
+    long = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.when(usable, value[m]).alias("value")) for m in metrics]))
     return t.select(*keys, long.alias("m")).select(*keys, "m.*")
 
 
-def make_weights(P: DataFrame, n_boot: int, seed: int = 0, strata: Sequence[str] = ("cohort", "y"),
-                 unit: str = "unit") -> DataFrame:
-    U = units(P, strata, unit)
-    return unit_weights(U, draw_units(U, n_boot, seed, strata, unit), strata, unit)
-
-
 # --- summaries of draws ---
 
 def _resampled(c: str = "d") -> Column:
@@ -133,7 +112,7 @@ def _delta_summary(deltas: DataFrame, by: Sequence[str], floor: Column) -> DataF
 
 
 def paired_bootstrap(P: DataFrame, reference: str, baselines: Sequence[str] | None = None, n_boot: int = 1000,
-                     seed: int = 0, weights: DataFrame | None = None, unit: str = "unit") -> DataFrame:
+                     seed: int = 0, weights: Weights | None = None, unit: str = "unit") -> DataFrame:
     """Reference minus baseline per cohort, seed, baseline and metric on shared draws: observed difference, 95 %
     percentile interval, two-sided p floored at 1 / (valid draws + 1)."""
     if baselines is not None:
@@ -169,7 +148,7 @@ def compare_all(P: DataFrame, reference: str, baselines: Sequence[str], n_boot:
                 unit: str = "unit") -> DataFrame:
     """Every comparison with its number of units and Holm over (cohort, seed): baselines x metrics."""
     U = units(P, ("cohort", "y"), unit)
-    weights = unit_weights(U, draw_units(U, n_boot, seed, unit=unit), ("cohort", "y"), unit)
+    weights = unit_weights(U, n_boot, seed, unit=unit)
     n = U.groupBy("cohort").agg(F.count(F.lit(1)).alias("n_units"))
     t = paired_bootstrap(P, reference, baselines, weights=weights, unit=unit).join(n, "cohort")
     t = holm(t, ["cohort", "seed"], "p", ["baseline", "metric"])
@@ -241,19 +220,14 @@ def method_tests(P: DataFrame, reference: str, comparators: Sequence[str], n_boo
 
 def subtype_ci(P: DataFrame, n_boot: int, seed: int = 0, subtype: str = "subtype", reference: str = "base",
                unit: str = "unit") -> DataFrame:
-    """Seed-mean AUC of each subtype against the reference class with a percentile interval over units, seeds fixed."""
-    by, strata = ["cohort", "arm", "seed"], ["cohort", subtype]
-    w = make_weights(P, n_boot, seed, strata, unit)
-    cells = P.groupBy(*by, subtype, unit, "p").agg(F.count(F.lit(1)).alias("c"))
-    j = join_skewed(cells, w, [*strata, unit], "rows").select(*by, subtype, "p", "c", F.explode("ws").alias("w"))
-    h = j.groupBy(*by, F.col("w.draw").alias("draw"), subtype, "p").agg(F.sum(F.col("c") * F.col("w.weight")).alias("k"))
-    keys = [*by, "draw"]
-    neg = h.groupBy(*keys, "p").agg(F.sum(F.when(F.col(subtype) == reference, F.col("k")).otherwise(0)).alias("neg"))
-    below = running_totals(neg, keys, "p", ["neg"])
-    pos = h.filter(F.col(subtype) != reference).join(below, [*keys, "p"])
-    two_u = F.sum(F.col("k").cast("double") * (2.0 * F.col("neg_before") + F.col("neg")))
-    auc = pos.groupBy(*keys, subtype).agg(
-        ratio(two_u, 2.0 * F.sum("k").cast("double") * F.max("neg_total")).alias("auc"))
+    """Seed-mean AUC of each subtype against the reference class with a percentile interval over units, seeds fixed. The rows of the reference class are repeated once per subtype."""
+    w = make_weights(P, n_boot, seed, ["cohort", subtype], unit)
+    positive = F.col(subtype) != reference
+    kinds = P.filter(positive).select("cohort", F.col(subtype).alias("kind")).distinct()
+    rows = P.filter(positive).withColumn("kind", F.col(subtype)).unionByName(join_groups(P.filter(~positive), kinds, ["cohort"]))
+    rows = rows.withColumn("y", positive.cast("int"))
+    auc = weighted_metrics(rows, w, ["cohort", "arm", "seed", "kind"], ["cohort", subtype], unit, metrics=("roc_auc",))
+    auc = auc.select("cohort", "arm", "seed", F.col("kind").alias(subtype), "draw", F.col("value").alias("auc"))
     d = auc.groupBy("cohort", "arm", subtype, "draw").agg(F.avg("auc").alias("d"))
     return d.groupBy("cohort", "arm", subtype).agg(
         F.max(F.when(F.col("draw") == OBSERVED, F.col("d"))).alias("roc_auc"), *_interval())
