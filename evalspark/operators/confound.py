@@ -68,9 +68,7 @@ def oof_scores(Fr: DataFrame, cols: Sequence[str], groups: str | None = None, by
     groups are fitted in the same passes."""
     by = list(by)
     d = cut_lineage(assign_folds(standardise(Fr, cols, by), k, groups, by, y))
-    others = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda f: f != F.col("fold"))
-    train = d.select(*by, y, *cols, F.explode(others).alias("model"))
-    beta = logistic(train, [*by, "model"], cols, y)
+    beta = logistic(d.select(*by, y, "fold", *cols), by, cols, y, fold="fold", folds=k)
     return d.join(beta.withColumnRenamed("model", "fold"), [*by, "fold"]).withColumn(
         "p", sigmoid(linear(F.col("beta"), cols))).drop("beta")
 
@@ -248,7 +246,7 @@ def linear_probe(train: DataFrame, val: DataFrame, cols: Sequence[str], grid: Se
     w = counts.select("y", (total / (2.0 * F.col("__n"))).alias("w"))
     each = F.explode(F.array(*[F.lit(float(c)) for c in grid]))
     z = join_groups(standardise(train, cols), w, ["y"]).withColumn("c", each)
-    beta = logistic(z, ["c"], cols, c={(float(c),): float(c) for c in grid}, weight="w")
+    beta = logistic(z, ["c"], cols, c="c", weight="w")
     s = standardise(val, cols, fit=train).withColumn("c", each).join(beta, "c").withColumn(
         "p", sigmoid(linear(F.col("beta"), cols)))
     auc = M.roc_auc(s, ["c"], out="val_auc")

@@ -5,17 +5,16 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
-from evalspark.functions.columns import clip, finite, logit, ratio, sigmoid
+from evalspark.functions.columns import finite, logit, sigmoid
 from evalspark.operators import metrics as M
+from evalspark.plans.lineage import stored
 
 LOG_T_BOUND = 5.0
 RULES = (0.5, "val_youden", "prior_shift")
+STEPS_A_JOB = 4
 
 
 def youden(P: DataFrame, by: Sequence[str], out: str = "threshold") -> DataFrame:
@@ -34,44 +33,38 @@ def _histogram(P: DataFrame, by: Sequence[str]) -> DataFrame:
     return h.persist()
 
 
-def _state(hist: DataFrame, by: Sequence[str], rows: list[tuple], **cols: str) -> DataFrame:
-    """Loop state, one row per run: the only thing that travels through the driver. Handed over as an Arrow table, it
-    becomes a local relation of known size, so Spark itself decides whether it is small enough to broadcast."""
-    schema = T.StructType([hist.schema[b] for b in by] + [T.StructField(k, T._parse_datatype_string(v))
-                                                          for k, v in cols.items()])
-    data = {f.name: [r[i] for r in rows] for i, f in enumerate(schema)}
-    return hist.sparkSession.createDataFrame(pa.table(data, schema=to_arrow_schema(schema)), schema)
-
-
 def prior_shift(P: DataFrame, by: Sequence[str], train_prior: float = 0.5, iters: int = 1000, tol: float = 1e-6,
                 out: str = "threshold") -> DataFrame:
     """Label-free threshold: the positive prior is re-estimated by EM on the unlabelled scores.
 
-    All runs advance together, one aggregate over the score histogram per step; a run whose estimate moved less than
-    `tol` is frozen before that step's update and leaves the next aggregate. `converged` is False for a run whose
-    estimate still moved after `iters` steps.
+    All runs advance together, one aggregate over the score histogram per step; the estimates are a table, written every
+    STEPS_A_JOB steps. A run whose estimate moved less than `tol` is frozen before that step's update and leaves the
+    next job. `converged` is False for a run whose estimate still moved after `iters` steps.
     """
     by = list(by)
     hist = _histogram(P, by)
-    pi = {tuple(r): train_prior for r in hist.select(*by).distinct().collect()}
-    active = set(pi)
-    for _ in range(iters):
-        if not active:
-            break
-        s = _state(hist, by, [(*k, pi[k]) for k in active], pi="double")
+    state = stored(hist.select(*by).distinct().withColumns({"pi": F.lit(float(train_prior)), "moving": F.lit(True)}))
+
+    def step(s: DataFrame) -> DataFrame:
         up = F.col("p") * F.col("pi") / train_prior
         q = up / (up + (1.0 - F.col("p")) * (1.0 - F.col("pi")) / (1.0 - train_prior))
-        step = hist.join(s, by).groupBy(*by).agg((F.sum(q * F.col("n")) / F.sum("n")).alias("q")).collect()
-        for r in step:
-            key, new = tuple(r)[:-1], r["q"]
-            if new is None or abs(new - pi[key]) < tol:
-                active.discard(key)
-            else:
-                pi[key] = new
+        t = hist.join(s, by).groupBy(*by).agg((F.sum(q * F.col("n")) / F.sum("n")).alias("q"), F.first("pi").alias("pi"),
+                                              F.first("moving").alias("moving"))
+        moving = F.col("moving") & F.col("q").isNotNull() & (F.abs(F.col("q") - F.col("pi")) >= tol)
+        return t.select(*by, F.when(moving, F.col("q")).otherwise(F.col("pi")).alias("pi"), F.coalesce(moving, F.lit(False)).alias("moving"))
+
+    done = 0
+    while done < iters and not state.filter("moving").isEmpty():
+        new = state.filter("moving")
+        for _ in range(min(STEPS_A_JOB, iters - done)):
+            new = step(new)
+        state = stored(state.filter("NOT moving").unionByName(new))
+        done += STEPS_A_JOB
     hist.unpersist()
     prior = train_prior / (1 - train_prior)
-    rows = [(*k, v, ((1 - v) / v * prior) / (1 + (1 - v) / v * prior) if v > 0 else 1.0, k not in active) for k, v in pi.items()]
-    return _state(hist, by, rows, prior="double", **{out: "double"}, converged="boolean")
+    odds = (1.0 - F.col("pi")) / F.col("pi") * prior
+    return state.select(*by, F.col("pi").alias("prior"), F.when(F.col("pi") > 0, odds / (1.0 + odds)).otherwise(F.lit(1.0)).alias(out),
+                        (~F.col("moving")).alias("converged"))
 
 
 def _constant(P: DataFrame, keys: list[str], cutoff: float) -> DataFrame:
@@ -138,26 +131,32 @@ def fit_temperature(P: DataFrame, by: Sequence[str], bound: float = LOG_T_BOUND,
     """
     by = list(by)
     hist = M.score_histogram(P, by).filter("bad = 0").persist()
-    keys = [tuple(r) for r in hist.select(*by).distinct().collect()]
-    lo, hi = dict.fromkeys(keys, -bound), dict.fromkeys(keys, bound)
     z = logit("p")
-    while max((hi[k] - lo[k] for k in keys), default=0.0) > tol:
-        grid = {k: [lo[k] + (hi[k] - lo[k]) * i / (points + 1) for i in range(points + 2)] for k in keys}
-        s = _state(hist, by, [(*k, grid[k]) for k in keys], grid="array<double>")
+    last = points + 1
+
+    def step(s: DataFrame) -> DataFrame:
+        grid = F.transform(F.sequence(F.lit(0), F.lit(last)), lambda i: F.col("lo") + (F.col("hi") - F.col("lo")) * i / last)
 
         def loss(i: int):
-            x = z / F.exp(F.col("grid")[i])
+            x = z / F.exp(F.get("grid", F.lit(i)))
             soft = F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
-            return F.sum(F.col("pos") * (soft - x) + F.col("neg") * soft).alias(f"l{i}")
-
-        got = hist.join(s, by).groupBy(*by).agg(*[loss(i) for i in range(points + 2)]).collect()
-        for r in got:
-            k, v = tuple(r)[:len(by)], list(r)[len(by):]
-            i = min(range(points + 2), key=v.__getitem__)
-            lo[k], hi[k] = grid[k][max(0, i - 1)], grid[k][min(points + 1, i + 1)]
+            return F.sum(F.col("pos") * (soft - x) + F.col("neg") * soft)
+
+        t = hist.join(s.select(*by, grid.alias("grid")), by).groupBy(*by).agg(
+            F.array(*[loss(i) for i in range(last + 1)]).alias("losses"), F.first("grid").alias("grid"))
+        best = F.array_position("losses", F.array_min("losses")).cast("int") - 1
+        return t.select(*by, F.get("grid", F.greatest(best - 1, F.lit(0))).alias("lo"), F.get("grid", F.least(best + 1, F.lit(last))).alias("hi"))
+
+    # every pass leaves at most two of the points + 1 gaps, so their number is known beforehand
+    passes = math.ceil(math.log(2 * bound / tol) / math.log(last / 2))
+    state = stored(hist.select(*by).distinct().withColumns({"lo": F.lit(-float(bound)), "hi": F.lit(float(bound))}))
+    for at in range(0, passes, STEPS_A_JOB):
+        for _ in range(min(STEPS_A_JOB, passes - at)):
+            state = step(state)
+        state = stored(state)
     hist.unpersist()
-    rows = [(*k, math.exp((lo[k] + hi[k]) / 2), (lo[k] + hi[k]) / 2 > bound - 1e-3) for k in keys]
-    return _state(hist, by, rows, temperature="double", at_bound="boolean")
+    middle = (F.col("lo") + F.col("hi")) / 2
+    return state.select(*by, F.exp(middle).alias("temperature"), (middle > bound - 1e-3).alias("at_bound"))
 
 
 def temperature_report(P: DataFrame, validation: str = "val") -> DataFrame:
@@ -181,6 +180,3 @@ def temperature_report(P: DataFrame, validation: str = "val") -> DataFrame:
 def logits(P: DataFrame) -> DataFrame:
     return P.withColumn("z", logit("p"))
 
-
-__all__ = ["youden", "prior_shift", "resolve_threshold", "metrics_at_rules", "rule_report", "fit_temperature",
-           "temperature_report", "logits", "clip", "ratio"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
@@ -23,8 +24,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def work_folder(spark, name: str) -> str:
     """A fresh folder beside the checkpoints, on the storage every executor shares."""
-    import uuid
-
     context = spark.sparkContext
     base = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -32,3 +31,11 @@ def work_folder(spark, name: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
         base = tempfile.mkdtemp(prefix="spark-work-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str = "state") -> DataFrame:
+    """The rows written as a table beside the checkpoints and read again: lineage ends here, and Spark knows the size, so it
+    decides by measure whether a join with them is broadcast."""
+    path = work_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

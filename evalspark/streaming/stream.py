@@ -8,12 +8,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from evalspark.functions.columns import nan_to_null, ratio
 from evalspark.operators.runlog import LIMITS, latest_epoch
 from evalspark.plans.lineage import work_folder
 from evalspark.sources.io import header_names, is_header, parse_log
+from evalspark.sources.versions import Folder
 
 
 def stream_log(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None) -> DataFrame:
@@ -56,41 +57,125 @@ def stream_flags(windows: DataFrame, totals: Mapping[str, float]) -> DataFrame:
 
 
 BEST = "run_id string, epoch bigint, metric double, loss double, best int"
-
-
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    best = state.get if state.exists else (float("-inf"), float("inf"), -1)
-    rows = pd.concat(batches).sort_values("epoch", kind="mergesort")
-    flags = []
-    for epoch, metric, loss in zip(rows["epoch"], rows["metric"], rows["loss"]):
-        better = metric > best[0] or (metric == best[0] and loss < best[1])
-        best = (float(metric), float(loss), int(epoch)) if better else best
-        flags.append(int(better))
-    state.update(best)
-    yield pd.DataFrame({"run_id": key[0], "epoch": rows["epoch"], "metric": rows["metric"], "loss": rows["loss"], "best": flags})
-
-
-def stream_best(s: DataFrame) -> DataFrame:
-    """Best-so-far flag of every arriving epoch; the state of a run is its best (score, loss, epoch)."""
-    return s.select("run_id", "epoch", "metric", "loss").groupBy("run_id").applyInPandasWithState(
-        _advance, BEST, "metric double, loss double, epoch bigint", "append", GroupStateTimeout.NoTimeout)
-
-
-def latest_sink(path: str):
-    """foreachBatch writer: the last row per (run, epoch) of each batch, one folder per batch, so a retried batch
-    replaces itself. `read_latest` merges the batches."""
+KEPT = "metric double, loss double, following bigint, timer bigint"
+
+
+class RunningBest(StatefulProcessor):
+    """Best-so-far flags in epoch order. A run's state is its best (metric, loss), the next epoch and, by epoch, the rows
+    that came ahead of it. An epoch that is next leaves at once, so a run in order holds nothing. A run whose
+    newest row is `delay` behind the watermark is over: what it holds leaves in epoch order, and its state goes."""
+
+    def __init__(self, first: int, delay_ms: int):
+        self.first, self.delay_ms = first, delay_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.kept = handle.getValueState("kept", KEPT)
+        self.ahead = handle.getMapState("ahead", "epoch bigint", "metric double, loss double")
+
+    def _judge(self, best: tuple, metric, loss) -> tuple[tuple, int]:
+        if metric is None or metric != metric:
+            return best, 0
+        better = best[0] is None or metric > best[0] or (metric == best[0] and loss < best[1])
+        return ((float(metric), float(loss)), 1) if better else (best, 0)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        metric, loss, following, timer = self.kept.get() if self.kept.exists() else (None, None, self.first, -1)
+        best, newest, held = (metric, loss), timer, self.ahead.exists()
+        for frame in rows:
+            out = []
+            # `rows` is a stream of frames of bounded size; only a frame is sorted, what is ahead waits in the state
+            for epoch, m, x, at in frame.sort_values("epoch", kind="mergesort")[["epoch", "metric", "loss", "at"]].itertuples(index=False):
+                newest = max(newest, int(at))
+                if epoch > following:
+                    self.ahead.updateValue((int(epoch),), (None if m != m else float(m), None if x != x else float(x)))
+                    held = True
+                    continue
+                best, flag = self._judge(best, m, x)
+                out.append((key[0], int(epoch), m, x, flag))
+                following = max(following, int(epoch) + 1)
+                while held and self.ahead.containsKey((following,)):
+                    m, x = self.ahead.getValue((following,))
+                    self.ahead.removeKey((following,))
+                    best, flag = self._judge(best, m, x)
+                    out.append((key[0], following, m, x, flag))
+                    following += 1
+            if out:
+                yield pd.DataFrame(out, columns=["run_id", "epoch", "metric", "loss", "best"])
+        if newest != timer:
+            if timer >= 0:
+                self.handle.deleteTimer(timer + self.delay_ms)
+            self.handle.registerTimer(newest + self.delay_ms)
+        self.kept.update((*best, following, newest))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        best, out = self.kept.get()[:2], []
+        for (epoch,), (m, x) in sorted(self.ahead.iterator(), key=lambda e: e[0]):
+            best, flag = self._judge(best, m, x)
+            out.append((key[0], epoch, m, x, flag))
+        self.ahead.clear()
+        self.kept.clear()
+        if out:
+            yield pd.DataFrame(out, columns=["run_id", "epoch", "metric", "loss", "best"])
+
+    def close(self) -> None:
+        pass
+
+
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def stream_best(s: DataFrame, delay: str = "7 days", first: int = 1) -> DataFrame:
+    """Best-so-far flag of every epoch of (run_id, epoch, ts, metric, loss), in epoch order even if epochs arrive out of it;
+    `first` is a run's first epoch. A row more than `delay` behind the newest is late and left out, and a run that has been
+    silent for `delay` is over: epochs behind a gap that nobody filled leave then. An epoch logged again is judged against
+    the best so far. The state lives in RocksDB (`run_to_table` sets STATE_STORE)."""
+    ms = int(pd.Timedelta(delay).total_seconds() * 1000)
+    t = s.withWatermark("ts", delay).select("run_id", "epoch", "metric", "loss", "ts", F.unix_millis("ts").alias("at"))
+    return t.groupBy("run_id").transformWithStateInPandas(RunningBest(first, ms), BEST, "Append", "EventTime")
+
+
+def latest_sink(path: str, compact: int = 10):
+    """foreachBatch writer: the last row per (run, epoch) of each batch in a folder of its own, then a pointer that lists what
+    belongs to the table. After `compact` batches they are merged with the snapshot into a new one, so reading costs the
+    same however many batches there were. A batch that is delivered again is known by its number and changes nothing."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        latest_epoch(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        spark = batch.sparkSession
+        folder = Folder(spark, path)
+        at = folder.pointer() or {"snapshot": None, "batches": [], "last": -1, "old": []}
+        if batch_id <= at["last"]:
+            return
+        name = f"batch-{batch_id}"
+        latest_epoch(batch).write.mode("overwrite").parquet(f"{folder.path}/{name}")
+        at = {**at, "batches": [*at["batches"], name], "last": batch_id}
+        folder.point(at)
+        if len(at["batches"]) >= compact:
+            snapshot = f"snapshot-{batch_id}"
+            read_latest(spark, path).write.mode("overwrite").parquet(f"{folder.path}/{snapshot}")
+            gone = [*at["batches"], *([at["snapshot"]] if at["snapshot"] else [])]
+            folder.point({"snapshot": snapshot, "batches": [], "last": batch_id, "old": gone})
+            for old in at["old"]:  # folders of the compaction before the last one, which no reader uses any more
+                folder.drop(old)
     return write
 
 
 def read_latest(spark: SparkSession, path: str) -> DataFrame:
-    """Last row per (run, epoch) over everything written by `latest_sink`."""
-    return latest_epoch(spark.read.parquet(path)).drop("batch")
+    """Last row per (run, epoch) over everything written by `latest_sink`: the snapshot and the batches since."""
+    at = Folder(spark, path).pointer()
+    if at is None:
+        raise FileNotFoundError(f"nothing has been written to {path}")
+    parts = [*([at["snapshot"]] if at["snapshot"] else []), *at["batches"]]
+    return latest_epoch(spark.read.parquet(*[f"{path.rstrip('/')}/{p}" for p in parts]))
+
+
+def stream_distinct(s: DataFrame, keys: Sequence[str], delay: str = "1 hour", time: str = "ts") -> DataFrame:
+    """Rows that are delivered more than once within `delay` of event time pass once; keys leave the state after that."""
+    return s.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
 def run_to_table(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
     """Process everything available and stop. Update mode keeps one folder per batch."""
+    stream.sparkSession.conf.set(*STATE_STORE)
     w = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
     if mode == "append":
         q = w.outputMode("append").format("parquet").start(out)
