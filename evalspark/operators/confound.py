@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from evalspark.functions.columns import hash_int, logit, ratio, sigmoid
 from evalspark.operators import infer as B
 from evalspark.operators import metrics as M
+from evalspark.operators.curate import build_manifest
 from evalspark.plans.fits import least_squares, linear, logistic
 from evalspark.plans.groups import join_groups, join_skewed, rank_rows
 from evalspark.plans.lineage import cut_lineage
@@ -260,12 +261,27 @@ def frame_scale(boxes: DataFrame, size: int = 640, squeezed: float = 0.60) -> Da
     return boxes.agg(F.when(every, F.lit(squeezed)).otherwise(F.lit(1.0)).alias("x_scale"))
 
 
-def replicate(P: DataFrame, cohort: str, reference: str, comparators: Sequence[str], n_boot: int,
-              Fr: DataFrame | None = None, cols: Sequence[str] = ()) -> dict[str, DataFrame]:
-    """The pre-specified replicate on another source: the same metrics, tests and residual audit with a source filter."""
+def replicate_cohort(raw: DataFrame, same: DataFrame, mapping: Mapping[str, int], opposing: Mapping[int, Sequence[str]], **kw) -> DataFrame:
+    """The replicate's manifest: the chain of the first cohort, with the squeeze factor that its own frames ask for."""
+    return build_manifest(raw, same, mapping, opposing, x_scale=frame_scale(raw).first()["x_scale"], **kw)
+
+
+def replicate_audit(d: DataFrame, Fr: DataFrame, cols: Sequence[str], groups: str | None = "unit") -> dict[str, DataFrame]:
+    """Residual AUC of every run, and the grouped cross-validated AUC of the features alone."""
+    z = cut_lineage(standardise(Fr, cols))
+    return {"residual": residual_auc(d, z, cols, ["arm", "seed"]), "background": cv_auc(z, cols, groups)}
+
+
+def replicate(P: DataFrame, cohort: str, reference: str, comparators: Sequence[str], n_boot: int, n_boot_runs: int = 200,
+              Fr: DataFrame | None = None, cols: Sequence[str] = (), groups: str | None = "unit") -> dict[str, DataFrame]:
+    """The pre-specified replicate on another source, nothing tuned on it: metrics of every run with the interval of its
+    AUC (`runs`), their means per arm (`summary`), the tests of the reference against each comparator (`tests`) and,
+    with features, `residual` and `background` of `replicate_audit`."""
     d = P.filter(F.col("cohort") == cohort)
-    out = {"metrics": M.cohort_metrics(d, ["cohort", "arm", "seed"]),
-           "tests": B.method_tests(d, reference, comparators, n_boot)}
-    if Fr is not None:
-        out["residual"] = residual_auc(d, Fr, cols, ["cohort", "arm", "seed"])
-    return out
+    runs = B.run_bundle(d, n_boot_runs)
+    means = ("roc_auc", "average_precision", "macro_f1", "positive_rate", "ece")
+    out = {"runs": runs,
+           "summary": runs.groupBy("arm").agg(F.count(F.lit(1)).alias("seeds"), F.stddev_samp("roc_auc").alias("roc_auc_sd"),
+                                              *[F.avg(c).alias(c) for c in means]),
+           "tests": B.method_tests(d.filter(F.col("arm").isin(reference, *comparators)), reference, comparators, n_boot)}
+    return out if Fr is None else out | replicate_audit(d, Fr, cols, groups)

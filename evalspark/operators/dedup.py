@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from evalspark.functions.columns import hamming, ratio
 from evalspark.functions.fingerprint import grid_fingerprints
 from evalspark.plans.components import connected_components  # noqa: F401  (part of this module's surface)
-from evalspark.plans.groups import join_groups, join_skewed, rank_rows
+from evalspark.plans.groups import block_join, join_groups, join_skewed, rank_rows
 
 H1_MAX, H2_MAX = 6, 10
 BLOCK = 20_000
@@ -173,7 +173,8 @@ def pairs_within(feats: DataFrame, min_matches: int, min_overlap: float) -> Data
     """Candidate pairs a < b of one class that can share `min_matches` features and `min_overlap` of the larger set.
 
     Prefix filter: with features ordered from rare to common, a qualifying pair must share a feature among the first
-    n - required + 1 of each side, so common features are hardly ever joined on.
+    n - required + 1 of each side, so common features are hardly ever joined on. Positional filter: at their first
+    shared feature, enough must follow on both sides. A feature held by very many items is joined in blocks.
     """
     freq = feats.groupBy("cls", "code").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     need = F.greatest(F.lit(min_matches), F.ceil(F.col("n") * F.lit(min_overlap) - 1e-9)).cast("int")
@@ -182,10 +183,12 @@ def pairs_within(feats: DataFrame, min_matches: int, min_overlap: float) -> Data
     shared = d.groupBy("cls", "content").agg(F.count(F.lit(1)).alias("shared"))
     d = join_skewed(d.select("*", "f.df", "f.code").drop("f"), shared.withColumn("m", F.col("shared")), ["cls", "content"], "m")
     pre = rank_rows(d.filter("shared >= need"), ["cls", "content"], ["df", "code"], "r").filter("r <= shared - need + 1")
-    a = pre.select("cls", "code", F.col("content").alias("a"), F.col("n").alias("na"))
-    b = pre.select("cls", "code", F.col("content").alias("b"), F.col("n").alias("nb"))
+    rest = F.col("shared") - F.col("r") + 1
+    a, b = (pre.select("cls", "code", F.col("content").alias(x), F.col("n").alias(f"n{x}"), rest.alias(f"rest_{x}"), F.col("need").alias(f"need_{x}"))
+            for x in ("a", "b"))
     fits = (F.least("na", "nb") >= F.lit(min_overlap) * F.greatest("na", "nb") - 1e-9) & (F.col("a") < F.col("b"))
-    return a.join(b, ["cls", "code"]).filter(fits).select("cls", "a", "b").distinct()
+    fits = fits & (F.least("rest_a", "rest_b") >= F.greatest("need_a", "need_b"))
+    return block_join(a, b, ["cls", "code"]).filter(fits).select("cls", "a", "b").distinct()
 
 
 def pair_evidence(feats: DataFrame, pairs: DataFrame) -> DataFrame:

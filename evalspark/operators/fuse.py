@@ -62,10 +62,10 @@ def view_mean(V: DataFrame, by: Sequence[str], n: int, view: str = "view") -> Da
     return V.filter(F.col(view) < n).groupBy(*by).agg(F.log(clip(F.avg("p"), 1e-12, 1.0)).alias("log_p"))
 
 
-def compare_scorings(I: DataFrame, P: DataFrame, k: int = 3) -> DataFrame:
-    """AUC of the whole-item score and of each bag score, per arm, mean and sd over seeds. Labels and whole scores
-    come from P; instances carry (arm, seed, item_id, p)."""
-    run = ["arm", "seed"]
+def compare_scorings(I: DataFrame, P: DataFrame, k: int = 3, by: Sequence[str] = ("arm",)) -> DataFrame:
+    """AUC of the whole-item score and of each bag score, per arm (or `by`), mean and sd over seeds. Labels and whole
+    scores come from P; instances carry (by, seed, item_id, p)."""
+    run = [*by, "seed"]
     top = top_per_group(I, [*run, "item_id"], k, [F.col("p").desc()]).groupBy(*run, "item_id").agg(
         F.round(F.avg("p"), 12).alias("topk"))  # rounded, so that equal means tie whatever the order of the sum
     bags = I.groupBy(*run, "item_id").agg(F.round(F.avg("p"), 12).alias("mean"), F.max("p").alias("max"))
@@ -74,8 +74,8 @@ def compare_scorings(I: DataFrame, P: DataFrame, k: int = 3) -> DataFrame:
     names = ("whole", "mean", "topk", "max")
     j = j.select(*run, "y", *[F.coalesce(n, "whole").alias(n) for n in names])
     auc = M.roc_auc(M.to_long(j, [*run, "y"], names, "scoring"), [*run, "scoring"])
-    return auc.groupBy("arm", "scoring").agg(F.count(F.lit(1)).alias("seeds"), F.avg("roc_auc").alias("auc_mean"),
-                                             F.stddev_samp("roc_auc").alias("auc_sd"))
+    return auc.groupBy(*by, "scoring").agg(F.count(F.lit(1)).alias("seeds"), F.avg("roc_auc").alias("auc_mean"),
+                                           F.stddev_samp("roc_auc").alias("auc_sd"))
 
 
 def score_drift(a: DataFrame, b: DataFrame, on: Sequence[str], by: Sequence[str]) -> DataFrame:

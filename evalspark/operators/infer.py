@@ -21,6 +21,7 @@ from evalspark.plans.vectors import draw_vectors, unpacked, vector_metrics
 
 METRICS = ("roc_auc", "average_precision", "macro_f1")
 OBSERVED = -1
+ALPHA = 0.05
 
 
 # --- units and draws ---
@@ -106,9 +107,13 @@ def _p_value(floor: Column, c: str = "d") -> Column:
     return F.least(F.lit(1.0), F.greatest(floor, 2.0 * F.least(low, high)))
 
 
-def _delta_summary(deltas: DataFrame, by: Sequence[str], floor: Column) -> DataFrame:
-    return deltas.groupBy(*by).agg(F.max(F.when(F.col("draw") == OBSERVED, F.col("d"))).alias("delta"), *_interval(),
-                                   _p_value(floor).alias("p"))
+def _observed(c: str) -> Column:
+    return F.max(F.when(F.col("draw") == OBSERVED, F.col(c)))
+
+
+def _delta_summary(deltas: DataFrame, by: Sequence[str], floor: Column, observed: Sequence[str] = ()) -> DataFrame:
+    return deltas.groupBy(*by).agg(_observed("d").alias("delta"), *_interval(), _p_value(floor).alias("p"),
+                                   *[_observed(c).alias(c) for c in observed])
 
 
 def paired_bootstrap(P: DataFrame, reference: str, baselines: Sequence[str] | None = None, n_boot: int = 1000,
@@ -152,7 +157,7 @@ def compare_all(P: DataFrame, reference: str, baselines: Sequence[str], n_boot:
     n = U.groupBy("cohort").agg(F.count(F.lit(1)).alias("n_units"))
     t = paired_bootstrap(P, reference, baselines, weights=weights, unit=unit).join(n, "cohort")
     t = holm(t, ["cohort", "seed"], "p", ["baseline", "metric"])
-    return t.withColumn("significant", F.when(F.col("p_holm") < 0.05, "yes").otherwise("no"))
+    return t.withColumn("significant", F.when(F.col("p_holm") < ALPHA, "yes").otherwise("no"))
 
 
 def auc_ci(P: DataFrame, n_boot: int, seed: int = 0, by: Sequence[str] = ("cohort", "arm", "seed"),
@@ -163,6 +168,13 @@ def auc_ci(P: DataFrame, n_boot: int, seed: int = 0, by: Sequence[str] = ("cohor
     return d.groupBy(*by).agg(F.max(F.when(F.col("draw") == OBSERVED, F.col("d"))).alias("roc_auc"), *_interval())
 
 
+def run_bundle(P: DataFrame, n_boot: int, threshold: float = 0.5, seed: int = 0, by: Sequence[str] = ("cohort", "arm", "seed"),
+               unit: str = "unit") -> DataFrame:
+    """All metrics of every run with the interval of its AUC over units and the threshold its decisions were taken at."""
+    ci = auc_ci(P, n_boot, seed, by, unit).select(*by, F.col("ci_low").alias("auc_ci_low"), F.col("ci_high").alias("auc_ci_high"))
+    return M.cohort_metrics(P, list(by), threshold).join(ci, list(by)).withColumn("threshold", F.lit(float(threshold)))
+
+
 # --- methods: units and seeds resampled ---
 
 def seed_draws(m: DataFrame, seed: int = 0) -> DataFrame:
@@ -184,13 +196,12 @@ def seed_draws(m: DataFrame, seed: int = 0) -> DataFrame:
 def method_deltas(arms: DataFrame, pairs: DataFrame, n_boot: int) -> DataFrame:
     """Differences of arm means for a table of pairs (family, reference, comparator)."""
     keys = ["cohort", "metric", "draw"]
-    ref = arms.select(*keys, F.col("arm").alias("reference"), F.col("value").alias("r"),
-                      F.col("seeds").alias("reference_seeds"))
-    com = arms.select(*keys, F.col("arm").alias("comparator"), F.col("value").alias("c"),
-                      F.col("seeds").alias("comparator_seeds"))
-    d = pairs.join(ref, "reference").join(com, [*keys, "comparator"]).withColumn("d", F.col("r") - F.col("c"))
+    ref, com = (arms.select(*keys, F.col("arm").alias(side), F.col("value").alias(f"{side}_value"), F.col("seeds").alias(f"{side}_seeds"))
+                for side in ("reference", "comparator"))
+    d = pairs.join(ref, "reference").join(com, [*keys, "comparator"])
+    d = d.withColumn("d", F.col("reference_value") - F.col("comparator_value"))
     return _delta_summary(d, ["cohort", "metric", "family", "reference", "comparator", "reference_seeds",
-                              "comparator_seeds"], F.lit(1.0 / (n_boot + 1)))
+                              "comparator_seeds"], F.lit(1.0 / (n_boot + 1)), ("reference_value", "comparator_value"))
 
 
 def pair_table(P: DataFrame, families: dict[str, Sequence[tuple[str, str]]]) -> DataFrame:
@@ -201,14 +212,15 @@ def pair_table(P: DataFrame, families: dict[str, Sequence[tuple[str, str]]]) ->
 def family_tests(P: DataFrame, families: dict[str, Sequence[tuple[str, str]]], n_boot: int, seed: int = 0,
                  seeds: Sequence[int] | None = None, unit: str = "unit", strata: Sequence[str] = ("cohort", "y"),
                  metrics: Sequence[str] = ("roc_auc",)) -> DataFrame:
-    """Hierarchical bootstrap of declared pairs: units shared by all arms, then the runs of each arm; Holm within
-    (cohort, metric, family)."""
+    """Hierarchical bootstrap of declared pairs: units shared by all arms, then the runs of each arm; observed values of
+    both sides, Holm within (cohort, metric, family) and whether that is below ALPHA."""
     if seeds is not None:
         P = P.filter(F.col("seed").isin(*seeds))
     weights = make_weights(P, n_boot, seed, strata, unit)
     m = weighted_metrics(P, weights, ["cohort", "arm", "seed"], strata, unit, metrics=metrics)
     t = method_deltas(seed_draws(m, seed), pair_table(P, families), n_boot)
-    return holm(t, ["cohort", "metric", "family"], "p", ["reference", "comparator"])
+    t = holm(t, ["cohort", "metric", "family"], "p", ["reference", "comparator"])
+    return t.withColumn("significant", F.when(F.col("p_holm") < ALPHA, "yes").otherwise("no"))
 
 
 def method_tests(P: DataFrame, reference: str, comparators: Sequence[str], n_boot: int, seed: int = 0,

@@ -115,3 +115,25 @@ def join_skewed(df: DataFrame, groups: DataFrame, on: Sequence[str], size: str,
     left = df.join(hot, on, "left").withColumn("__salt", F.coalesce(salt.cast("int"), F.lit(0))).drop("__salts")
     right = groups.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1))).drop(size)
     return left.join(right, [*on, "__salt"], how).drop("__salt")
+
+
+BLOCK_ROWS = 10_000
+
+
+def block_join(left: DataFrame, right: DataFrame, on: Sequence[str], limit: int = BLOCK_ROWS) -> DataFrame:
+    """Inner equi-join of two sides that may both be crowded in one key. A key with more than `limit` rows on a side is cut
+    into blocks of about that size, and each pair of blocks meets in a task of its own; other keys meet as usual. The
+    table of crowded keys has at most rows / limit entries."""
+    on = list(on)
+    sides = [left.groupBy(*on).agg(F.count(F.lit(1)).alias("__l"), F.lit(0).cast("bigint").alias("__r")),
+             right.groupBy(*on).agg(F.lit(0).cast("bigint").alias("__l"), F.count(F.lit(1)).alias("__r"))]
+    n = sides[0].unionByName(sides[1]).groupBy(*on).agg(F.sum("__l").alias("__l"), F.sum("__r").alias("__r"))
+    blocks = [F.ceil(F.col(c) / F.lit(float(limit))).cast("int").alias(c) for c in ("__l", "__r")]
+    crowded = n.filter((F.least("__l", "__r") > 0) & (F.greatest("__l", "__r") > limit)).select(*on, *blocks)
+
+    def placed(df: DataFrame, own: str, other: str) -> DataFrame:
+        mine, theirs = F.coalesce(own, F.lit(1)), F.coalesce(other, F.lit(1))
+        t = df.join(crowded, on, "left").withColumn(f"{own}b", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), mine.cast("bigint")).cast("int"))
+        return t.withColumn(f"{other}b", F.explode(F.sequence(F.lit(0), theirs - 1))).drop("__l", "__r")
+
+    return placed(left, "__l", "__r").join(placed(right, "__r", "__l"), [*on, "__lb", "__rb"]).drop("__lb", "__rb")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evalspark.operators import bank as N
+from evalspark.operators.curate import content_digest
 from evalspark.queries.metrics_queries import rounded
 from evalspark.queries.oracle import U, normal, sql
 from evalspark.sources import views as V
@@ -74,8 +75,20 @@ ROB = """SELECT item_id, bool_and((v - md) / (1.4826::DOUBLE * mad) <= 1.5::DOUB
 q("n08_robust_filter", lambda s, d: N.robust_filter(N.region_moments(vec(s, d)), 1.5), "SELECT item_id, keep FROM rob", rob=ROB)
 q("n09_build_bank", lambda s, d: rounded(N.build_bank(vec(s, d), MIN_N, 1.5)[0]),
   "SELECT item_id, region, channel, round(mean, 6) AS mean, round(sd, 6) AS sd, n FROM mom JOIN rob USING (item_id) WHERE keep", rob=ROB)
-q("n09_bank_provenance", lambda s, d: N.build_bank(vec(s, d), MIN_N, 1.5)[1].drop("digest"),
-  "SELECT count(*) FILTER (keep) AS n_valid, count(*) FILTER (NOT keep) AS n_dropped FROM rob", rob=ROB)
+
+
+def provenance(s, d):
+    """The counts, and the digest against one taken over the bank as it was returned."""
+    bank, p = N.build_bank(vec(s, d), MIN_N, 1.5)
+    grey = bank.select("item_id", "region", "channel", *[F.round(c, 9).alias(c) for c in ("mean", "sd")])
+    same = content_digest(grey, ["item_id", "region", "channel", "mean", "sd"]).select("rows", F.col("digest").alias("again"))
+    return p.crossJoin(same).select("n_valid", "n_dropped", "rows", (F.col("digest") == F.col("again")).alias("digest_holds"),
+                                    F.length("digest").alias("digits"))
+
+
+q("n09_bank_provenance", provenance,
+  """SELECT count(*) FILTER (keep) AS n_valid, count(*) FILTER (NOT keep) AS n_dropped, (SELECT count(*) FROM mom JOIN rob USING (item_id) WHERE keep) AS rows,
+ TRUE AS digest_holds, 64 AS digits FROM rob""", rob=ROB)
 
 
 def wide(s, d):

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from evalspark.functions.columns import uniform
 from evalspark.operators import confound as X
-from evalspark.operators import infer as B
+from evalspark.queries.curate_queries import MAP, OPP, denied, same_entity
+from evalspark.queries.infer_queries import BASE, NB, REPLICATE, RP, RUNS
 from evalspark.queries.metrics_queries import R, auc_sql, rounded
 from evalspark.queries.oracle import U, grain, sql
 from evalspark.sources import views as V
@@ -14,6 +15,7 @@ from evalspark.sources.views import grain as vgrain
 
 Q = {}
 COLS = ["f1", "f2", "f3"]
+NPERM = 100
 
 
 def doc_prediction(s, d):
@@ -59,10 +61,10 @@ q("x06_residual_auc", lambda s, d: rounded(X.residual_auc(doc_prediction(s, d),
  (SELECT arm, seed, 1 - var_pop(residual) / var_pop(s) AS r2 FROM resid GROUP BY ALL) USING (arm, seed)""",
   dp=DP, resid=RES, xa=auc_sql("arm, seed", "resid", "s"), xb=auc_sql("arm, seed", "resid", "residual"))
 q("x06_residual_auc_features", lambda s, d: rounded(X.residual_auc(doc_prediction(s, d), X.standardise(V.features(s, d), COLS), COLS, ["arm", "seed"])))
-q("x07_permutations", lambda s, d: X.permutations(V.features(s, d), 5),
+q("x07_permutations", lambda s, d: X.permutations(V.features(s, d), NPERM),
   f"""SELECT perm, a.item_id, b.item_id AS donor FROM (SELECT item_id, perm, row_number() OVER (PARTITION BY perm ORDER BY {U("item_id", "perm")}, item_id) AS idx
- FROM features, (SELECT unnest(range(5))::INT AS perm)) a JOIN (SELECT item_id, row_number() OVER (ORDER BY item_id) AS idx FROM features) b USING (idx)""")
-q("x07_permutation_control", lambda s, d: rounded(X.permutation_control(doc_prediction(s, d), X.standardise(V.features(s, d), COLS), COLS, 100)))
+ FROM features, (SELECT unnest(range({NPERM}))::INT AS perm)) a JOIN (SELECT item_id, row_number() OVER (ORDER BY item_id) AS idx FROM features) b USING (idx)""")
+q("x07_permutation_control", lambda s, d: rounded(X.permutation_control(doc_prediction(s, d), X.standardise(V.features(s, d), COLS), COLS, NPERM)))
 q("x08_control_score", lambda s, d: X.control_score(V.features(s, d), COLS, "unit").select(
     "arm", *[F.round(c, 4).alias(c) for c in ("auc", "auc_residual", "r2")]))
 
@@ -125,5 +127,24 @@ def probe(s, d):
 
 
 q("x16_linear_probe", probe)
-q("x17_replicate", lambda s, d: rounded(X.replicate(V.prediction(s, d), "testb", "full", ["plain", "blend"], 20)["tests"]))
-_ = B
+
+
+def replicated(part):
+    return lambda s, d: rounded(X.replicate(V.prediction(s, d), "testb", "full", ["blend", "plain"], NB)[part])
+
+
+def replicate_audit(part):
+    """The labelled documents as the replicate: their scores, and their features as the background."""
+    return lambda s, d: rounded(X.replicate_audit(doc_prediction(s, d), V.features(s, d), COLS)[part])
+
+
+q("x17_replicate", replicated("tests"), REPLICATE, **RP)
+q("x17_replicate_runs", replicated("runs"), f"SELECT * FROM ({RUNS}) WHERE cohort = 'testb'", **BASE)
+MEANS = ("roc_auc", "average_precision", "macro_f1", "positive_rate", "ece")
+q("x17_replicate_summary", lambda s, d: X.replicate(V.prediction(s, d), "testb", "full", ["blend", "plain"], NB)["summary"].select(
+    "arm", "seeds", *[F.round(c, 4).alias(c) for c in ("roc_auc_sd", *MEANS)]),
+  f"""SELECT arm, count(*) AS seeds, round(stddev_samp(roc_auc), 4) AS roc_auc_sd, {", ".join(f"round(avg({c}), 4) AS {c}" for c in MEANS)} FROM ({RUNS}) WHERE cohort = 'testb' GROUP BY ALL""", **BASE)
+q("x17_replicate_residual", replicate_audit("residual"))
+q("x17_replicate_background", replicate_audit("background"))
+q("x17_replicate_cohort", lambda s, d: X.replicate_cohort(V.box(s, d), same_entity(s, d), MAP, OPP, denied=denied(s, d)).groupBy("class_name", "leukemia_type").agg(
+    F.count(F.lit(1)).alias("crops"), F.countDistinct("slide").alias("slides"), F.sum("window_h").alias("window_h")))

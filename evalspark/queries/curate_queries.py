@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evalspark.functions.columns import iou, uniform
@@ -77,15 +78,17 @@ q("c04_entities_by_file", lambda s, d: C.entities_by_file(box(s, d)),
 
 
 def iou_pairs(s, d):
-    b = boxes1(s, d).groupBy("file_name", "x").agg(*[F.min_by(c, "annotation_id").alias(f"a{c}") for c in C.BBOX],
-                                                   *[F.max_by(c, "annotation_id").alias(f"b{c}") for c in C.BBOX])
-    return b.select("file_name", "x", F.round(iou(["a" + c for c in C.BBOX], ["b" + c for c in C.BBOX]), 6).alias("iou"))
+    """Every box with the next one of its file and column, by annotation id."""
+    w = Window.partitionBy("file_name", "x").orderBy("annotation_id")
+    b = boxes1(s, d).select("file_name", "annotation_id", *[F.col(c).alias("a" + c) for c in C.BBOX], "x")
+    b = b.select("*", *[F.lead("a" + c).over(w).alias("b" + c) for c in C.BBOX]).filter("bx IS NOT NULL")
+    return b.select("file_name", "annotation_id", F.round(iou(["a" + c for c in C.BBOX], ["b" + c for c in C.BBOX]), 6).alias("iou"))
 
 
 q("c05_iou", iou_pairs,
-  """SELECT file_name, x, round(i / (aw*ah + bw*bh - i), 6) AS iou FROM (SELECT *, greatest(0.0, least(x+aw, x+bw) - x) *
- greatest(0.0, least(ay+ah, by_+bh) - greatest(ay, by_)) AS i FROM (SELECT file_name, x, arg_min(y, annotation_id) AS ay, arg_min(w, annotation_id) AS aw,
- arg_min(h, annotation_id) AS ah, arg_max(y, annotation_id) AS by_, arg_max(w, annotation_id) AS bw, arg_max(h, annotation_id) AS bh FROM labf GROUP BY ALL))""")
+  """SELECT file_name, annotation_id, round(i / (w*h + bw*bh - i), 6) AS iou FROM (SELECT *, greatest(0.0, least(x+w, bx+bw) - greatest(x, bx)) *
+ greatest(0.0, least(y+h, by_+bh) - greatest(y, by_)) AS i FROM (SELECT file_name, annotation_id, x, y, w, h, lead(x) OVER o AS bx, lead(y) OVER o AS by_,
+ lead(w) OVER o AS bw, lead(h) OVER o AS bh FROM labf WINDOW o AS (PARTITION BY file_name, x ORDER BY annotation_id)) WHERE bx IS NOT NULL)""")
 q("c06_greedy_iou_dedup", lambda s, d: C.greedy_iou_dedup(boxes1(s, d)).select("file_name", "annotation_id", "kept"), None)
 q("c07_skip_reason", lambda s, d: C.skip_reason(boxes1(s, d), denied(s, d), duplicates=False).select("file_name", "annotation_id", "skip"),
   "SELECT file_name, annotation_id, skip FROM reason")

@@ -172,9 +172,22 @@ Q["d12_group_report"] = (
     lambda s, d: D.group_report(labelled(s, d)),
     esql(f"""SELECT 'all' AS part, sum(n)::BIGINT AS items, {REP} FROM (SELECT group_id, sum(n) AS n FROM ({PER}) GROUP BY ALL)
  UNION ALL SELECT y::VARCHAR, sum(n)::BIGINT, {REP} FROM ({PER}) GROUP BY y"""))
+
+
+def crossing(s, d):
+    """One class for all, so that pairs, and so groups, may cross the labels."""
+    g = D.overlap_groups(V.doc_features(s, d).withColumn("cls", F.lit("all")), MM, MO, MS)
+    return g.join(table(s, d, "labels").select(F.col("doc_id").alias("item_id"), F.col("quality").alias("y")), "item_id")
+
+
+ALL1 = dict(EV, cnt="SELECT 'all' AS cls, item_id, code, count(*) AS w FROM doc_features GROUP BY ALL")
 Q["d13_mixed_groups"] = (
-    lambda s, d: D.mixed_groups(labelled(s, d)),
-    esql(f"SELECT group_id, count(*) AS items, count(DISTINCT y) AS labels FROM {LAB} GROUP BY ALL HAVING count(DISTINCT y) > 1"))
+    lambda s, d: D.mixed_groups(crossing(s, d)),
+    sql(f"SELECT group_id, count(*) AS items, count(DISTINCT y) AS labels FROM {LAB} GROUP BY ALL HAVING count(DISTINCT y) > 1", recursive=True, **ALL1))
+Q["d13_mixed_units"] = (
+    lambda s, d: D.mixed_groups(table(s, d, "orders").select(F.col("o_custkey").alias("group_id"), (F.col("o_orderstatus") == "F").cast("int").alias("y"))),
+    """SELECT o_custkey AS group_id, count(*) AS items, count(DISTINCT o_orderstatus = 'F') AS labels FROM orders GROUP BY ALL
+ HAVING count(DISTINCT o_orderstatus = 'F') > 1""")
 
 
 def units_of(s, d):

@@ -81,24 +81,30 @@ Q["f02_ensemble_common_items"] = (
  HAVING count(*) = 3""", holes=HOLES))
 BY = ["arm", "seed", "item_id"]
 B = "arm, seed, item_id"
-WHOLE = "SELECT arm, seed, item_id, p FROM prediction WHERE arm IN ('full', 'plain')"
+BYS = ["arm", "seed", "scale", "item_id"]
+BS = "arm, seed, scale, item_id"
+WHOLE = "SELECT arm, seed, scale, item_id, y, p FROM prediction, (VALUES (0), (1)) t(scale) WHERE arm IN ('full', 'plain')"
+
+
+def scaled(s, d):
+    """The whole-item scores of the two arms that have instances, beside either scale."""
+    return P(s, d).filter("arm IN ('full', 'plain')").withColumn("scale", F.explode(F.array(F.lit(0), F.lit(1))))
 
 
 def bag(how, fallback=False):
     def run(s, d):
-        inst = I(s, d).filter("scale = 0")
-        fb = P(s, d).filter("arm IN ('full', 'plain')").select(*BY, "p") if fallback else None
-        return rounded(U_.bag_scores(inst, BY, how, 3, 0.5, fb))
+        fb = scaled(s, d).select(*BYS, "p") if fallback else None
+        return rounded(U_.bag_scores(I(s, d), BYS, how, 3, 0.5, fb))
     return run
 
 
 AGGS = {"mean": "avg(p)", "max": "max(p)", "frac": "avg((p >= 0.5::DOUBLE)::INT)",
         "topk": "avg(p) FILTER (rn <= 3)"}
-BAG = f"SELECT {B}, {{a}} AS p FROM (SELECT *, row_number() OVER (PARTITION BY {B} ORDER BY p DESC) AS rn FROM instance_runs WHERE scale = 0) GROUP BY ALL"
+BAG = f"SELECT {BS}, {{a}} AS p FROM (SELECT *, row_number() OVER (PARTITION BY {BS} ORDER BY p DESC) AS rn FROM instance_runs) GROUP BY ALL"
 for how in U_.HOW:
-    Q[f"f03_bag_{how}"] = (bag(how), sql(f"SELECT {B}, round(p, 6) AS p FROM bagged", bagged=BAG.format(a=AGGS[how])))
+    Q[f"f03_bag_{how}"] = (bag(how), sql(f"SELECT {BS}, round(p, 6) AS p FROM bagged", bagged=BAG.format(a=AGGS[how])))
 Q["f04_bag_fallback"] = (bag("mean", True), sql(
-    f"SELECT {B}, round(coalesce(b.p, w.p), 6) AS p, b.p IS NULL AS scored_whole FROM whole w LEFT JOIN bagged b USING ({B})",
+    f"SELECT {BS}, round(coalesce(b.p, w.p), 6) AS p, b.p IS NULL AS scored_whole FROM whole w LEFT JOIN bagged b USING ({BS})",
     whole=WHOLE, bagged=BAG.format(a="avg(p)")))
 Q["f05_multi_scale"] = (
     lambda s, d: rounded(U_.bag_scores(U_.multi_scale(I(s, d), BY), BY, "max")),
@@ -107,14 +113,13 @@ Q["f06_view_mean"] = (
     lambda s, d: rounded(U_.view_mean(P(s, d), ["cohort", "arm", "item_id"], 2, "seed")),
     sql("""SELECT cohort, arm, item_id, round(ln(greatest(avg(p), 1e-12::DOUBLE)), 6) AS log_p FROM prediction WHERE seed < 2
  GROUP BY ALL"""))
-LONG = f"""SELECT arm, seed, y, unnest(['whole','mean','topk','max']) AS scoring, unnest([w.p, coalesce(b.me, w.p), coalesce(b.tk, w.p),
- coalesce(b.mx, w.p)]) AS p FROM (SELECT * FROM prediction WHERE arm IN ('full', 'plain')) w LEFT JOIN b USING ({B})"""
+LONG = f"""SELECT arm, seed, scale, y, unnest(['whole','mean','topk','max']) AS scoring, unnest([w.p, coalesce(b.me, w.p), coalesce(b.tk, w.p),
+ coalesce(b.mx, w.p)]) AS p FROM whole w LEFT JOIN b USING ({BS})"""
 Q["f07_compare_scorings"] = (
-    lambda s, d: rounded(U_.compare_scorings(I(s, d).filter("scale = 0").withColumn("p", F.col("p")),
-                                             P(s, d).filter("arm IN ('full', 'plain')"))),
-    sql("""SELECT arm, scoring, count(*) AS seeds, round(avg(roc_auc), 6) AS auc_mean, round(stddev_samp(roc_auc), 6) AS auc_sd
+    lambda s, d: rounded(U_.compare_scorings(I(s, d), scaled(s, d), by=("arm", "scale"))),
+    sql("""SELECT arm, scale, scoring, count(*) AS seeds, round(avg(roc_auc), 6) AS auc_mean, round(stddev_samp(roc_auc), 6) AS auc_sd
  FROM la GROUP BY ALL""", b=BAG.format(a="round(avg(p), 12) AS me, max(p) AS mx, round(avg(p) FILTER (rn <= 3), 12) AS tk, 0"),
-        lng=LONG, la=auc_sql("arm, seed, scoring", "lng")))
+        whole=WHOLE, lng=LONG, la=auc_sql("arm, seed, scale, scoring", "lng")))
 Q["f08_score_drift"] = (
     lambda s, d: rounded(U_.score_drift(P(s, d).filter("seed = 0"), P(s, d).filter("seed = 1"),
                                         ["cohort", "arm", "item_id"], ["cohort", "arm"])),
@@ -127,9 +132,9 @@ Q["f09_alignment"] = (
  count(*) FILTER (a <> b) AS label_conflicts FROM (SELECT cohort, item_id, count(*) AS n, min(y) AS a, max(y) AS b FROM holes
  GROUP BY ALL) GROUP BY ALL""", holes=HOLES))
 Q["f10_exemplar"] = (
-    lambda s, d: rounded(U_.exemplar(I(s, d).filter("arm = 'full' AND scale = 0"), 4)),
+    lambda s, d: rounded(U_.exemplar(I(s, d), 4, ("arm", "seed", "scale"))),
     sql("""SELECT item_id, round(low, 6) AS lowest FROM (SELECT item_id, min(p) AS low, count(*) AS n FROM (SELECT item_id, inst_id,
- avg(p) AS p FROM instance_runs WHERE arm = 'full' AND scale = 0 GROUP BY ALL) GROUP BY ALL) WHERE n = 4
+ avg(p) AS p FROM instance_runs GROUP BY ALL) GROUP BY ALL) WHERE n = 4
  ORDER BY low DESC, item_id LIMIT 1"""))
 Q["f11_confident_examples"] = (
     lambda s, d: rounded(U_.confident_examples(P(s, d), 5)),

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import functions as F
 
 from evalspark.operators import dedup as D
 from evalspark.operators import infer as B
 from evalspark.operators import metrics as M
-from evalspark.queries.metrics_queries import CTE, RUN, R, rounded
+from evalspark.queries.metrics_queries import BUNDLE, CTE, RUN, R, rounded
 from evalspark.queries.oracle import U, sql
 from evalspark.sources import views as V
 
@@ -43,8 +45,9 @@ def wm_sql(draws: str = "drw", strata: str = "cohort, y", unit: str = "unit", sr
 BASE = dict(CTE, uni=unit_sql("cohort, y"), drw=draw_sql("cohort, y"), wmet=wm_sql())
 
 
-def delta_sql(src: str, keys: str, floor: str, sd: bool = False) -> str:
-    return f"""SELECT {keys}, max(d) FILTER (draw = -1) AS delta, quantile_cont(d, 0.025) FILTER (draw >= 0) AS ci_low,
+def delta_sql(src: str, keys: str, floor: str, observed: Sequence[str] = ()) -> str:
+    more = "".join(f"max({c}) FILTER (draw = -1) AS {c}, " for c in observed)
+    return f"""SELECT {keys}, {more}max(d) FILTER (draw = -1) AS delta, quantile_cont(d, 0.025) FILTER (draw >= 0) AS ci_low,
  quantile_cont(d, 0.975) FILTER (draw >= 0) AS ci_high, least(1.0, greatest({floor}, 2 * least(avg((d <= 0)::INT) FILTER (draw >= 0),
  avg((d >= 0)::INT) FILTER (draw >= 0)))) AS p FROM {src} GROUP BY ALL"""
 
@@ -58,6 +61,8 @@ PAIRED = f"""SELECT b.cohort, b.seed, b.arm AS baseline, metric, draw, r.value -
  JOIN (SELECT * FROM wmet WHERE arm = 'full') r USING (cohort, seed, draw, metric)"""
 BASE.update(pairsd=PAIRED, pairb=delta_sql("pairsd", "cohort, seed, baseline, metric", f"1.0 / ({NB} + 1)"),
             pairh=holm_sql("pairb", "cohort, seed", "baseline, metric"))
+R8 = """round(reference_value, 6) AS reference_value, round(comparator_value, 6) AS comparator_value, round(p_holm, 6) AS p_holm,
+ CASE WHEN p_holm < 0.05 THEN 'yes' ELSE 'no' END AS significant"""
 R5 = "round(delta, 6) AS delta, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, round(p, 6) AS p"
 
 
@@ -103,6 +108,10 @@ Q["b09_auc_ci"] = (
     lambda s, d: rounded(B.auc_ci(P(s, d), NB)),
     bsql(f"""SELECT {R}, round(max(value) FILTER (draw = -1), 6) AS roc_auc, round(quantile_cont(value, 0.025) FILTER (draw >= 0), 6) AS ci_low,
  round(quantile_cont(value, 0.975) FILTER (draw >= 0), 6) AS ci_high FROM wmet WHERE metric = 'roc_auc' GROUP BY ALL"""))
+CI = f"""SELECT {R}, round(quantile_cont(value, 0.025) FILTER (draw >= 0), 6) AS auc_ci_low, round(quantile_cont(value, 0.975) FILTER (draw >= 0), 6)
+ AS auc_ci_high FROM wmet WHERE metric = 'roc_auc' GROUP BY ALL"""
+RUNS = f"SELECT *, 0.5::DOUBLE AS threshold FROM ({BUNDLE}) JOIN ({CI}) USING ({R})"
+Q["k21_run_bundle"] = (lambda s, d: rounded(B.run_bundle(P(s, d), NB)), bsql(RUNS))
 
 
 def arms_sql(src: str = "wmet") -> str:
@@ -115,7 +124,7 @@ def arms_sql(src: str = "wmet") -> str:
 
 def method_sql(arms: str, pairs: str) -> str:
     return f"""SELECT cohort, metric, draw, family, reference, comparator, r.seeds AS reference_seeds, c.seeds AS comparator_seeds,
- r.value - c.value AS d FROM {pairs} JOIN {arms} r ON r.arm = reference JOIN {arms} c ON c.arm = comparator AND c.cohort = r.cohort
+ r.value AS reference_value, c.value AS comparator_value, r.value - c.value AS d FROM {pairs} JOIN {arms} r ON r.arm = reference JOIN {arms} c ON c.arm = comparator AND c.cohort = r.cohort
  AND c.metric = r.metric AND c.draw = r.draw"""
 
 
@@ -123,7 +132,7 @@ def methods(prefix: str, wm: str, pairs: str) -> dict[str, str]:
     md = method_sql(f"{prefix}arms", f"{prefix}pairs").replace("SELECT cohort, metric, draw", "SELECT r.cohort, r.metric, r.draw")
     return {f"{prefix}arms": arms_sql(wm), f"{prefix}pairs": pairs, f"{prefix}d": md,
             f"{prefix}b": delta_sql(f"{prefix}d", "cohort, metric, family, reference, comparator, reference_seeds, comparator_seeds",
-                                    f"1.0 / ({NB} + 1)"),
+                                    f"1.0 / ({NB} + 1)", ("reference_value", "comparator_value")),
             f"{prefix}h": holm_sql(f"{prefix}b", "cohort, metric, family", "reference, comparator")}
 
 
@@ -132,7 +141,10 @@ MKEYS = "cohort, metric, reference, comparator, reference_seeds, comparator_seed
 MT = methods("mt_", "wmet", MPAIRS)
 Q["b10_method_tests"] = (
     lambda s, d: rounded(B.method_tests(P(s, d), "full", COMP, NB)),
-    bsql(f"SELECT {MKEYS}, {R5}, round(p_holm, 6) AS p_holm FROM mt_h WHERE metric <> 'macro_f1'", **MT))
+    bsql(f"SELECT {MKEYS}, {R5}, {R8} FROM mt_h WHERE metric <> 'macro_f1'", **MT))
+RPAIRS = "SELECT 'methods' AS family, 'full' AS reference, unnest(['blend', 'plain']) AS comparator"
+REPLICATE = f"SELECT {MKEYS}, {R5}, {R8} FROM rp_h WHERE metric <> 'macro_f1' AND cohort = 'testb'"
+RP = {**BASE, **methods("rp_", "wmet", RPAIRS)}
 FAM = {"components": [("full", "plain"), ("full", "jitter")], "pairs": [("blend", "plain")]}
 FPAIRS = "SELECT * FROM (VALUES " + ", ".join(f"('{f}', '{a}', '{b}')" for f, v in FAM.items() for a, b in v) + \
     ") t(family, reference, comparator)"
@@ -141,7 +153,7 @@ FT = dict(fsrc=FSRC, funi=unit_sql("cohort, y", "unit", "fsrc"), fdrw=draw_sql("
           fwm=wm_sql("fdrw", src="fsrc"), **methods("ft_", "fwm", FPAIRS))
 Q["b11_family_tests"] = (
     lambda s, d: rounded(B.family_tests(P(s, d), FAM, NB, seeds=[0, 1])),
-    bsql(f"SELECT {MKEYS}, family, {R5}, round(p_holm, 6) AS p_holm FROM ft_h WHERE metric = 'roc_auc'", **FT))
+    bsql(f"SELECT {MKEYS}, family, {R5}, {R8} FROM ft_h WHERE metric = 'roc_auc'", **FT))
 SUBW = f"""SELECT {R}, draw, subtype, p, sum(weight)::BIGINT AS k FROM prediction JOIN (SELECT * FROM sdrw UNION ALL SELECT cohort, subtype, unit,
  -1, 1 FROM suni) USING (cohort, subtype, unit) GROUP BY ALL"""
 SUBA = f"""SELECT {R}, draw, subtype, sum(k * (2 * below + coalesce(neg, 0))) / (2.0 * sum(k) * max(nn)) AS auc FROM (

@@ -9,10 +9,11 @@ from evalspark.operators import runlog as L
 from evalspark.plans.lineage import work_folder
 from evalspark.queries.metrics_queries import R, rounded
 from evalspark.queries.oracle import U, sql
-from evalspark.queries.runlog_queries import LATEST, TOT
+from evalspark.queries.runlog_queries import LATEST, MEMORY
 from evalspark.sources import io as S
 from evalspark.sources import views as V
 from evalspark.sources.tables import table
+from evalspark.sources.versions import publish, read_published
 from evalspark.streaming import stream as W
 
 Q = {}
@@ -34,10 +35,25 @@ def predictions(s, d):
                        F.col("r.n").alias("names"), F.lit("whole").alias("inference"))
     path = work_folder(s, "predictions")
     docs.write.partitionBy("file").json(path)
-    return S.read_predictions(s, path).select("cohort", "arm", "seed", "item_id", "y", "p", "inference")
+    return path
+
+
+PRED = ["cohort", "arm", "seed", "item_id", "y", "p", "inference"]
+
+
+def published(s, d):
+    """A result replaced once, read through its pointer."""
+    path = work_folder(s, "published")
+    o = table(s, d, "orders")
+    publish(o.limit(0), path)
+    publish(o.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("orders"), F.max("o_orderkey").alias("last")), path, ["o_orderpriority", "orders"])
+    return read_published(s, path)
 
 
-q("s01_read_predictions", predictions, f"SELECT {R}, item_id::VARCHAR AS item_id, y, p, 'whole' AS inference FROM prediction")
+q("s01_read_wanted_runs", lambda s, d: S.read_predictions(s, predictions(s, d), ["val", "testb"], ["full"], [0, 2]).select(*PRED),
+  f"""SELECT {R}, item_id::VARCHAR AS item_id, y, p, 'whole' AS inference FROM prediction WHERE cohort IN ('val', 'testb') AND arm = 'full' AND seed IN (0, 2)""")
+q("s07_publish_result", published, "SELECT o_orderpriority, count(*) AS orders FROM orders GROUP BY ALL")
+q("s01_read_predictions", lambda s, d: S.read_predictions(s, predictions(s, d)).select(*PRED), f"SELECT {R}, item_id::VARCHAR AS item_id, y, p, 'whole' AS inference FROM prediction")
 CATS = ("lymph", "mono", "none", "blast")
 
 
@@ -64,12 +80,12 @@ def labelled_files(s, d):
     path = work_folder(s, "files")
     f = V.items(s, d)
     for label, name in enumerate(("Normal", "ALL")):
-        f.filter(F.col("y") == label).select(F.to_json(F.struct("*")).alias("value")).write.text(f"{path}/{name}")
+        f.filter(F.col("y") == label).select(F.concat_ws(",", "item_id", "unit", "subtype").alias("value")).write.text(f"{path}/{name}")
     files = S.scan_labelled(s, [path], ("Normal", "ALL"), ("txt",))
-    return files.groupBy("class_name", "label").agg((F.count(F.lit(1)) > 0).alias("found"))
+    return files.groupBy("class_name", "label").agg(F.sum("length").alias("n_bytes"))
 
 
-q("s03_scan_labelled", labelled_files, "SELECT * FROM (VALUES ('Normal', 0, TRUE), ('ALL', 1, TRUE)) t(class_name, label, found)")
+q("s03_scan_labelled", labelled_files, "SELECT CASE y WHEN 0 THEN 'Normal' ELSE 'ALL' END AS class_name, y AS label, sum(strlen(concat_ws(',', item_id, unit, subtype)) + 1)::BIGINT AS n_bytes FROM items GROUP BY ALL")
 RULES = [("src0", "Normal", "A"), ("src1", "ALL", "B"), ("src2", "*", "C")]
 q("s04_map_labels", lambda s, d: S.map_labels(table(s, d, "documents").select("source", F.concat_ws(
     "_", F.col("doc_id").cast("string"), (F.col("doc_id") % 2).cast("string")).alias("stem")), RULES),
@@ -168,7 +184,8 @@ def windows(s, d):
     return s.read.parquet(out)
 
 
-WIN = """SELECT epoch_us(date_trunc('day', ts)) // 86400000000 AS day, run_id, phase, avg(gpu_util) AS gpu_util_mean, avg(sys_cpu) AS sys_cpu_mean, max(gpu_mem_gb) AS gpu_mem_peak_gb,
+WIN = """SELECT epoch_us(date_trunc('day', ts)) // 86400000000 AS day, run_id, phase, avg(gpu_util) AS gpu_util_mean, avg(sys_cpu) AS sys_cpu_mean, greatest(max(torch_reserved_gb), max(gpu_mem_gb)) AS vram_peak_gb,
+ max(gpu_mem_gb) AS gpu_mem_peak_gb, max(gpu_mem_total_gb) AS gpu_mem_total_gb, max(ram_total_gb) AS ram_total_gb, max(shm_total_gb) AS shm_total_gb,
  min(ram_avail_gb) AS ram_avail_min_gb, max(shm_used_gb) AS shm_used_peak_gb, sum(wait_ms)::BIGINT AS wait_ms, sum(step_ms)::BIGINT AS busy_ms, count(*) AS samples
  FROM resource_sample WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM resource_sample) GROUP BY ALL"""
 
@@ -220,8 +237,6 @@ def latest_rows(s, d):
 
 
 q("w05_stream_latest", latest_rows, "SELECT run_id, epoch, arrival, metric FROM latest", latest=LATEST)
-q("w06_stream_flags", lambda s, d: by_day(W.stream_flags(windows(s, d), TOT)).select("day", "run_id", "phase", F.concat_ws("; ", "flags").alias("flags")),
-  """SELECT day, run_id, phase, array_to_string(list_filter([CASE WHEN phase = 'train' AND gpu_util_mean < 70 AND wait_ms / nullif(busy_ms, 0) > 0.2::DOUBLE THEN 'input-bound' END,
- CASE WHEN phase = 'val' AND wait_ms / nullif(busy_ms, 0) > 0.2::DOUBLE THEN 'val input-bound' END, CASE WHEN gpu_mem_peak_gb < 125 THEN 'vram headroom' END,
- CASE WHEN ram_avail_min_gb < 10 THEN 'ram near limit' END, CASE WHEN shm_used_peak_gb > 80 THEN 'shm near limit' END,
- CASE WHEN sys_cpu_mean > 90 THEN 'cpu saturated' END], lambda x: x IS NOT NULL), '; ') AS flags FROM wins""", wins=WIN)
+q("w06_stream_flags", lambda s, d: by_day(W.stream_flags(windows(s, d))).select("day", "run_id", "phase", F.concat_ws("; ", "flags").alias("flags")),
+  f"""SELECT day, run_id, phase, array_to_string(list_filter([CASE WHEN phase = 'train' AND gpu_util_mean < 70 AND wait_ms / nullif(busy_ms, 0) > 0.2::DOUBLE THEN 'input-bound' END,
+ CASE WHEN phase = 'val' AND wait_ms / nullif(busy_ms, 0) > 0.2::DOUBLE THEN 'val input-bound' END, {MEMORY}], lambda x: x IS NOT NULL), '; ') AS flags FROM wins""", wins=WIN)

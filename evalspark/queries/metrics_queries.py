@@ -158,9 +158,7 @@ Q["k20_feature_auc"] = (
     sql("SELECT feature, round(roc_auc, 6) AS roc_auc, round(abs(roc_auc - 0.5), 6) AS distance FROM fa",
         fl=" UNION ALL ".join(f"SELECT '{f}' AS feature, y, {f} AS p FROM features" for f in ("f1", "f2", "f3")),
         fa=auc_sql("feature", "fl")))
-Q["k21_cohort_metrics"] = (
-    lambda s, d: rounded(M.cohort_metrics(P(s, d), RUN)),
-    sql(f"""SELECT {R}, round(roc_auc,6) AS roc_auc, round(average_precision,6) AS average_precision, round(prevalence,6) AS prevalence,
+BUNDLE = f"""SELECT {R}, round(roc_auc,6) AS roc_auc, round(average_precision,6) AS average_precision, round(prevalence,6) AS prevalence,
  round(brier,6) AS brier, round(s90,6) AS sens_at_spec90, round(s95,6) AS sens_at_spec95, round(ece,6) AS ece,
  round((sensitivity+specificity)/2,6) AS balanced_accuracy, round(sensitivity,6) AS sensitivity, round(specificity,6) AS specificity,
  round(mcc,6) AS mcc, round(positive_rate,6) AS positive_rate, round({F1},6) AS macro_f1,
@@ -169,7 +167,8 @@ Q["k21_cohort_metrics"] = (
  (SELECT {R}, avg(y) AS prevalence, avg((p-y)*(p-y)) AS brier FROM prediction GROUP BY ALL) USING ({R}) JOIN
  (SELECT {R}, coalesce(max(tp/np) FILTER (fp/nn <= 0.1::DOUBLE + 1e-9), 0.0) AS s90, coalesce(max(tp/np) FILTER (fp/nn <= 0.05::DOUBLE
   + 1e-9), 0.0) AS s95 FROM curve GROUP BY ALL) USING ({R}) JOIN
- (SELECT {R}, sum(abs(sy - sp)) / sum(n) AS ece FROM bins GROUP BY ALL) USING ({R})""", **CTE))
+ (SELECT {R}, sum(abs(sy - sp)) / sum(n) AS ece FROM bins GROUP BY ALL) USING ({R})"""
+Q["k21_cohort_metrics"] = (lambda s, d: rounded(M.cohort_metrics(P(s, d), RUN)), sql(BUNDLE, **CTE))
 Q["k22_family_score"] = (
     lambda s, d: rounded(M.family_score(P(s, d), ["cohort", "seed"], "arm", ["jitter", "blend", "plain"])),
     sql(f"""SELECT cohort, seed, round(avg(0.5::DOUBLE*roc_auc + 0.5::DOUBLE*({F1})), 6) AS score_j FROM auc JOIN cm USING ({R})

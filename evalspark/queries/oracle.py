@@ -102,6 +102,7 @@ VIEWS = {
  SELECT 'cls_a' || (user_id % 7) || '_seed' || (user_id // 7) AS run_id, day(ts)::BIGINT AS epoch, ts,
   CASE event_type WHEN 'click' THEN 'train' WHEN 'view' THEN 'val' WHEN 'error' THEN 'train' ELSE 'idle' END AS phase,
   {", ".join(f"CASE WHEN {U('event_id', repr(g))} >= 0.1::DOUBLE THEN floor({U('event_id', repr(g), repr('v'))} * 1000) / 10.0::DOUBLE END AS {g}" for g in GAUGES)},
+  180.0::DOUBLE + 10 * (user_id % 7) AS gpu_mem_total_gb, 100.0::DOUBLE AS ram_total_gb, 100.0::DOUBLE AS shm_total_gb, (user_id % 7 + 8)::DOUBLE AS cpu_count,
   floor(value)::BIGINT AS step_ms, floor(value * {U("event_id", "'wait'")})::BIGINT AS wait_ms FROM events""",
     "duration_log": f"""
  SELECT event_type AS stage, 'cell' || user_id AS cell, value AS seconds, CASE WHEN u < 0.7::DOUBLE THEN 'ok'

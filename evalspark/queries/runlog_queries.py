@@ -55,33 +55,36 @@ q("l08_curve_report", lambda s, d: rounded(L.curve_report(latest(s, d), "full",
  round(avg(mean_all), 6) AS all_epoch_mean, round(stddev_samp(mean_all), 6) AS all_epoch_sd, min(selected_epoch) AS selected_min,
  median(selected_epoch) AS selected_median, max(selected_epoch) AS selected_max FROM crv c JOIN sel USING (run_id) GROUP BY ALL""")
 q("l08_curve_tests", lambda s, d: rounded(L.curve_report(latest(s, d), "full", ["blend", "jitter", "plain"])[1]), None)
-EPR = """SELECT run_id, epoch, avg(gpu_util) FILTER (phase = 'train') AS gpu_util_train, avg(gpu_util) FILTER (phase = 'val') AS gpu_util_val,
- max(gpu_mem_gb) AS gpu_mem_peak_gb, avg(proc_cpu_cores) AS proc_cpu_cores_mean, max(proc_cpu_cores) AS proc_cpu_cores_max, avg(sys_cpu)
- AS sys_cpu_mean, max(ram_used_gb) AS ram_used_peak_gb, min(ram_avail_gb) AS ram_avail_min_gb, max(shm_used_gb) AS shm_used_peak_gb, count(*) AS samples
- FROM resource_sample GROUP BY ALL"""
+IN_SQL = {"mean": "avg", "max": "max", "min": "min"}
+EPR = "SELECT run_id, epoch, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6::DOUBLE AS epoch_s, count(*) AS samples, " + ", ".join(
+    f"{IN_SQL[how]}({g})" + (f" FILTER (phase = '{phase}')" if phase else "") + f" AS {name}" for name, g, phase, how, _ in L.GAUGE_COLUMNS
+) + " FROM resource_sample GROUP BY ALL"
 PHT = """SELECT run_id, epoch, phase, sum(step_ms)::BIGINT AS busy_ms, sum(wait_ms)::BIGINT AS wait_ms, count(*) AS steps, sum(wait_ms) / nullif(sum(step_ms), 0)
  AS wait_frac, sum(step_ms) / count(*) AS step_ms FROM resource_sample GROUP BY ALL"""
-ROWS = """SELECT e.*, max(wait_frac) FILTER (phase = 'train') AS train_wait_frac, max(wait_frac) FILTER (phase = 'val') AS val_wait_frac FROM epr e
- JOIN pht USING (run_id, epoch) GROUP BY ALL"""
-STEADY, PEAKS = [[k for k, v in L.SUMMARY.items() if v == kind] for kind in ("steady mean", "peak")]
+STEP_SQL = {"busy_s": "busy_ms / 1000.0::DOUBLE", "steps": "steps", "step_ms": "step_ms", "wait_step_ms": "wait_ms / steps", "wait_frac": "wait_frac"}
+ROWS = "SELECT e.*, " + ", ".join(f"max({STEP_SQL[m]}) FILTER (phase = '{p}') AS {name}" for name, p, m, _ in L.STEP_COLUMNS) + \
+    " FROM epr e JOIN pht USING (run_id, epoch) GROUP BY ALL"
+STEADY = [k for k, v in L.SUMMARY.items() if v == "steady mean"]
 MEANS = ", ".join(f"CASE WHEN count(*) FILTER (epoch > 1) > 0 THEN avg({k}) FILTER (epoch > 1) ELSE avg({k}) END AS {k}" for k in STEADY)
-SUMM = f"""SELECT regexp_replace(run_id, '_seed\\d+$', '') AS "group", count(DISTINCT run_id) AS runs, count(*) AS epochs, {MEANS},
- {", ".join(f"max({k}) AS {k}" for k in PEAKS)}, min(ram_avail_min_gb) AS ram_avail_min_gb FROM rrows GROUP BY ALL"""
+SUMM = f"""SELECT *, greatest(torch_reserved_peak_gb, gpu_mem_peak_gb) AS vram_peak_gb FROM (SELECT regexp_replace(run_id, '_seed\\d+$', '') AS "group",
+ count(DISTINCT run_id) AS runs, count(*) AS epochs, {MEANS}, {", ".join(f"{v}({k}) AS {k}" for k, v in L.SUMMARY.items() if v in ("max", "min"))} FROM rrows GROUP BY ALL)"""
 RC = dict(epr=EPR, pht=PHT, rrows=ROWS, summ=SUMM)
-FR = "gpu_util_train gpu_util_val proc_cpu_cores_mean sys_cpu_mean".split()
+FR = ["epoch_s", *[c[0] for c in L.GAUGE_COLUMNS if c[3] == "mean"]]
+RFR = [*FR, *[c[0] for c in L.STEP_COLUMNS if c[2] != "steps"]]
+MEMORY = """CASE WHEN vram_peak_gb < 0.5::DOUBLE * gpu_mem_total_gb THEN 'vram headroom' END, CASE WHEN ram_avail_min_gb < 0.1::DOUBLE * ram_total_gb
+ THEN 'ram near limit' END, CASE WHEN shm_used_peak_gb > 0.8::DOUBLE * shm_total_gb THEN 'shm near limit' END, CASE WHEN sys_cpu_mean > 90 THEN 'cpu saturated' END"""
+q("l09_epoch_rows", lambda s, d: rounded(L.resource_rows(V.resource_sample(s, d))),
+  f"SELECT * REPLACE ({', '.join(f'round({c}, 6) AS {c}' for c in RFR)}) FROM rrows", **RC)
 q("l09_epoch_resources", lambda s, d: rounded(L.epoch_resources(V.resource_sample(s, d))),
   f"SELECT * REPLACE ({', '.join(f'round({c}, 6) AS {c}' for c in FR)}) FROM epr", **RC)
 q("l10_phase_timing", lambda s, d: rounded(L.phase_timing(V.resource_sample(s, d))),
   "SELECT * REPLACE (round(wait_frac, 6) AS wait_frac, round(step_ms, 6) AS step_ms) FROM pht", **RC)
 q("l11_resource_summary", lambda s, d: rounded(L.resource_summary(L.resource_rows(V.resource_sample(s, d)))),
   f"SELECT * REPLACE ({', '.join(f'round({c}, 6) AS {c}' for c in STEADY)}) FROM summ", **RC)
-TOT = {"gpu_mem_gb": 250.0, "ram_gb": 100.0, "shm_gb": 100.0}
-q("l12_bottlenecks", lambda s, d: L.bottlenecks(L.resource_summary(L.resource_rows(V.resource_sample(s, d))), TOT).select(
-    "group", F.concat_ws("; ", "flags").alias("flags")),
-  """SELECT "group", array_to_string(list_filter([CASE WHEN gpu_util_train < 70 AND train_wait_frac > 0.2::DOUBLE THEN 'input-bound' END,
- CASE WHEN val_wait_frac > 0.2::DOUBLE THEN 'val input-bound' END, CASE WHEN gpu_mem_peak_gb < 125 THEN 'vram headroom' END,
- CASE WHEN ram_avail_min_gb < 10 THEN 'ram near limit' END, CASE WHEN shm_used_peak_gb > 80 THEN 'shm near limit' END,
- CASE WHEN sys_cpu_mean > 90 THEN 'cpu saturated' END], lambda x: x IS NOT NULL), '; ') AS flags FROM summ""", **RC)
+q("l12_bottlenecks", lambda s, d: L.bottlenecks(L.resource_summary(L.resource_rows(V.resource_sample(s, d)))).select(
+    "group", "vram_peak_gb", "gpu_mem_total_gb", F.concat_ws("; ", "flags").alias("flags")),
+  f"""SELECT "group", vram_peak_gb, gpu_mem_total_gb, array_to_string(list_filter([CASE WHEN gpu_util_train < 70 AND train_wait_frac > 0.2::DOUBLE THEN 'input-bound' END,
+ CASE WHEN val_wait_frac > 0.2::DOUBLE THEN 'val input-bound' END, {MEMORY}], lambda x: x IS NOT NULL), '; ') AS flags FROM summ""", **RC)
 
 
 def durations(s, d):

@@ -41,12 +41,30 @@ def _run_key(path: Column) -> dict[str, Column]:
     return {"arm": F.when(known, arm).otherwise(""), "seed": F.when(known, seed), "cohort": F.when(known, cohort).otherwise("")}
 
 
-def read_predictions(spark: SparkSession, path: str) -> DataFrame:
+def run_paths(spark: SparkSession, path: str, cohorts: Sequence[str] | None = None, arms: Sequence[str] | None = None,
+              seeds: Sequence[int] | None = None) -> list[str]:
+    """Files and folders under `path` (or one folder below it) whose name is that of a wanted run; None wants all."""
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    base = path.rstrip("/")
+    files = at(base).getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f"{front}cls_{arm}_seed{seed}_{test}{cohort}{end}" for arm in arms or ["*"] for seed in seeds or ["*"] for cohort in cohorts or ["*"]
+             for front in ("", "*=") for test in ("", "test_") for end in ("", ".json")]
+    found = {s.getPath().toString() for n in names for depth in ("", "*/") for s in files.globStatus(at(f"{base}/{depth}{n}")) or []}
+    return sorted(found)
+
+
+def read_predictions(spark: SparkSession, path: str, cohorts: Sequence[str] | None = None, arms: Sequence[str] | None = None,
+                     seeds: Sequence[int] | None = None) -> DataFrame:
     """One row per (run, item) from prediction files of parallel arrays; the run key comes from the file name. A run
-    may be spread over several files or lines."""
+    may be spread over several files or lines. With wanted cohorts, arms or seeds only the files of those runs are listed
+    and opened; without such files the result is empty."""
     name = F.input_file_name()
-    d = spark.read.schema(PREDICTION).option("recursiveFileLookup", "true").json(path)
+    wanted = {"cohort": cohorts, "arm": arms, "seed": seeds}
+    places = path if not any(wanted.values()) else run_paths(spark, path, cohorts, arms, seeds)
+    d = spark.read.schema(PREDICTION).option("recursiveFileLookup", "true").json(places) if places else spark.createDataFrame([], PREDICTION)
     d = d.withColumns(_run_key(name)).filter("arm <> '' and cohort <> ''")
+    for key, values in wanted.items():  # a pattern may match more than the run, as names hold underscores
+        d = d.filter(F.col(key).isin(*map(str, values))) if values else d
     same = (F.size("y_true") == F.size("probs")) & (F.size("probs") == F.size("names"))
     d = d.withColumn("y_true", _must(F.col("y_true"), same, "parallel arrays differ in length", "array<int>"))
     e = d.select("cohort", "arm", F.col("seed").cast("int").alias("seed"), "inference",

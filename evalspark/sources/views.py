@@ -162,7 +162,8 @@ def train_log(spark: SparkSession, folder: str) -> DataFrame:
                     .alias("per_class"))
 
 
-GAUGES = ("proc_cpu_cores", "sys_cpu", "gpu_util", "gpu_mem_gb", "ram_used_gb", "ram_avail_gb", "shm_used_gb")
+GAUGES = ("proc_cpu_cores", "sys_cpu", "gpu_util", "gpu_mem_gb", "ram_used_gb", "ram_avail_gb", "shm_used_gb",
+          "cores_saturated", "proc_rss_gb", "torch_alloc_gb", "torch_reserved_gb", "sampler_ms")
 
 
 def resource_sample(spark: SparkSession, folder: str) -> DataFrame:
@@ -175,6 +176,8 @@ def resource_sample(spark: SparkSession, folder: str) -> DataFrame:
     return log.select(F.concat(F.lit("cls_a"), (F.col("user_id") % 7).cast("string"), F.lit("_seed"),
                                F.floor(F.col("user_id") / 7).cast("bigint").cast("string")).alias("run_id"),
                       F.dayofmonth("ts").cast("bigint").alias("epoch"), "ts", phase.alias("phase"), *gauges,
+                      (F.lit(180.0) + 10 * (F.col("user_id") % 7)).alias("gpu_mem_total_gb"), F.lit(100.0).alias("ram_total_gb"),
+                      F.lit(100.0).alias("shm_total_gb"), (F.col("user_id") % 7 + 8).cast("double").alias("cpu_count"),
                       F.floor(F.col("value")).alias("step_ms"),
                       F.floor(F.col("value") * uniform("event_id", F.lit("wait"))).alias("wait_ms"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from evalspark.functions.columns import nan_to_null, ratio
-from evalspark.operators.runlog import LIMITS, latest_epoch
+from evalspark.operators.runlog import LIMITS, flag_list, latest_epoch, memory_rules
 from evalspark.plans.lineage import work_folder
 from evalspark.sources.io import header_names, is_header, parse_log
 from evalspark.sources.versions import Folder
@@ -29,9 +29,10 @@ def stream_log(spark: SparkSession, path: str, schema: T.StructType, files_per_t
 
 def stream_resources(s: DataFrame, width: str = "1 day", delay: str = "1 hour") -> DataFrame:
     """Means and peaks per run and phase in tumbling windows, emitted once a window is closed by the watermark."""
-    g = {c: nan_to_null(c) for c in ("gpu_util", "sys_cpu", "gpu_mem_gb", "ram_avail_gb", "shm_used_gb")}
+    g = {c: nan_to_null(c) for c in ("gpu_util", "sys_cpu", "gpu_mem_gb", "torch_reserved_gb", "ram_avail_gb", "shm_used_gb")}
     t = s.withWatermark("ts", delay).groupBy(F.window("ts", width), "run_id", "phase").agg(
-        F.avg(g["gpu_util"]).alias("gpu_util_mean"), F.avg(g["sys_cpu"]).alias("sys_cpu_mean"), F.max(g["gpu_mem_gb"]).alias("gpu_mem_peak_gb"),
+        F.avg(g["gpu_util"]).alias("gpu_util_mean"), F.avg(g["sys_cpu"]).alias("sys_cpu_mean"), F.greatest(F.max(g["torch_reserved_gb"]), F.max(g["gpu_mem_gb"])).alias("vram_peak_gb"), F.max(g["gpu_mem_gb"]).alias("gpu_mem_peak_gb"),
+        *[F.max(c).alias(c) for c in ("gpu_mem_total_gb", "ram_total_gb", "shm_total_gb")],
         F.min(g["ram_avail_gb"]).alias("ram_avail_min_gb"), F.max(g["shm_used_gb"]).alias("shm_used_peak_gb"),
         F.sum("wait_ms").alias("wait_ms"), F.sum("step_ms").alias("busy_ms"), F.count(F.lit(1)).alias("samples"))
     return t.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "run_id", "phase",
@@ -44,16 +45,12 @@ def stream_timing(s: DataFrame) -> DataFrame:
                                                      F.count(F.lit(1)).alias("steps"))
 
 
-def stream_flags(windows: DataFrame, totals: Mapping[str, float]) -> DataFrame:
+def stream_flags(windows: DataFrame) -> DataFrame:
     """Bottleneck flags of every closed window."""
-    rules = {"input-bound": (F.col("phase") == "train") & (F.col("gpu_util_mean") < LIMITS["gpu_util"])
-             & (ratio("wait_ms", "busy_ms") > LIMITS["wait"]),
-             "val input-bound": (F.col("phase") == "val") & (ratio("wait_ms", "busy_ms") > LIMITS["wait"]),
-             "vram headroom": F.col("gpu_mem_peak_gb") < LIMITS["vram"] * totals["gpu_mem_gb"],
-             "ram near limit": F.col("ram_avail_min_gb") < LIMITS["ram"] * totals["ram_gb"],
-             "shm near limit": F.col("shm_used_peak_gb") > LIMITS["shm"] * totals["shm_gb"],
-             "cpu saturated": F.col("sys_cpu_mean") > LIMITS["cpu"]}
-    return windows.withColumn("flags", F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()])))
+    waits = ratio("wait_ms", "busy_ms") > LIMITS["wait"]
+    rules = {"input-bound": (F.col("phase") == "train") & (F.col("gpu_util_mean") < LIMITS["gpu_util"]) & waits,
+             "val input-bound": (F.col("phase") == "val") & waits}
+    return windows.withColumn("flags", flag_list(rules | memory_rules()))
 
 
 BEST = "run_id string, epoch bigint, metric double, loss double, best int"

@@ -225,10 +225,11 @@ def test_matching_reaches_the_reference_moments(spark):
 
 
 def test_log_rules(spark):
-    s = spark.createDataFrame([("g", 50.0, 0.3, None, None, 1.0, 95.0, 10.0)], "group string, gpu_util_train double, train_wait_frac double, "
-                              "val_wait_frac double, gpu_mem_peak_gb double, ram_avail_min_gb double, sys_cpu_mean double, shm_used_peak_gb double")
-    flags = L.bottlenecks(s, {"gpu_mem_gb": 40.0, "ram_gb": 100.0, "shm_gb": 100.0}).first()["flags"]
-    assert flags == ["input-bound", "ram near limit", "cpu saturated"]
+    s = spark.createDataFrame([("g", 50.0, 0.3, None, None, 1.0, 95.0, 10.0, 40.0, 100.0, 100.0), ("h", 90.0, 0.3, 0.3, 19.0, 20.0, 9.0, 90.0, 40.0, 100.0, 100.0)],
+                              "group string, gpu_util_train double, train_wait_frac double, val_wait_frac double, vram_peak_gb double, ram_avail_min_gb double, "
+                              "sys_cpu_mean double, shm_used_peak_gb double, gpu_mem_total_gb double, ram_total_gb double, shm_total_gb double")
+    flags = {r["group"]: r["flags"] for r in L.bottlenecks(s).collect()}
+    assert flags == {"g": ["input-bound", "ram near limit", "cpu saturated"], "h": ["val input-bound", "vram headroom", "shm near limit"]}
 
 
 def test_annotation_name_is_checked_and_empty_class_fails(spark, tmp_path):
