@@ -12,11 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.llm.common import join_by_size
-from evalspark.plans.lineage import cut_lineage
+from evalspark.plans.lineage import cut_lineage, stored
 
 LONGEST = 5
 OVERLAP = LONGEST - 1
-EVERY = 24
+EVERY = 32
 BREAK = b"\xff"
 # Letters that end a piece, and the lower case of A-Z.
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -28,7 +28,7 @@ FILTER_BITS = (16, 26)
 
 def symbols(text: bytes) -> list[bytes]:
     """Words and breaks between pieces, in order. 0xFF is no byte of UTF-8, so a break is no word."""
-    return [s for s in text.translate(LETTERS).replace(BREAK, b" \xff ").split(b" ") if s]
+    return text.translate(LETTERS).replace(BREAK, b" \xff ").split()
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -46,12 +46,40 @@ def window_hash(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-class Ids(dict):
-    """Number of a symbol, by first use."""
+class Hashes(dict):
+    """64-bit hash of a symbol."""
 
     def __missing__(self, s: bytes) -> int:
-        n = self[s] = len(self)
-        return n
+        h = self[s] = xxhash.xxh64_intdigest(s)
+        return h
+
+
+class Words:
+    """Numbers of the words of all languages, from 1 in order of first use; 0 is a break."""
+
+    class Table(dict):
+        def __init__(self, all_: Words, lang: str):
+            super().__init__({BREAK: 0})
+            self.all, self.lang = all_, lang
+
+        def __missing__(self, w: bytes) -> int:
+            n = self[w] = len(self.all.words)
+            self.all.words.append(w)
+            self.all.langs.append(self.lang)
+            self.all.hashes.append(xxhash.xxh64_intdigest(w) ^ self.all.seed[self.lang])
+            return n
+
+    def __init__(self):
+        self.words, self.langs, self.hashes = [BREAK], [""], [0]
+        self.tables: dict[str, Words.Table] = {}
+        self.seed: dict[str, int] = Hashes()
+
+    def numbers(self, lang: str, chunks: list[bytes]) -> np.ndarray:
+        """Numbers of the symbols of all chunks, a break after each."""
+        seed = self.seed[lang.encode("utf-8")]
+        self.seed[lang] = seed
+        table = self.tables.setdefault(lang, Words.Table(self, lang))
+        return np.fromiter(map(table.__getitem__, b" \xff ".join([*chunks, BREAK])[:-2].split(b" ")), np.int32)
 
 
 def parse(docs: DataFrame, lang: str = "lang", text: str = "text", every: int = EVERY) -> DataFrame:
@@ -62,7 +90,7 @@ def parse(docs: DataFrame, lang: str = "lang", text: str = "text", every: int =
     base = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes: dict[bytes, int] = {}
+        hashes = Hashes()
         counts: dict[tuple[str, int, bytes], int] = {}
         weight = 0
 
@@ -81,9 +109,7 @@ def parse(docs: DataFrame, lang: str = "lang", text: str = "text", every: int =
                     continue
                 if len(hashes) > WORDS:
                     hashes.clear()
-                for w in set(s) - hashes.keys():
-                    hashes[w] = xxhash.xxh64_intdigest(w)
-                h = window_hash(np.array([hashes[w] for w in s], np.uint64), OVERLAP)
+                h = window_hash(np.fromiter(map(hashes.__getitem__, s), np.uint64), OVERLAP)
                 ends = (np.flatnonzero(h % np.uint64(every) == 0) + OVERLAP).tolist()
                 start, own = 0, 0
                 for end in [*ends, len(s)]:
@@ -101,100 +127,134 @@ def parse(docs: DataFrame, lang: str = "lang", text: str = "text", every: int =
     return found.groupBy("lang", "own", "chunk").agg(F.sum("freq").alias("freq"))
 
 
-class Places:
-    """Symbols of many chunks end to end, with the numbers, hashes and weights that counting needs."""
-
-    def __init__(self):
-        self.clear()
-
-    def clear(self) -> None:
-        self.ids: dict[str, Ids] = {}
-        self.ids_seen: list[np.ndarray] = []
-        self.langs: list[np.ndarray] = []
-        self.weights: list[np.ndarray] = []
-        self.owned: list[np.ndarray] = []
-        self.size = 0
-
-    def add(self, lang: str, own: int, chunk: bytes, freq: int) -> None:
-        table = self.ids.setdefault(lang, Ids({BREAK: 0}))
-        ids = np.fromiter(map(table.__getitem__, chunk.split(b" ")), np.int32)
-        n = len(ids) + 1
-        self.ids_seen += [ids, np.zeros(1, np.int32)]  # a break between chunks
-        self.langs.append(np.full(n, list(self.ids).index(lang), np.int32))
-        self.weights.append(np.full(n, freq, np.int64))
-        self.owned.append(np.arange(n) >= own)
-        self.size += n
-
-
-def ngram_counts(parsed: DataFrame, sizes: tuple[int, ...], among: tuple[int, np.ndarray | None] = (0, None)) -> DataFrame:
-    """(lang, phrase, n_words, f) of the phrases with `sizes` words. `among` = (m, bits): only phrases all of whose
-    m-grams may be in the filter are counted."""
-    shared = parsed.sparkSession.sparkContext.broadcast(among[1])
-    m = among[0]
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
-        places = Places()
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            ids, lang = np.concatenate(places.ids_seen).astype(np.int64), np.concatenate(places.langs)
-            weight, owned = np.concatenate(places.weights), np.concatenate(places.owned)
-            names = list(places.ids)
-            words = [list(places.ids[x]) for x in names]
-            offset = np.cumsum([0] + [len(w) for w in words])
-            flat = np.array([xxhash.xxh64_intdigest(w) for ws in words for w in ws], np.uint64)
-            seed = np.array([xxhash.xxh64_intdigest(x) for x in names], np.uint64)
+def places(parsed_columns: tuple, known: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbol numbers of the chunks of a batch end to end, with a break after each, the frequency of their chunk, and
+    whether they are the chunk's own."""
+    langs, own, chunks, freq = parsed_columns
+    lengths = np.array([c.count(b" ") + 2 for c in chunks])
+    by_lang: dict[str, list[int]] = {}
+    for i, lang in enumerate(langs):
+        by_lang.setdefault(lang, []).append(i)
+    out = []
+    for lang, at in by_lang.items():
+        n = lengths[at]
+        ids = known.numbers(lang, [chunks[i] for i in at])
+        start = np.repeat(np.cumsum(n) - n, n)
+        out.append((ids, np.repeat(freq[at], n), np.arange(len(ids)) - start >= np.repeat(own[at], n)))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, np.ndarray, np.ndarray, np.ndarray]]:
+    """The places of all batches, SYMBOLS or more at a time."""
+    known, held, size = Words(), [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(places((batch.column("lang").to_pylist(), batch.column("own").to_numpy(), batch.column("chunk").to_pylist(), batch.column("freq").to_numpy()), known))
+        size += len(held[-1][0])
+        if size > SYMBOLS:
+            yield known, *(np.concatenate(x) for x in zip(*held))
+            held, size = [], 0
+            if len(known.words) > WORDS:
+                known = Words()
+    if held:
+        yield known, *(np.concatenate(x) for x in zip(*held))
+
+
+def planes(x: np.ndarray) -> bytes:
+    """The bytes of numbers, all first bytes before all second ones, so that the compression of a shuffle sees runs of zeros."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def unplanes(data: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+
+
+def frequent_buckets(parsed: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """(n_words, bucket) of the hash buckets in which words (1) or pairs (2) occur `least` times or more, and (lang, n), the
+    words of every language.
+
+    There are eight buckets or more for every place of the text. A task sends the buckets it met as sorted differences
+    with counts, one value per range of buckets, which costs some two bytes a pair where the words themselves would cost
+    twenty; what is rare is then known before a single phrase is spelled out.
+    """
+    size = parsed.count() * EVERY
+    width = min(max(int(16 * size).bit_length(), 20), 62)
+    high = min(max((size >> 19).bit_length(), 3), width - 3)
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for known, ids, weight, owned in blocks(batches):
+            hashes, langs = np.array(known.hashes, np.uint64), known.langs
+            rows: list[tuple] = []
             good = ids != 0
-            everywhere = ids + offset[lang]
-            passing = None
-            if m:
-                h = window_hash(flat[everywhere], m) ^ seed[lang[:max(len(lang) - m + 1, 0)]]
-                passing = test_bits(bits, h)
-            code, last = everywhere, 1
-            for n in range(1, max(sizes) + 1):
-                size = len(ids) - n + 1
-                if size <= 0:
-                    break
-                if n > 1:  # runs of n symbols as (run of n - 1, symbol), numbered anew so that they fit one integer
-                    good = good[:size] & (ids[n - 1:] != 0)
-                if m and n >= m:
-                    good = good[:size] & passing[n - m:n - m + size]
-                at = np.flatnonzero(good)
+            for n in (1, 2):
+                good = good[:len(ids) - n + 1] & (ids[n - 1:] != 0)
+                at = np.flatnonzero(good & owned[n - 1:])
                 if not len(at):
-                    break
-                if n > 1:
-                    key = (code[at] << 32) | everywhere[at + n - 1]
-                    _, where, inverse = np.unique(key, return_index=True, return_inverse=True)
-                    code = np.zeros(size, np.int64)
-                    code[at] = inverse
-                else:
-                    _, where, inverse = np.unique(code[at], return_index=True, return_inverse=True)
-                if n not in sizes:
                     continue
-                total = np.zeros(len(where), np.int64)
-                np.add.at(total, inverse, np.where(owned[at + n - 1], weight[at], 0))
-                keep = np.flatnonzero(total)
-                for i in range(0, len(keep), 8192):
-                    some = keep[i:i + 8192]
-                    first = at[where[some]]
-                    rows = ids[first[:, None] + np.arange(n)].tolist()
-                    tables = lang[first].tolist()
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([names[x] for x in tables], pa.string()),
-                         pa.array([b" ".join([words[x][w] for w in r]) for x, r in zip(tables, rows)], pa.binary()),
-                         pa.array([n] * len(some), pa.int32()), pa.array(total[some])], ["lang", "phrase", "n_words", "f"])
+                if n == 1:
+                    total = np.bincount(ids[at], weight[at])
+                    words = np.flatnonzero(total)
+                    sums: dict[str, int] = {}
+                    for lang, f in zip([langs[w] for w in words.tolist()], total[words].tolist()):
+                        sums[lang] = sums.get(lang, 0) + int(f)
+                    rows += [(0, 0, lang, None, None, f) for lang, f in sums.items()]
+                bucket = (window_hash(hashes[ids], n)[at] & np.uint64((1 << width) - 1)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                bucket, new = bucket[order], weight[at][order]
+                first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+                count, bucket = np.add.reduceat(new, first), bucket[first]
+                part = bucket >> (width - high)
+                cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
+                for lo, hi in zip(cuts, cuts[1:]):
+                    rows.append((n, int(part[lo]), None, planes(np.diff(bucket[lo:hi], prepend=part[lo] << (width - high))), planes(count[lo:hi]), None))
+            for i in range(0, len(rows), 2048):
+                cols = list(zip(*rows[i:i + 2048]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.int64()))],
+                                                 ["n_words", "part", "lang", "buckets", "counts", "n"])
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def close() -> pa.RecordBatch:
+            bucket, count = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(bucket, kind="stable")
+            bucket = bucket[order]
+            first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+            many = bucket[first][np.add.reduceat(count[order], first) >= least]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(many), at[0], np.int32)), pa.array(many)], ["n_words", "bucket"])
 
         for batch in batches:
-            for row in zip(*[batch.column(c).to_pylist() for c in ("lang", "own", "chunk", "freq")]):
-                places.add(*row)
-                if places.size > SYMBOLS:
-                    yield from flush()
-                    places.clear()
-        if places.size:
-            yield from flush()
-
-    rows = parsed.select("lang", "own", "chunk", "freq").mapInArrow(counted, "lang string, phrase binary, n_words int, f bigint")
-    return rows.groupBy("lang", F.col("phrase").cast("string").alias("phrase"), "n_words").agg(F.sum("f").alias("f"))
+            for n, part, gaps, counts in zip(*[batch.column(c).to_pylist() for c in ("n_words", "part", "buckets", "counts")]):
+                if (n, part) != at:
+                    if held:
+                        yield close()
+                    at, held = (n, part), []
+                held.append(((part << (width - high)) + np.cumsum(unplanes(gaps, np.int64)), unplanes(counts, np.int64)))
+        if held:
+            yield close()
+
+    rows = parsed.select("lang", "own", "chunk", "freq").mapInArrow(met, "n_words int, part int, lang string, buckets binary, counts binary, n bigint")
+    rows = rows.repartition("n_words", "part", "lang").sortWithinPartitions("n_words", "part")
+    rows = stored(rows, "buckets")
+    found = rows.filter("n_words > 0").select("n_words", "part", "buckets", "counts").mapInArrow(kept, "n_words int, bucket bigint")
+    return stored(found, "frequent"), rows.filter("n_words = 0").groupBy("lang").agg(F.sum("n").alias("n"))
+
+
+def filter_of(buckets: DataFrame) -> np.ndarray:
+    """Bits of frequent buckets, 16 or more for each of them and at most 2^26 (8 MB) in all: a fuller filter lets more
+    phrases be counted, and drops none."""
+    n = buckets.count()
+    width = min(max(int(16 * n).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+    at = F.col("bucket").bitwiseAND(F.lit((1 << width) - 1)) + 1  # bitmaps count from 1
+    rows = buckets.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    bits = np.zeros((1 << width) // 8, np.uint8)
+    for row in rows.toLocalIterator():  # at most 2,048 rows of 4 KB
+        piece = np.frombuffer(bytes(row.bits), np.uint8)
+        lo = (row.k - 1) * 4096
+        bits[lo:lo + 4096] = piece[:max(0, min(4096, len(bits) - lo))]
+    return bits
 
 
 def test_bits(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -202,28 +262,44 @@ def test_bits(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def filter_of(frequent: DataFrame) -> np.ndarray:
-    """Bits of the hashes of phrases (lang, phrase), 16 or more bits for each of them and at most 2^26 (8 MB) in all: a fuller
-    filter lets more phrases be counted, and drops none."""
-    n = frequent.count()
-    width = min(max(int(16 * n).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+def ngram_counts(parsed: DataFrame, words: np.ndarray, pairs: np.ndarray) -> DataFrame:
+    """(lang, phrase, n_words, f) of all phrases of up to LONGEST words whose words and pairs may be in the filters."""
+    shared = parsed.sparkSession.sparkContext.broadcast((words, pairs))
 
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for lang, phrase in zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist()):
-                h = np.array([xxhash.xxh64_intdigest(w) for w in phrase.encode("utf-8").split(b" ")], np.uint64)
-                out.append((int((window_hash(h, len(h)) ^ np.uint64(xxhash.xxh64_intdigest(lang)))[0]) & ((1 << width) - 1)) + 1)  # bitmaps count from 1
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["at"])
-
-    at = frequent.select("lang", "phrase").mapInArrow(places, "at bigint")
-    rows = at.groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
-    bits = np.zeros((1 << width) // 8, np.uint8)
-    for row in rows.toLocalIterator():  # at most 2,048 rows of 4 KB
-        piece = np.frombuffer(bytes(row.bits), np.uint8)
-        lo = (row.k - 1) * 4096
-        bits[lo:lo + 4096] = piece[:max(0, min(4096, len(bits) - lo))]
-    return bits
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for known, ids, weight, owned in blocks(batches):
+            hashes = np.array(known.hashes, np.uint64)
+            single = (ids != 0) & test_bits(shared.value[0], window_hash(hashes[ids], 1))
+            double = test_bits(shared.value[1], window_hash(hashes[ids], 2)) & single[:-1] & single[1:]
+            good, code = single, ids.astype(np.int64)
+            for n in range(1, LONGEST + 1):
+                length = len(ids) - n + 1
+                if n == 2:
+                    good = double
+                elif n > 2:
+                    good = good[:length] & double[n - 2:n - 2 + length]
+                at = np.flatnonzero(good)
+                if not len(at):
+                    break
+                if n == 1:
+                    inverse, where = code[at], None
+                else:  # runs of n symbols as (run of n - 1, symbol), numbered anew so that they fit one integer
+                    _, where, inverse = np.unique((code[at] << 32) | ids[at + n - 1], return_index=True, return_inverse=True)
+                    code = np.zeros(length, np.int64)
+                    code[at] = inverse
+                total = np.bincount(inverse, np.where(owned[at + n - 1], weight[at], 0))
+                keep = np.flatnonzero(total)  # sums of whole numbers below 2^53 are exact in doubles
+                for i in range(0, len(keep), 16_384):
+                    some = keep[i:i + 16_384]
+                    rows = some[:, None] if where is None else ids[at[where[some]][:, None] + np.arange(n)]
+                    first = rows[:, 0].tolist()
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([known.langs[x] for x in first], pa.string()),
+                         pa.array([b" ".join([known.words[w] for w in r]) for r in rows.tolist()], pa.binary()),
+                         pa.array(np.full(len(some), n, np.int32)), pa.array(total[some].astype(np.int64))], ["lang", "phrase", "n_words", "f"])
+
+    rows = parsed.select("lang", "own", "chunk", "freq").mapInArrow(counted, "lang string, phrase binary, n_words int, f bigint")
+    return rows.groupBy("lang", F.col("phrase").cast("string").alias("phrase"), "n_words").agg(F.sum("f").alias("f"))
 
 
 def score(a: Column, n: Column, left: Column, right: Column) -> Column:
@@ -245,19 +321,14 @@ def collocations(docs: DataFrame, least: int = 100, top: int = 2000, every: int
     goes. NULL lang is `und`, NULL and empty texts hold no words; no words give no rows. Ids are not read: repeated rows
     count as often as they occur. Other columns are not read.
 
-    Only the distinct chunks of the parse are counted, size by size: a phrase can reach `least` only if its parts do, so
-    parts below it are passed over by a filter that has no false negatives.
+    Only the distinct chunks of the parse are counted, first words and pairs by hash bucket, then phrases themselves: a
+    phrase can reach `least` only if its words and pairs do, so one with a rarer part is passed over by a filter that has
+    no false negatives.
     """
-    parsed = cut_lineage(parse(docs, every=every))
-    words = cut_lineage(ngram_counts(parsed, (1,)))
-    total = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    frequent = [words.filter(F.col("f") >= least)]
-    for m, sizes in ((1, (2,)), (2, (3,)), (3, (4, 5))):
-        bits = filter_of(frequent[-1])
-        frequent.append(cut_lineage(ngram_counts(parsed, sizes, (m, bits)).filter(F.col("f") >= least)))
-    known = frequent[0]
-    for f in frequent[1:]:
-        known = known.unionByName(f)
+    parsed = stored(parse(docs, every=every), "parse")
+    frequent, total = frequent_buckets(parsed, least)
+    bits = [filter_of(frequent.filter(F.col("n_words") == n)) for n in (1, 2)]
+    known = stored(ngram_counts(parsed, *bits).filter(F.col("f") >= least), "phrases")
     candidates = known.filter("n_words > 1")
     word = F.split("phrase", " ", -1)
     part = lambda start, n: F.array_join(F.slice(word, start, n), " ")
