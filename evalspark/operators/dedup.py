@@ -14,6 +14,7 @@ from evalspark.functions.columns import hamming, ratio
 from evalspark.functions.fingerprint import grid_fingerprints
 from evalspark.plans.components import connected_components  # noqa: F401  (part of this module's surface)
 from evalspark.plans.groups import block_join, join_groups, join_skewed, rank_rows
+from evalspark.plans.lineage import cut_lineage
 
 H1_MAX, H2_MAX = 6, 10
 BLOCK = 20_000
@@ -70,7 +71,7 @@ def near_pairs(df: DataFrame, d1: int = H1_MAX, bands: int | None = None, source
     of bands - d1 equal bands, and a pair is emitted only for its first matching set.
     """
     f = df.groupBy(source, "h1", "h2").agg(F.count(F.lit(1)).alias("m"))
-    f = f.withColumn("fid", F.xxhash64(source, "h1", "h2"))
+    f = f.withColumn("fid", F.unhex(F.md5(F.to_json(F.struct(source, "h1", "h2")))))
     bands = band_scheme(f.count()) if bands is None else bands
     masks, sets = _band_keys(None, bands, d1)
     table = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(m).alias("mask"), F.lit(sum(1 << b for b in s)).alias("bits"),
@@ -94,9 +95,9 @@ def near_pairs(df: DataFrame, d1: int = H1_MAX, bands: int | None = None, source
     return full.select("source_a", "source_b", "qa", "rb", "d1", d2.alias("d2"), (F.col("ma") * F.col("mb")).alias("pairs"))
 
 
-def near_duplicates(df: DataFrame, d1: int = H1_MAX, d2: int = H2_MAX, bands: int | None = None) -> DataFrame:
+def near_duplicates(df: DataFrame, d1: int = H1_MAX, d2: int = H2_MAX, bands: int | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """Near-duplicate pairs per source pair: both smallest distances small, each over its own best view."""
-    return near_pairs(df, d1, bands).filter(F.col("d2") <= d2).groupBy("source_a", "source_b").agg(
+    return (near_pairs(df, d1, bands) if pairs is None else pairs).filter(F.col("d2") <= d2).groupBy("source_a", "source_b").agg(
         F.sum("pairs").alias("near_duplicates"))
 
 
@@ -109,14 +110,14 @@ def _block_min(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"source_a": [left["source_a"].iloc[0]], "source_b": [left["source_b"].iloc[0]], "d": [best]})
 
 
-def min_distance(df: DataFrame, source: str = "source", block: int = BLOCK) -> DataFrame:
+def min_distance(df: DataFrame, source: str = "source", block: int = BLOCK, pairs: DataFrame | None = None) -> DataFrame:
     """Smallest h1 distance of every pair of sources, query in its eight views.
 
     Pairs of sources with a near hit are answered by the band join. The others need every distance: both sides are cut
     into blocks of bounded size, each pair of blocks meets in one task, and a task returns its minimum only.
     """
     f = df.select(source, "h1").distinct()
-    hit = near_pairs(df).groupBy("source_a", "source_b").agg(F.min("d1").alias("min_distance"))
+    hit = (near_pairs(df) if pairs is None else pairs).groupBy("source_a", "source_b").agg(F.min("d1").alias("min_distance"))
     n = f.groupBy(source).agg(F.ceil(F.count(F.lit(1)) / float(block)).cast("int").alias("k"))
     every = n.agg(F.sort_array(F.collect_list(F.struct(source, "k"))).alias("s"))  # one entry per source
     left = every.select("s", F.posexplode("s").alias("i", "a"))
@@ -140,8 +141,9 @@ def leak_audit(df: DataFrame, unreliable: Sequence[str] = (), source: str = "sou
     """One row per pair of sources: sizes, exact and near duplicates, smallest distance, a note for two sources whose
     fingerprints are known to be dominated by their format."""
     sizes = df.groupBy(source).agg(F.count(F.lit(1)).alias("n"))
-    near = near_duplicates(df)
-    t = min_distance(df)
+    pairs = cut_lineage(near_pairs(df, source=source))
+    near = near_duplicates(df, pairs=pairs)
+    t = min_distance(df, source, pairs=pairs)
     for side in ("a", "b"):
         t = t.join(sizes.select(F.col(source).alias(f"source_{side}"), F.col("n").alias(f"n_{side}")), f"source_{side}")
     keys = ["source_a", "source_b"]

@@ -6,13 +6,13 @@ distinct score (a partial aggregate) and only then order anything.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.functions.columns import clip, finite, ratio, score_bin
+from evalspark.functions.columns import finite, ratio, score_bin
 from evalspark.plans.prefix import exact_quantiles, mann_whitney, running_totals
 
 DEGENERATE_RATE = 0.95
@@ -346,18 +346,9 @@ def weighted_mean(df: DataFrame, by: Sequence[str], weight: str, cols: Sequence[
         (F.sum(F.col(c) * w) / F.sum(F.when(F.col(c).isNotNull(), w))).alias(c) for c in cols])
 
 
-def log_loss_probability(p) -> Column:
-    """Logarithm of a probability kept above 1e-12."""
-    return F.log(clip(p, 1e-12, 1.0))
-
-
 def seed_summary(df: DataFrame, by: Sequence[str], metrics: Sequence[str]) -> DataFrame:
     """Mean, sample sd (NULL for one run) and whether every run is above 0."""
     return df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("seeds"), *[F.avg(m).alias(f"{m}_mean") for m in metrics],
         *[F.stddev_samp(m).alias(f"{m}_sd") for m in metrics],
         *[F.when(F.count(m) > 1, F.bool_and(F.col(m) > 0)).alias(f"{m}_positive") for m in metrics])
-
-
-def summary_columns(metrics: Mapping[str, str]) -> list[str]:
-    return [f"{m}_{s}" for m in metrics for s in ("mean", "sd")]

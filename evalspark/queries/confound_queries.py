@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from evalspark.functions.columns import uniform
 from evalspark.operators import confound as X
 from evalspark.queries.curate_queries import MAP, OPP, denied, same_entity
-from evalspark.queries.infer_queries import BASE, NB, REPLICATE, RP, RUNS
+from evalspark.queries.infer_queries import BASE, NB, REPLICATE, RP, RUNS, T2
 from evalspark.queries.metrics_queries import R, auc_sql, rounded
 from evalspark.queries.oracle import U, grain, sql
 from evalspark.sources import views as V
@@ -86,7 +86,9 @@ SW = dict(
 q("x09_swap_effects", lambda s, d: swap_rounded(X.swap_effects(V.swap_scores(s, d))),
   f"""SELECT {R}, {", ".join(f"round({c}, {8 if c.startswith('dp') else 6}) AS {c}" for c in ("auc", "auc_none", "auc_other", "auc_same", "dp_towards_other_other", "dp_towards_other_same"))},
  round(auc - auc_other, 6) AS auc_drop_other, round(auc - auc_same, 6) AS auc_drop_same, round(auc_same - auc_other, 6) AS class_specific_effect FROM swe""", **SW)
-q("x10_swap_intervals", lambda s, d: rounded(X.swap_summary(X.swap_effects(V.swap_scores(s, d)), [("full", "plain"), ("blend", "jitter")])[0]))
+q("x10_swap_intervals", lambda s, d: rounded(X.swap_summary(X.swap_effects(V.swap_scores(s, d)), [("full", "plain"), ("blend", "jitter")])[0]),
+  f"""SELECT cohort, arm, count(*) AS n, round(avg(e), 6) AS mean, round(avg(e) - {T2}, 6) AS ci_low, round(avg(e) + {T2}, 6) AS ci_high
+ FROM (SELECT cohort, arm, auc_same - auc_other AS e FROM swe) GROUP BY ALL""".replace("VALUE", "e"), **SW)
 q("x10_swap_pairs", lambda s, d: rounded(X.swap_summary(X.swap_effects(V.swap_scores(s, d)), [("full", "plain"), ("blend", "jitter")])[1].drop("ci_low", "ci_high")),
   """SELECT cohort, pair, count(*) AS n, round(avg(dd), 6) AS mean, count(*) FILTER (dd > 0) || '/' || count(*) AS positive FROM (SELECT a.cohort,
  unnest([b.arm || ' - ' || a.arm, 'all pairs']) AS pair, (b.auc_same - b.auc_other) - (a.auc_same - a.auc_other) AS dd FROM swe a JOIN swe b USING (cohort, seed)

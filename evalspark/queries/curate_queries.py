@@ -89,7 +89,24 @@ q("c05_iou", iou_pairs,
   """SELECT file_name, annotation_id, round(i / (w*h + bw*bh - i), 6) AS iou FROM (SELECT *, greatest(0.0, least(x+w, bx+bw) - greatest(x, bx)) *
  greatest(0.0, least(y+h, by_+bh) - greatest(y, by_)) AS i FROM (SELECT file_name, annotation_id, x, y, w, h, lead(x) OVER o AS bx, lead(y) OVER o AS by_,
  lead(w) OVER o AS bw, lead(h) OVER o AS bh FROM labf WINDOW o AS (PARTITION BY file_name, x ORDER BY annotation_id)) WHERE bx IS NOT NULL)""")
-q("c06_greedy_iou_dedup", lambda s, d: C.greedy_iou_dedup(boxes1(s, d)).select("file_name", "annotation_id", "kept"), None)
+
+
+def walk_sql(group: str, fields: str, conflict: str) -> dict[str, str]:
+    """The greedy walk, one row of every group a step: `kept` holds the rows kept so far. `ranked` gives the order r."""
+    made = ", ".join(f"{f} := o.{f}" for f in fields.split(", "))
+    return dict(
+        walk=f"""SELECT {group}, 0::BIGINT AS r, list_filter([struct_pack({", ".join(f"{f} := {f}" for f in fields.split(", "))})], lambda s : FALSE) AS kept
+ FROM ranked WHERE r = 1 UNION ALL SELECT {", ".join("k." + g.strip() for g in group.split(","))}, o.r, CASE WHEN len(list_filter(k.kept, lambda s : {conflict})) = 0
+ THEN list_append(k.kept, struct_pack({made})) ELSE k.kept END FROM walk k JOIN ranked o ON {" AND ".join(f"o.{g.strip()} = k.{g.strip()}" for g in group.split(","))} AND o.r = k.r + 1""",
+        ends=f"SELECT {group}, unnest(kept) AS s FROM (SELECT {group}, arg_max(kept, r) AS kept FROM walk GROUP BY ALL)")
+
+
+IOU_SQL = """greatest(0.0, least(s.x + s.w, o.x + o.w) - greatest(s.x, o.x)) * greatest(0.0, least(s.y + s.h, o.y + o.h) - greatest(s.y, o.y))"""
+q("c06_greedy_iou_dedup", lambda s, d: C.greedy_iou_dedup(boxes1(s, d)).select("file_name", "annotation_id", "kept"),
+  """SELECT b.file_name, b.annotation_id, e.s IS NOT NULL AS kept FROM ranked b LEFT JOIN ends e ON e.file_name = b.file_name AND e.label = b.label
+ AND e.s.annotation_id = b.annotation_id""", recursive=True,
+  ranked="""SELECT file_name, label, annotation_id, x, y, w, h, row_number() OVER (PARTITION BY file_name, label ORDER BY source_json, annotation_id) AS r FROM labf""",
+  **walk_sql("file_name, label", "annotation_id, x, y, w, h", f"{IOU_SQL} > 0.5::DOUBLE * (s.w * s.h + o.w * o.h - {IOU_SQL})"))
 q("c07_skip_reason", lambda s, d: C.skip_reason(boxes1(s, d), denied(s, d), duplicates=False).select("file_name", "annotation_id", "skip"),
   "SELECT file_name, annotation_id, skip FROM reason")
 WIN = ["annotation_id", "x0", "y0", "win_w", "win_h"]
@@ -196,7 +213,10 @@ q("c28_compose_bags", lambda s, d: C.compose_bags(V.items(s, d), 2, 5, 9),
  FROM pool)) w JOIN pool p ON p.y = w.y AND p.idx = w.i""", **POOL)
 q("c29_filter_with_fallback", lambda s, d: C.filter_with_fallback(V.instance(s, d), ["item_id"], F.col("keep")).select("item_id", "inst_id", "keep"),
   "SELECT item_id, inst_id, keep FROM (SELECT *, bool_or(keep) OVER (PARTITION BY item_id) AS k FROM instance) WHERE keep OR NOT k")
-q("c30_radius_nms", lambda s, d: C.radius_nms(V.instance(s, d), ["item_id"]).select("item_id", "inst_id", "r"), None)
+q("c30_radius_nms", lambda s, d: C.radius_nms(V.instance(s, d), ["item_id"]).select("item_id", "inst_id", "r"),
+  "SELECT item_id, s.inst_id AS inst_id, s.size AS r FROM ends", recursive=True,
+  ranked="SELECT item_id, inst_id, x, y, r AS size, row_number() OVER (PARTITION BY item_id ORDER BY r DESC, x DESC, y DESC, inst_id) AS r FROM instance",
+  **walk_sql("item_id", "inst_id, x, y, size", "sqrt((s.x - o.x) * (s.x - o.x) + (s.y - o.y) * (s.y - o.y)) <= 0.8::DOUBLE * (s.size + o.size)"))
 q("c31_examples", lambda s, d: C.examples(V.items(s, d), ["subtype"], 8).select("subtype", "item_id"),
   """SELECT subtype, item_id FROM (SELECT *, row_number() OVER (PARTITION BY subtype ORDER BY item_id) - 1 AS r, count(*) OVER (PARTITION BY subtype) AS n FROM items)
  WHERE r IN (SELECT floor(i * (n - 1) / 7.0::DOUBLE)::BIGINT FROM range(8) t(i))""")
