@@ -113,12 +113,12 @@ WIN = ["annotation_id", "x0", "y0", "win_w", "win_h"]
 q("c08_crop_window", lambda s, d: windows(s, d).select(*WIN), f"SELECT {', '.join(WIN)} FROM win")
 q("c09_reference_side", lambda s, d: rounded(C.reference_side(boxes1(s, d))), "SELECT round(ref_side, 6) AS ref_side FROM refs")
 q("c10_pad_fraction", lambda s, d: windows(s, d).select("annotation_id", "pad_fraction"), "SELECT annotation_id, pad_fraction FROM pad")
+NEIGHBOUR = """SELECT 1 FROM box e WHERE e.file_name = p.file_name AND e.annotation_id <> p.annotation_id AND
+ ((p.label = 0 AND e.category IN ('blast', 'mono')) OR (p.label = 1 AND e.category = 'lymph')) AND
+ greatest(0.0, least(x0 + win_w, e.x + e.w) - greatest(x0, e.x)) * greatest(0.0, least(y0 + win_h, e.y + e.h) - greatest(y0, e.y)) >= 0.25 * e.w * e.h"""
 q("c11_opposite_neighbour", lambda s, d: C.opposite_neighbour(windows(s, d), C.entities_by_file(box(s, d)), OPP)
   .select("file_name", "annotation_id", "opposite"),
-  """SELECT file_name, annotation_id, EXISTS (SELECT 1 FROM box e WHERE e.file_name = p.file_name AND e.annotation_id <> p.annotation_id AND
- ((p.label = 0 AND e.category IN ('blast', 'mono')) OR (p.label = 1 AND e.category = 'lymph')) AND
- greatest(0.0, least(x0 + win_w, e.x + e.w) - greatest(x0, e.x)) * greatest(0.0, least(y0 + win_h, e.y + e.h) - greatest(y0, e.y)) >= 0.25 * e.w * e.h)
- AS opposite FROM pad p""")
+  f"SELECT file_name, annotation_id, EXISTS ({NEIGHBOUR}) AS opposite FROM pad p")
 q("c12_keep_one_per_entity", lambda s, d: C.keep_one_per_entity(windows(s, d), same_entity(s, d)).select("annotation_id", "cell_group"),
   "SELECT annotation_id, cell_group FROM one")
 q("c13_cap_per_group", lambda s, d: C.cap_per_group(windows(s, d), ["slide"], 100, [F.col("pad_fraction"), F.col("annotation_id")],
@@ -132,7 +132,17 @@ q("c14_class_counts", lambda s, d: C.class_counts(box(s, d), ["lymph", "blast",
  LEFT JOIN box b USING (category) GROUP BY ALL""")
 q("c15_assert_unique", lambda s, d: C.assert_unique(box(s, d).select("file_name", "annotation_id", "category"), ["file_name", "annotation_id"]),
   "SELECT file_name, annotation_id, category FROM box")
-q("c16_build_manifest", lambda s, d: C.build_manifest(box(s, d), same_entity(s, d), MAP, OPP, denied=denied(s, d)), None)
+q("c16_build_manifest", lambda s, d: C.build_manifest(box(s, d), same_entity(s, d), MAP, OPP, denied=denied(s, d)),
+  """SELECT concat(name, '/', slide, '_', image, '_', annotation_id, '.png') AS file, label, name AS class_name, category, slide, leukemia_type, image_path AS source_image,
+ x, y, w, h, annotation_id, source_json, win_h::BIGINT AS window_h, pad_fraction FROM (SELECT *, CASE label WHEN 0 THEN 'Normal' ELSE 'ALL' END AS name,
+ row_number() OVER (PARTITION BY slide, label ORDER BY pad_fraction, annotation_id) AS place FROM single) WHERE label = 0 OR place <= 100""", recursive=True,
+  good="SELECT p.* FROM pad p JOIN reason r USING (file_name, annotation_id) WHERE r.skip IS NULL",
+  ranked="""SELECT file_name, label, annotation_id, x, y, w, h, row_number() OVER (PARTITION BY file_name, label ORDER BY source_json, annotation_id) AS r FROM good""",
+  **walk_sql("file_name, label", "annotation_id, x, y, w, h", f"{IOU_SQL} > 0.5::DOUBLE * (s.w * s.h + o.w * o.h - {IOU_SQL})"),
+  alone=f"""SELECT p.* FROM good p JOIN ends e ON e.file_name = p.file_name AND e.label = p.label AND e.s.annotation_id = p.annotation_id
+ WHERE NOT EXISTS ({NEIGHBOUR})""",
+  single="""SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(cell_group, annotation_id::VARCHAR) ORDER BY pad_fraction, annotation_id) AS rn
+ FROM alone LEFT JOIN same USING (file_name, x, y, w, h)) WHERE rn = 1""")
 
 
 def wanted(s, d):

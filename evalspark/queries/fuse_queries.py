@@ -8,8 +8,8 @@ from evalspark.functions.columns import logit
 from evalspark.operators import fuse as U_
 from evalspark.operators import metrics as M
 from evalspark.operators import thresholds as T
-from evalspark.queries.metrics_queries import AUC, CTE, F1, RUN, R, auc_sql, rounded
-from evalspark.queries.oracle import grain, sql, U
+from evalspark.queries.metrics_queries import CTE, F1, RUN, R, auc_sql, rounded
+from evalspark.queries.oracle import bin_sql, sql
 from evalspark.sources import views as V
 
 P, I = V.prediction, V.instance_runs
@@ -64,9 +64,32 @@ Q["t06_logit"] = (
                                                    F.max(logit("p")).alias("max_logit"))),
     sql(f"""SELECT {R}, round(avg(z), 6) AS mean_logit, round(max(z), 6) AS max_logit FROM (SELECT {R}, ln(q/(1-q)) AS z FROM
  (SELECT {R}, least(greatest(p, 1e-6::DOUBLE), 1 - 1e-6::DOUBLE) AS q FROM prediction)) GROUP BY ALL"""))
+LOGIT = "ln(greatest(least(p, 1 - 1e-6::DOUBLE), 1e-6::DOUBLE) / (1 - greatest(least(p, 1 - 1e-6::DOUBLE), 1e-6::DOUBLE)))"
+SOFT = "greatest(x, 0) + ln(1 + exp(-abs(x)))"
+# nine passes shrink the bracket of log T, ten wide, below 1e-7, each to two of sixteen gaps
+TEMP = dict(
+    zh=f"SELECT {R}, {LOGIT} AS z, sum(y) AS pos, sum(1 - y) AS neg FROM prediction GROUP BY ALL",
+    tst=f"""SELECT DISTINCT {R}, 0 AS i, -5.0::DOUBLE AS lo, 5.0::DOUBLE AS hi FROM prediction UNION ALL
+ SELECT {R}, i + 1, lo + (hi - lo) * greatest(arg_min(j, loss) - 1, 0) / 16, lo + (hi - lo) * least(arg_min(j, loss) + 1, 16) / 16 FROM (
+ SELECT {R}, i, lo, hi, j, sum(pos * ({SOFT} - x) + neg * ({SOFT})) AS loss FROM (SELECT s.*, j, pos, neg, z / exp(lo + (hi - lo) * j / 16) AS x
+ FROM tst s JOIN zh USING ({R}), range(17) g(j) WHERE i < 9) GROUP BY ALL) GROUP BY {R}, i, lo, hi""",
+    tmp=f"SELECT {R}, exp((lo + hi) / 2) AS temperature, (lo + hi) / 2 > 5 - 1e-3::DOUBLE AS at_bound FROM tst WHERE i = 9",
+    tboth=f"""SELECT q.cohort, q.arm, q.seed, y, stage, CASE stage WHEN 'before' THEN p ELSE 1 / (1 + exp(-{LOGIT} / temperature)) END AS p
+ FROM prediction q JOIN (SELECT * FROM tmp WHERE cohort = 'val') t USING (arm, seed), (VALUES ('before'), ('after')) v(stage)""",
+    tbin=f"SELECT {R}, stage, abs(sum(y) - sum(p)) AS gap, count(*) AS n FROM tboth GROUP BY {R}, stage, {bin_sql('p')}",
+    tece=f"SELECT {R}, stage, sum(gap) / sum(n) AS ece FROM tbin GROUP BY ALL",
+    tbri=f"SELECT {R}, stage, avg((p - y) * (p - y)) AS brier, 1 - avg((p - y) * (p - y)) / (avg(y) * (1 - avg(y))) AS brier_skill FROM tboth GROUP BY ALL",
+    tall=f"SELECT * FROM tbri JOIN tece USING ({R}, stage) JOIN (SELECT arm, seed, temperature, at_bound FROM tmp WHERE cohort = 'val') USING (arm, seed)")
 Q["t07_fit_temperature"] = (
-    lambda s, d: T.fit_temperature(P(s, d), RUN).withColumn("temperature", F.round("temperature", 4)), None)
-Q["t08_temperature_report"] = (lambda s, d: rounded(T.temperature_report(P(s, d))), None)
+    lambda s, d: T.fit_temperature(P(s, d), RUN).withColumn("temperature", F.round("temperature", 4)),
+    sql(f"SELECT {R}, round(temperature, 4) AS temperature, at_bound FROM tmp", recursive=True, **TEMP))
+HEAT = ("temperature", "temperature_min", "temperature_max")
+Q["t08_temperature_report"] = (
+    lambda s, d: rounded(T.temperature_report(P(s, d)).withColumns({c: F.round(c, 4) for c in HEAT})),
+    sql("""SELECT cohort, arm, count(DISTINCT seed) AS seeds, round(avg(temperature), 4) AS temperature, round(min(temperature), 4) AS temperature_min,
+ round(max(temperature), 4) AS temperature_max, count(*) FILTER (at_bound AND stage = 'after') AS at_bound, """ + ", ".join(
+        f"round(avg({c}) FILTER (stage = '{s}'), 6) AS {c}_{s}" for s in ("before", "after") for c in ("brier", "brier_skill", "ece"))
+        + " FROM tall GROUP BY ALL", recursive=True, **TEMP))
 
 Q["f01_ensemble"] = (
     lambda s, d: M.roc_auc(U_.ensemble(P(s, d)).withColumn("p", F.round("p", 9)), ["cohort", "arm", "runs"])
