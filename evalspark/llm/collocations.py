@@ -21,8 +21,8 @@ BREAK = b"\xff"
 # Letters that end a piece, and the lower case of A-Z.
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 LETTERS = bytes.maketrans(PIECE_ENDS + b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t", BREAK * len(PIECE_ENDS) + b"abcdefghijklmnopqrstuvwxyz ")
-SYMBOLS = 1_000_000
-WORDS = 500_000
+SYMBOLS = 600_000
+WORDS = 200_000
 FILTER_BITS = (16, 26)
 
 
