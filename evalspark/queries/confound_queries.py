@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evalspark.functions.columns import uniform
 from evalspark.operators import confound as X
-from evalspark.queries.curate_queries import MAP, OPP, denied, same_entity
+from evalspark.queries.curate_queries import CHAIN, MANIFEST, MAP, OPP, ROWS, denied, same_entity
 from evalspark.queries.infer_queries import BASE, NB, REPLICATE, RP, RUNS, T2
 from evalspark.queries.metrics_queries import R, auc_sql, rounded
 from evalspark.queries.oracle import U, grain, sql
@@ -149,4 +149,6 @@ q("x17_replicate_summary", lambda s, d: X.replicate(V.prediction(s, d), "testb",
 q("x17_replicate_residual", replicate_audit("residual"))
 q("x17_replicate_background", replicate_audit("background"))
 q("x17_replicate_cohort", lambda s, d: X.replicate_cohort(V.box(s, d), same_entity(s, d), MAP, OPP, denied=denied(s, d)).groupBy("class_name", "leukemia_type").agg(
-    F.count(F.lit(1)).alias("crops"), F.countDistinct("slide").alias("slides"), F.sum("window_h").alias("window_h")))
+    F.count(F.lit(1)).alias("crops"), F.countDistinct("slide").alias("slides"), F.sum("window_h").alias("window_h")),
+  f"""SELECT class_name, leukemia_type, count(*) AS crops, count(DISTINCT slide) AS slides, sum(window_h)::BIGINT AS window_h FROM ({MANIFEST}) GROUP BY ALL""",
+  recursive=True, **{**ROWS, **CHAIN})

@@ -132,10 +132,10 @@ q("c14_class_counts", lambda s, d: C.class_counts(box(s, d), ["lymph", "blast",
  LEFT JOIN box b USING (category) GROUP BY ALL""")
 q("c15_assert_unique", lambda s, d: C.assert_unique(box(s, d).select("file_name", "annotation_id", "category"), ["file_name", "annotation_id"]),
   "SELECT file_name, annotation_id, category FROM box")
-q("c16_build_manifest", lambda s, d: C.build_manifest(box(s, d), same_entity(s, d), MAP, OPP, denied=denied(s, d)),
-  """SELECT concat(name, '/', slide, '_', image, '_', annotation_id, '.png') AS file, label, name AS class_name, category, slide, leukemia_type, image_path AS source_image,
+MANIFEST = """SELECT concat(name, '/', slide, '_', image, '_', annotation_id, '.png') AS file, label, name AS class_name, category, slide, leukemia_type, image_path AS source_image,
  x, y, w, h, annotation_id, source_json, win_h::BIGINT AS window_h, pad_fraction FROM (SELECT *, CASE label WHEN 0 THEN 'Normal' ELSE 'ALL' END AS name,
- row_number() OVER (PARTITION BY slide, label ORDER BY pad_fraction, annotation_id) AS place FROM single) WHERE label = 0 OR place <= 100""", recursive=True,
+ row_number() OVER (PARTITION BY slide, label ORDER BY pad_fraction, annotation_id) AS place FROM single) WHERE label = 0 OR place <= 100"""
+CHAIN = dict(
   good="SELECT p.* FROM pad p JOIN reason r USING (file_name, annotation_id) WHERE r.skip IS NULL",
   ranked="""SELECT file_name, label, annotation_id, x, y, w, h, row_number() OVER (PARTITION BY file_name, label ORDER BY source_json, annotation_id) AS r FROM good""",
   **walk_sql("file_name, label", "annotation_id, x, y, w, h", f"{IOU_SQL} > 0.5::DOUBLE * (s.w * s.h + o.w * o.h - {IOU_SQL})"),
@@ -143,6 +143,7 @@ q("c16_build_manifest", lambda s, d: C.build_manifest(box(s, d), same_entity(s,
  WHERE NOT EXISTS ({NEIGHBOUR})""",
   single="""SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(cell_group, annotation_id::VARCHAR) ORDER BY pad_fraction, annotation_id) AS rn
  FROM alone LEFT JOIN same USING (file_name, x, y, w, h)) WHERE rn = 1""")
+q("c16_build_manifest", lambda s, d: C.build_manifest(box(s, d), same_entity(s, d), MAP, OPP, denied=denied(s, d)), MANIFEST, recursive=True, **CHAIN)
 
 
 def wanted(s, d):

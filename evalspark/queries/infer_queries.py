@@ -10,7 +10,7 @@ from evalspark.operators import dedup as D
 from evalspark.operators import infer as B
 from evalspark.operators import metrics as M
 from evalspark.queries.metrics_queries import BUNDLE, CTE, RUN, R, rounded
-from evalspark.queries.oracle import U, sql
+from evalspark.queries.oracle import U, WELCH, sql, welch
 from evalspark.sources import views as V
 
 P = V.prediction
@@ -199,13 +199,21 @@ Q["b14_t_test"] = (
  FROM (SELECT cohort, arm, seed, avg((p-y)*(p-y)) AS b FROM prediction GROUP BY ALL) GROUP BY ALL)"""))
 # three seeds leave two degrees of freedom, whose quantile has a closed form
 T2 = "0.95::DOUBLE / sqrt(2 * 0.975::DOUBLE * 0.025::DOUBLE) * stddev_samp(VALUE) / sqrt(count(*))"
-Q["b14_t_test_p"] = (lambda s, d: rounded(welch_rows(s, d)), None)
+Q["b14_t_test_p"] = (
+    lambda s, d: rounded(welch_rows(s, d)),
+    sql(f"SELECT cohort, test, {WELCH} FROM wp", **welch("brs", "cohort"), brs="""SELECT cohort, CASE arm WHEN 'full' THEN 'a' ELSE 'b' END AS side, avg((p-y)*(p-y)) AS value
+ FROM prediction WHERE arm IN ('full', 'plain') GROUP BY cohort, arm, seed"""))
 Q["b15_t_interval"] = (
     lambda s, d: rounded(B.t_interval(M.brier(P(s, d), RUN), ["cohort", "arm"], "brier")),
     sql(f"""SELECT cohort, arm, count(*) AS n, round(avg(b), 6) AS mean, round(avg(b) - {T2}, 6) AS ci_low, round(avg(b) + {T2}, 6) AS ci_high
  FROM (SELECT cohort, arm, seed, avg((p-y)*(p-y)) AS b FROM prediction GROUP BY ALL) GROUP BY ALL""".replace("VALUE", "b")))
 Q["b16_seed_tests"] = (
-    lambda s, d: rounded(B.seed_tests(P(s, d), "full", COMP, B.method_tests(P(s, d), "full", COMP, NB))), None)
+    lambda s, d: rounded(B.seed_tests(P(s, d), "full", COMP, B.method_tests(P(s, d), "full", COMP, NB))),
+    bsql(f"""SELECT cohort, metric, comparator, test, {WELCH}, round(w.p_holm, 6) AS p_holm, round(b.p_holm, 6) AS bootstrap_p_holm FROM wh w
+ JOIN (SELECT cohort, metric, comparator, p_holm FROM mt_h) b USING (cohort, metric, comparator)""", **MT, **welch("seedv", "cohort, metric, comparator"),
+         wh=holm_sql("wp", "cohort, metric", "comparator"),
+         seedv="""SELECT cohort, metric, comparator, CASE arm WHEN 'full' THEN 'a' ELSE 'b' END AS side, value FROM wmet, (VALUES ('blend'), ('jitter'), ('plain')) c(comparator)
+ WHERE draw = -1 AND metric IN ('roc_auc', 'average_precision') AND arm IN ('full', comparator)"""))
 PAIRS = [("val", "testa"), ("val", "testb"), ("testa", "testb")]
 Q["b17_rank_agreement"] = (
     lambda s, d: rounded(B.rank_agreement(

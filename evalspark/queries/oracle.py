@@ -131,3 +131,30 @@ def sql(body: str, recursive: bool = False, **ctes: str) -> str:
     visit(body)
     head = ",\n".join(f"{n} AS ({known[n]})" for n in order)
     return f"WITH {'RECURSIVE ' if recursive else ''}{head}\n{body}" if head else body
+
+
+def student_tail(t: str, df: str) -> str:
+    """P(|T| >= |t|) by Simpson's rule: the tail is an integral of a power of the sine, drawn out near 0, where it is steep."""
+    angle = f"atan(sqrt({df}) / abs({t}))"
+    return f"""(list_sum(list_transform(range(1, 801), lambda i : (CASE WHEN i = 800 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * 3 * {angle} * pow(i / 800.0::DOUBLE, 2)
+ * pow(sin({angle} * pow(i / 800.0::DOUBLE, 3)), {df} - 1))) / 2400 / (sqrt(pi()) / 2 * gamma({df} / 2) / gamma({df} / 2 + 0.5::DOUBLE)))"""
+
+
+def student_quantile(df: str) -> str:
+    """The t with a two-sided tail of 0.05, by bisection."""
+    mid = "((a.lo + a.hi) / 2)"
+    return f"""(list_reduce(list_prepend(struct_pack(lo := 0.0::DOUBLE, hi := 1000.0::DOUBLE), list_transform(range(50), lambda z : struct_pack(lo := 0.0::DOUBLE, hi := 0.0::DOUBLE))),
+ lambda a, z : CASE WHEN {student_tail(mid, df)} > 0.05::DOUBLE THEN struct_pack(lo := {mid}, hi := a.hi) ELSE struct_pack(lo := a.lo, hi := {mid}) END).lo)"""
+
+
+def welch(src: str, keys: str) -> dict[str, str]:
+    """Welch's test of the `value`s of side a against side b of a table with the given name, as the table `wp`."""
+    return dict(
+        wa=f"""SELECT {keys}, avg(value) FILTER (side = 'a') AS mean_a, avg(value) FILTER (side = 'b') AS mean_b, count(*) FILTER (side = 'a') AS na, count(*) FILTER (side = 'b') AS nb,
+ var_samp(value) FILTER (side = 'a') / count(*) FILTER (side = 'a') AS va, var_samp(value) FILTER (side = 'b') / count(*) FILTER (side = 'b') AS vb FROM {src} GROUP BY ALL""",
+        wt=f"""SELECT {keys}, 'Welch t' AS test, mean_a, mean_b, mean_a - mean_b AS delta, sqrt(va + vb) AS se, (va + vb) * (va + vb) / (va * va / (na - 1) + vb * vb / (nb - 1)) AS df,
+ (mean_a - mean_b) / sqrt(va + vb) AS t FROM wa""",
+        wp=f"SELECT *, delta - half AS ci_low, delta + half AS ci_high FROM (SELECT *, {student_tail('t', 'df')} AS p, {student_quantile('df')} * se AS half FROM wt)")
+
+
+WELCH = ", ".join(f"round({c}, 6) AS {c}" for c in ("mean_a", "mean_b", "delta", "df", "t", "ci_low", "ci_high", "p"))

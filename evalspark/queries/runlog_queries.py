@@ -9,7 +9,7 @@ from evalspark.operators import runlog as L
 from evalspark.operators import thresholds as T
 from evalspark.queries.fuse_queries import TC
 from evalspark.queries.metrics_queries import CTE, RUN, R, rounded
-from evalspark.queries.oracle import sql
+from evalspark.queries.oracle import sql, WELCH, welch
 from evalspark.sources import views as V
 from evalspark.sources.tables import table
 
@@ -54,7 +54,12 @@ q("l08_curve_report", lambda s, d: rounded(L.curve_report(latest(s, d), "full",
   """SELECT c.arm, count(*) AS seeds, max(epochs) AS epochs, round(avg(last), 6) AS last_mean, round(stddev_samp(last), 6) AS last_sd,
  round(avg(mean_all), 6) AS all_epoch_mean, round(stddev_samp(mean_all), 6) AS all_epoch_sd, min(selected_epoch) AS selected_min,
  median(selected_epoch) AS selected_median, max(selected_epoch) AS selected_max FROM crv c JOIN sel USING (run_id) GROUP BY ALL""")
-q("l08_curve_tests", lambda s, d: rounded(L.curve_report(latest(s, d), "full", ["blend", "jitter", "plain"])[1]), None)
+q("l08_curve_tests", lambda s, d: rounded(L.curve_report(latest(s, d), "full", ["blend", "jitter", "plain"])[1]),
+  f"SELECT statistic, comparator, test, {WELCH}, round(p_holm, 6) AS p_holm FROM wh", **welch("curv", "statistic, comparator"),
+  wh="""SELECT *, max(st) OVER (PARTITION BY statistic ORDER BY p, comparator ROWS UNBOUNDED PRECEDING) AS p_holm FROM (SELECT *, least(1.0, (count(*) OVER (PARTITION BY statistic)
+ - row_number() OVER (PARTITION BY statistic ORDER BY p, comparator) + 1) * p) AS st FROM wp)""",
+  curv="""SELECT statistic, comparator, CASE arm WHEN 'full' THEN 'a' ELSE 'b' END AS side, value FROM (SELECT arm, unnest(['last', 'mean']) AS statistic, unnest([last, mean_all]) AS value
+ FROM crv), (VALUES ('blend'), ('jitter'), ('plain')) c(comparator) WHERE arm IN ('full', comparator)""")
 IN_SQL = {"mean": "avg", "max": "max", "min": "min"}
 EPR = "SELECT run_id, epoch, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6::DOUBLE AS epoch_s, count(*) AS samples, " + ", ".join(
     f"{IN_SQL[how]}({g})" + (f" FILTER (phase = '{phase}')" if phase else "") + f" AS {name}" for name, g, phase, how, _ in L.GAUGE_COLUMNS
