@@ -103,7 +103,7 @@ def near_duplicates(df: DataFrame, d1: int = H1_MAX, d2: int = H2_MAX, bands: in
 
 def _block_min(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     if not len(left) or not len(right):
-        return pd.DataFrame({"source_a": [], "source_b": [], "d": []})
+        return pd.DataFrame({"source_a": pd.Series(dtype=object), "source_b": pd.Series(dtype=object), "d": pd.Series(dtype="int32")})
     q = np.concatenate(left["h1"].to_list()).astype(np.int64).view(np.uint64)
     r = right["z"].to_numpy(dtype=np.int64).view(np.uint64)
     best = min(int(np.bitwise_count(q[s:s + 512, None] ^ r[None, :]).min()) for s in range(0, len(q), 512))
