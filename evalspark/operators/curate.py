@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from evalspark.functions.columns import box_intersection, draw_index, hash_int, iou, overlap_1d, uniform
 from evalspark.plans.lineage import cut_lineage
-from evalspark.plans.groups import block_join, first_per_group, join_groups, join_skewed, rank_rows, top_per_group
+from evalspark.plans.groups import first_per_group, join_groups, join_skewed, rank_rows, top_per_group
 from evalspark.plans.prefix import exact_quantiles
 from evalspark.plans.suppress import FOLD_ROWS, real, suppress
 
@@ -133,37 +133,25 @@ def pad_fraction(df: DataFrame) -> DataFrame:
 
 
 def opposite_neighbour(df: DataFrame, entities: DataFrame, opposing: Mapping[int, Sequence[str]],
-                       share: float = NEIGHBOUR_SHARE) -> DataFrame:
-    """`opposite`: the window shows at least `share` of an entity of an opposing category.
-
-    Windows and entities meet in a grid of levels, keyed by file, level, cell and the window's label, so no pair of
-    one class is made. A side has the level whose cells are at least as wide as it. A pair meets at the larger of its two
-    levels: an entity stands in the cell of its centre at its own level and all above it, a window looks
-    into the cells around it at its own level and, above it, for entities of just that level. Crowded cells are split.
-    """
-    def level(w: Column, h: Column) -> Column:
-        return F.greatest(F.ceil(F.log2(F.greatest(w, h, F.lit(1e-6)))), F.lit(0)).cast("int")
-
-    e = entities.select("file_name", F.col("annotation_id").alias("eid"), "category",
-                        *[F.col(c).cast("double").alias(f"e{c}") for c in BBOX])
+                       share: float = NEIGHBOUR_SHARE, cell: float = 128.0) -> DataFrame:
+    """`opposite`: the window shows at least `share` of an entity of an opposing category. Windows and entities meet in
+    the grid cells both touch, keyed by the window's label too, so a crowded file is not compared all against all and no
+    pair of one class is made."""
+    def span(lo: Column, hi: Column) -> Column:
+        return F.sequence(F.floor(lo / cell), F.floor(hi / cell))
+
+    def spread(d: DataFrame, x: Column, y: Column, w: Column, h: Column) -> DataFrame:
+        return d.withColumn("cx", F.explode(span(x, x + w))).withColumn("cy", F.explode(span(y, y + h)))
+
+    win = df.select("file_name", "annotation_id", "label", "x0", "y0", "win_w", "win_h")
+    win = spread(win, F.col("x0"), F.col("y0"), F.col("win_w"), F.col("win_h"))
     labels = F.array_compact(F.array(*[F.when(F.col("category").isin(*cats), F.lit(label)) for label, cats in opposing.items()]))
-    e = e.filter((F.col("ew") > 0) & (F.col("eh") > 0)).withColumn("label", F.explode(labels))
-    win = df.select("file_name", "annotation_id", "label", "x0", "y0", "win_w", "win_h").filter((F.col("win_w") > 0) & (F.col("win_h") > 0))
-    e, win = e.withColumn("own", level(F.col("ew"), F.col("eh"))), win.withColumn("own", level(F.col("win_w"), F.col("win_h")))
-    top = e.agg(F.max("own").alias("m")).unionByName(win.agg(F.max("own").alias("m"))).agg(F.max("m")).first()[0] or 0
-    side = F.pow(F.lit(2.0), F.col("level"))
-    above = F.explode(F.sequence(F.col("own"), F.lit(top))).alias("level")
-    e = e.select("*", above).select("file_name", "label", "eid", "ex", "ey", "ew", "eh", "level", (F.col("level") == F.col("own")).alias("exact"),
-                                    F.floor((F.col("ex") + F.col("ew") / 2) / side).alias("cx"), F.floor((F.col("ey") + F.col("eh") / 2) / side).alias("cy"))
-
-    def around(lo: str, width: str) -> Column:
-        # an entity that shows has its centre within half a cell of the window
-        return F.explode(F.sequence(F.floor((F.col(lo) - side / 2) / side), F.floor((F.col(lo) + F.col(width) + side / 2) / side)))
-
-    win = win.select("*", above).withColumn("exact", F.explode(F.when(F.col("level") == F.col("own"), F.array(F.lit(True), F.lit(False))).otherwise(
-        F.array(F.lit(True))))).withColumn("cx", around("x0", "win_w")).withColumn("cy", around("y0", "win_h")).drop("own")
+    e = entities.select("file_name", F.col("annotation_id").alias("eid"), labels.alias("labels"),
+                        *[F.col(c).cast("double").alias(f"e{c}") for c in BBOX])
+    e = e.withColumn("label", F.explode("labels")).drop("labels")
+    e = spread(e, F.col("ex"), F.col("ey"), F.col("ew"), F.col("eh"))
     inter = box_intersection(("x0", "y0", "win_w", "win_h"), ("ex", "ey", "ew", "eh"))
-    j = block_join(win, e, ["file_name", "label", "level", "exact", "cx", "cy"])
+    j = win.join(e, ["file_name", "label", "cx", "cy"])
     hits = j.filter((F.col("annotation_id") != F.col("eid")) & (inter >= F.lit(share) * F.col("ew") * F.col("eh")))
     hits = hits.select("file_name", "annotation_id").distinct().withColumn("opposite", F.lit(True))
     return df.join(hits, ["file_name", "annotation_id"], "left").fillna(False, ["opposite"])
