@@ -141,12 +141,13 @@ def control_score(Fr: DataFrame, cols: Sequence[str], groups: str | None = None)
 
 def swap_effects(S: DataFrame, by: Sequence[str] = ("cohort", "arm", "seed"), item: str = "item_id") -> DataFrame:
     """Per run: AUC of each condition (mean over donor draws), mean shift towards the other class, drops, and the
-    class-specific effect same - other."""
+    class-specific effect same - other. The scores before a swap are as many as the items, so they are shuffled to their
+    swaps whatever Spark estimates."""
     by = list(by)
     kind = F.regexp_replace("condition", r"\d+$", "")
     auc = M.roc_auc(S, [*by, "condition"]).groupBy(*by, kind.alias("kind")).agg(F.avg("roc_auc").alias("auc"))
     own = S.filter(F.col("condition") == "original").select(*by, item, F.col("p").alias("p0"))
-    moved = S.filter(kind.isin("other", "same")).join(own, [*by, item])
+    moved = S.filter(kind.isin("other", "same")).join(own.hint("merge"), [*by, item])
     toward = F.when(F.col("y") == 1, F.col("p0") - F.col("p")).otherwise(F.col("p") - F.col("p0"))
     shift = moved.groupBy(*by, "condition").agg(F.avg(toward).alias("dp")).groupBy(*by, kind.alias("kind")).agg(
         F.avg("dp").alias("dp"))
