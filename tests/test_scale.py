@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from evalspark.operators import confound as X
+from evalspark.operators import infer as B
 from evalspark.operators import metrics as M
 
 
@@ -22,3 +23,14 @@ def test_scores_made_by_a_generator_are_not_broadcast(spark):
     assert not broadcasts(t) and t.count() == 3
     t = X.swap_effects(S)
     assert not [j for j in broadcasts(t) if "item_id" in j] and t.count() == 3
+
+
+def test_units_may_have_any_name(spark):
+    rows = [("c", f"a{a}", s, i, f"u{i % 4}", "k", i % 2, ((i * 7 + a + s) % 10) / 10.0) for a in range(2) for s in range(2) for i in range(20)]
+    P = spark.createDataFrame(rows, "cohort string, arm string, seed int, item_id int, unit string, subtype string, y int, p double")
+    own = {r["unit"]: r["total"] for r in B.draw_units(B.units(P), 5).groupBy("unit").agg(F.sum("weight").alias("total")).collect()}
+    for name in ("block", "entries", "local"):
+        drawn = B.draw_units(B.units(P.withColumnRenamed("unit", name), unit=name), 5, unit=name)
+        assert {r[name]: r["total"] for r in drawn.groupBy(name).agg(F.sum("weight").alias("total")).collect()} == own
+    blocks = P.select("item_id", F.concat(F.lit("b"), F.col("item_id") % 5).alias("block")).distinct()
+    assert B.unit_sensitivity(P, blocks, "a0", ["a1"], 5).count() == 2
