@@ -1,10 +1,13 @@
 """Plans that must hold up on tables that are larger than Spark's estimate of them."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from evalspark.operators import confound as X
 from evalspark.operators import infer as B
 from evalspark.operators import metrics as M
+from evalspark.plans import vectors as V
 
 
 def broadcasts(df) -> list[str]:
@@ -34,3 +37,22 @@ def test_units_may_have_any_name(spark):
         assert {r[name]: r["total"] for r in drawn.groupBy(name).agg(F.sum("weight").alias("total")).collect()} == own
     blocks = P.select("item_id", F.concat(F.lit("b"), F.col("item_id") % 5).alias("block")).distinct()
     assert B.unit_sensitivity(P, blocks, "a0", ["a1"], 5).count() == 2
+
+
+@pytest.mark.parametrize("sums", [0, 4])
+def test_a_task_sends_a_score_once_unless_its_sums_are_full(spark, monkeypatch, sums):
+    monkeypatch.setattr(V, "SUMS", sums)
+    monkeypatch.setattr(V, "CELLS", 400)
+    rows = [("c", f"a{i % 3}", i % 2, (i % 50) / 50.0 if i % 49 else float("nan"), V.as_binary(np.full((1, 5), i % 7, np.int16))[0].as_py()) for i in range(6000)]
+    cells = spark.createDataFrame(rows, "cohort string, arm string, y int, p double, w binary").coalesce(1)
+    found = V.score_vectors(cells, ["cohort", "arm"], 4).collect()
+    total = {}
+    for r in found:
+        assert (r["pos"] is None) != (r["neg"] is None)
+        key = r["arm"], int(r["pos"] is not None), str(r["p"])
+        total[key] = total.get(key, 0) + V.counts_matrix(V.pa.array([r["pos"] or r["neg"]]), 5)[0]
+    want = {}
+    for _, arm, y, p, w in rows:
+        want[arm, y, str(p)] = want.get((arm, y, str(p)), 0) + np.frombuffer(w, np.int16).astype(int)
+    assert total.keys() == want.keys() and all((total[k] == want[k]).all() for k in want)
+    assert len(found) == len(want) if sums else len(found) > len(want)
