@@ -1,13 +1,18 @@
 """Plans that must hold up on tables that are larger than Spark's estimate of them."""
 
+import re
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evalspark.operators import confound as X
 from evalspark.operators import infer as B
 from evalspark.operators import metrics as M
 from evalspark.plans import vectors as V
+from evalspark.streaming import stream as W
 
 
 def broadcasts(df) -> list[str]:
@@ -56,3 +61,10 @@ def test_a_task_sends_a_score_once_unless_its_sums_are_full(spark, monkeypatch,
         want[arm, y, str(p)] = want.get((arm, y, str(p)), 0) + np.frombuffer(w, np.int16).astype(int)
     assert total.keys() == want.keys() and all((total[k] == want[k]).all() for k in want)
     assert len(found) == len(want) if sums else len(found) > len(want)
+
+
+def test_a_line_of_a_log_does_not_carry_its_file(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("b,a\nx,1\ny,2\n")
+    batch = SimpleNamespace(readStream=spark.read)  # the plan of a stream shows only once it runs
+    plan = W.stream_log(batch, str(tmp_path), T.StructType.fromDDL("a int, b string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Generate explode\(lines#\d+\), \[\d+\]", plan)  # the array is not among the columns that go on
