@@ -12,6 +12,7 @@ from evalspark.operators import confound as X
 from evalspark.operators import infer as B
 from evalspark.operators import metrics as M
 from evalspark.plans import vectors as V
+from evalspark.queries import REGISTRY
 from evalspark.streaming import stream as W
 
 
@@ -68,3 +69,36 @@ def test_a_line_of_a_log_does_not_carry_its_file(spark, tmp_path):
     batch = SimpleNamespace(readStream=spark.read)  # the plan of a stream shows only once it runs
     plan = W.stream_log(batch, str(tmp_path), T.StructType.fromDDL("a int, b string"))._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"Generate explode\(lines#\d+\), \[\d+\]", plan)  # the array is not among the columns that go on
+
+
+def exchanged_after_a_generator(df) -> list[str]:
+    """Exchanges that stand above a generator, so that they move the repeated rows."""
+    plan = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [len(line) - len(line.lstrip(" +-:*()0123456789")) for line in plan]
+    found = []
+    for i, line in enumerate(plan):
+        below = []
+        for j in range(i + 1, len(plan)):
+            if depth[j] <= depth[i]:
+                break
+            below.append(plan[j])
+        if "Exchange" in line and any("Generate" in b for b in below):
+            found.append(line.strip())
+    return found
+
+
+@pytest.fixture
+def lines(spark, tmp_path):
+    orders = "o_orderkey bigint, o_custkey bigint, o_orderstatus string"
+    spark.createDataFrame([(i, i % 3, "FOP"[i % 3]) for i in range(30)], orders).write.parquet(f"{tmp_path}/orders.parquet")
+    line = "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_discount double"
+    rows = [(i % 24, i, i % 5, i % 4, float(i), 0.01) for i in range(90)]
+    spark.createDataFrame(rows, line).write.parquet(f"{tmp_path}/lineitem.parquet")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("how", ["mean", "max", "frac"])
+def test_instance_scores_of_a_bag_meet_before_they_are_repeated(spark, lines, how):
+    t = REGISTRY[f"f03_bag_{how}"][0](spark, lines)
+    assert not exchanged_after_a_generator(t)
+    assert t.count() == 24 * 12
