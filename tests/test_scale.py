@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evalspark.operators import confound as X
+from evalspark.operators import curate as C
 from evalspark.operators import infer as B
 from evalspark.operators import metrics as M
 from evalspark.plans import vectors as V
@@ -102,3 +103,14 @@ def test_instance_scores_of_a_bag_meet_before_they_are_repeated(spark, lines, ho
     t = REGISTRY[f"f03_bag_{how}"][0](spark, lines)
     assert not exchanged_after_a_generator(t)
     assert t.count() == 24 * 12
+
+
+@pytest.mark.parametrize("name", ["c06_greedy_iou_dedup", "c12_keep_one_per_entity", "c17_manifest_diff", "c18_key_differences"])
+def test_boxes_are_not_searched_for_conflicts_that_nobody_reads(spark, tmp_path, monkeypatch, name):
+    line = "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_returnflag string, l_linestatus string"
+    rows = [(i % 24, i, i % 5, i % 4, "ANR"[i % 3], "FO"[i % 2]) for i in range(90)]
+    spark.createDataFrame(rows, line).write.parquet(f"{tmp_path}/lineitem.parquet")
+    asked = []
+    monkeypatch.setattr(C, "flag_conflicts", lambda boxes, real=C.flag_conflicts: asked.append(1) or real(boxes))
+    assert REGISTRY[name][0](spark, str(tmp_path)).count() > 0
+    assert not asked
