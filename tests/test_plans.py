@@ -222,3 +222,30 @@ def test_text_fingerprints_equal_brute_force(spark, monkeypatch):
             pairs.append((simhash(shingles), simhash(grams)))
         want.add((s, i, tuple(p[0] for p in pairs), tuple(p[1] for p in pairs)))
     assert got == want
+
+
+def test_text_fingerprints_move_no_grams(spark, capsys):
+    """A table in one file is spread before the work, and no row per gram is made."""
+    df = spark.createDataFrame([("s", i, "the quick brown fox") for i in range(50)], "source string, item_id int, text string").coalesce(1)
+    t = text_fingerprints(df, ["source", "item_id"])
+    t.explain()
+    plan = capsys.readouterr().out
+    assert "Generate" not in plan and "RoundRobinPartitioning" in plan
+    assert t.count() == 50 and t.select("h1", "h2").distinct().count() == 1
+
+
+def test_votes_of_long_and_varied_texts(monkeypatch):
+    """Stretches that cut a text, and alphabets too large for one long, give the votes of the whole text."""
+    from evalspark.functions import simhash as S
+
+    monkeypatch.setattr(S, "STRETCH", 64)
+    han = "".join(chr(0x4E00 + i) for i in range(9000)) + "".join(chr(0x1F600 + i % 60) for i in range(200))
+    texts = ["ab " * 300, han[:300], "", "abcd", " \t", "one two"] + ["some words, repeated " * 20] * 2
+    for stretch, more in ((64, []), (1 << 20, [han])):
+        monkeypatch.setattr(S, "STRETCH", stretch)
+        chars, words = S.char_votes(texts + more), S.word_votes(texts + more)
+        for i, t in enumerate(texts + more):
+            w = [x for x in re.split("[ \t\r\n]+", t) if x]
+            runs = [[t[k:k + 5] for k in range(max(len(t) - 4, 1))] if t else [], [" ".join(w[k:k + 3]) for k in range(max(len(w) - 2, 1))] if w else []]
+            for (votes, n), grams in zip((chars, words), runs):
+                assert n[i] == len(grams) and S.majority(votes[i:i + 1], n[i:i + 1])[0] == simhash(grams)
