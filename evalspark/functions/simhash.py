@@ -7,15 +7,16 @@ grams never leave its task: rows that move are fingerprints.
 
 from __future__ import annotations
 
-import hashlib
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalspark.functions.digests import md5_heads
+
 SHINGLE_WORDS, GRAM_CHARS = 3, 5
 BLOCK = 255  # grams whose votes a byte can count
 STRETCH = 1 << 20  # letters whose grams are held at once
@@ -36,10 +37,15 @@ def text_views(df: DataFrame, text: str, last: int) -> DataFrame:
     return df
 
 
-def _bits(grams: list[bytes]) -> np.ndarray:
+def _bits(grams: bytes, sizes) -> np.ndarray:
     """A row per gram: the bits of the first 64 bits of its md5, highest first, as 64 bytes that fill eight longs."""
-    digests = np.frombuffer(b"".join([hashlib.md5(g).digest()[:8] for g in grams]), np.uint8)
-    return np.unpackbits(digests).view(np.uint64).reshape(-1, 8)
+    return np.unpackbits(md5_heads(grams, sizes).astype(">u8").view(np.uint8)).view(np.uint64).reshape(-1, 8)
+
+
+def _joined(grams: Iterable[str]) -> tuple[bytes, list[int]]:
+    """The grams one after the other in UTF-8, and their sizes."""
+    grams = [g.encode() for g in grams]
+    return b"".join(grams), list(map(len, grams))
 
 
 def _add_votes(votes: np.ndarray, owner: np.ndarray, sizes: np.ndarray, index: np.ndarray, bits: np.ndarray, block: int) -> None:
@@ -67,7 +73,7 @@ def char_votes(texts: list[str], block: int = BLOCK) -> tuple[np.ndarray, np.nda
     short = [i for i, t in enumerate(texts) if 0 < len(t) < GRAM_CHARS]
     if short:
         n[short] = 1
-        _add_votes(votes, np.array(short), np.ones(len(short), np.int64), np.arange(len(short)), _bits([texts[i].encode() for i in short]), block)
+        _add_votes(votes, np.array(short), np.ones(len(short), np.int64), np.arange(len(short)), _bits(*_joined(texts[i] for i in short)), block)
     long = [(i, at) for i, t in enumerate(texts) for at in range(0, len(t) - GRAM_CHARS + 1, STRETCH)]
     while long:
         size, taken = 0, 0
@@ -104,8 +110,9 @@ def char_votes(texts: list[str], block: int = BLOCK) -> tuple[np.ndarray, np.nda
             index, names = _codes(heads.astype(np.uint64) << np.uint64(42) | joined(3, 4, 21))
             low, front = np.uint64((1 << 21) - 1), head[names >> np.uint64(42)]
             spelled = [front >> np.uint64(42), front >> np.uint64(21) & low, front & low, names >> np.uint64(21) & low, names & low]
-        words = alphabet[np.stack(spelled, axis=1).astype(np.int64)].astype(np.uint32).tobytes().decode("utf-32-le")
-        bits = _bits([words[k:k + GRAM_CHARS].encode() for k in range(0, len(words), GRAM_CHARS)])
+        runs = alphabet[np.stack(spelled, axis=1).astype(np.int64)].astype(np.uint32)
+        in_utf8 = sum(((runs >= least).sum(axis=1) for least in (0x80, 0x800, 0x10000)), np.full(len(runs), GRAM_CHARS))
+        bits = _bits(runs.tobytes().decode("utf-32-le").encode(), in_utf8)
         sizes = lengths - GRAM_CHARS + 1
         np.add.at(n, owner, sizes)
         _add_votes(votes, owner, sizes, index, bits, block)
@@ -126,7 +133,7 @@ def word_votes(texts: list[str], block: int = BLOCK) -> tuple[np.ndarray, np.nda
             distinct = dict.fromkeys(grams)
             place = dict(zip(distinct, range(len(distinct))))
             index = np.fromiter(map(place.__getitem__, grams), np.int64, len(grams))
-            _add_votes(votes, np.array([o for o, _ in sizes]), np.array([s for _, s in sizes]), index, _bits([g.encode() for g in distinct]), block)
+            _add_votes(votes, np.array([o for o, _ in sizes]), np.array([s for _, s in sizes]), index, _bits(*_joined(distinct)), block)
         sizes.clear()
         grams.clear()
 

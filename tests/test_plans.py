@@ -249,3 +249,11 @@ def test_votes_of_long_and_varied_texts(monkeypatch):
             runs = [[t[k:k + 5] for k in range(max(len(t) - 4, 1))] if t else [], [" ".join(w[k:k + 3]) for k in range(max(len(w) - 2, 1))] if w else []]
             for (votes, n), grams in zip((chars, words), runs):
                 assert n[i] == len(grams) and S.majority(votes[i:i + 1], n[i:i + 1])[0] == simhash(grams)
+
+
+def test_md5_heads():
+    from evalspark.functions.digests import md5_heads
+
+    messages = [bytes(range(n)) for n in (0, 1, 5, 54, 55, 56, 57, 64, 130)] * 1000 + [b"x"]
+    got = md5_heads(b"".join(messages), [len(m) for m in messages])
+    assert got.tolist() == [int(hashlib.md5(m).hexdigest()[:16], 16) for m in messages]
