@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import join_by_size, plain
+from evalspark.llm.common import join_by_size, maybe_among, plain
 from evalspark.llm.shingles import shingle_set
 from evalspark.plans.components import connected_components
 from evalspark.plans.groups import join_skewed
@@ -144,8 +144,9 @@ def _overlaps(pairs: DataFrame, docs: DataFrame, cuts, words: int, percent: int,
     pairs = cut_lineage(pairs)
     used = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     segments = cut_lineage(_segments(docs, used, cuts, words, kind))
-    degree = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("degree"))
-    hubs = segments.withColumnsRenamed({"doc_id": "a", "tokens": "ta"}).join(degree, "a").groupBy("a").agg(
+    degree = cut_lineage(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("degree")))
+    owners = maybe_among(segments.withColumnsRenamed({"doc_id": "a", "tokens": "ta"}), degree, "a")  # few sets are a hub's, only those move twice
+    hubs = owners.join(degree, "a").groupBy("a").agg(
         F.collect_list(F.struct("fragment", "ta")).alias("segs"), F.max("degree").alias("degree"))
     one = join_skewed(pairs, hubs, ["a"], "degree", limit=HUB_ROWS)
     one = one.select("a", "na", "b", "nb", F.inline("segs"))

@@ -48,3 +48,22 @@ def test_ngram_groups(make, edge_rows, k, percent):
     assert len(got) == len(rows)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
     assert ngram_groups(make([])).count() == 0
+
+
+def test_only_sets_of_hubs_move_twice(make, monkeypatch):
+    """Of a family of near copies with one hub, the hub's set alone is asked for by name."""
+    from evalspark.llm import ngram_join
+
+    base = [f"w{k}" for k in range(80)]
+    rows = [(i, " ".join(base + [f"x{i}"]), "s") for i in range(12)]
+    passed, real = [], ngram_join.maybe_among
+
+    def noted(sets, ids, key, **kw):
+        out = real(sets, ids, key, **kw)
+        passed.append((sets.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(ngram_join, "maybe_among", noted)
+    got = ngram_groups(make(rows), words=3, percent=90).collect()
+    assert {r.component_id for r in got} == {0} and len(got) == 12
+    assert passed and 0 < passed[0][1] < passed[0][0] / 2
