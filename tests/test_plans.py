@@ -257,3 +257,11 @@ def test_md5_heads():
     messages = [bytes(range(n)) for n in (0, 1, 5, 54, 55, 56, 57, 64, 130)] * 1000 + [b"x"]
     got = md5_heads(b"".join(messages), [len(m) for m in messages])
     assert got.tolist() == [int(hashlib.md5(m).hexdigest()[:16], 16) for m in messages]
+
+
+def test_text_fingerprints_of_long_texts_delivered_often(spark):
+    """Rows that agree in key and text have the fingerprint of one, however many votes they would sum to."""
+    text = " ".join(f"w{k % 313}" for k in range(6000))
+    df = spark.createDataFrame([("s", 1, text)] * 6, "source string, item_id int, text string")
+    many, one = (text_fingerprints(d, ["source", "item_id"]).collect() for d in (df, df.limit(1)))
+    assert many == one and len(one) == 1
