@@ -13,7 +13,7 @@ from evalspark.llm.line_dedup import line_dedup
 from evalspark.llm.mixing import mix
 from evalspark.llm.ngram_join import ngram_groups
 from evalspark.llm.queries import word_vocabulary
-from evalspark.plans.lineage import work_folder
+from evalspark.plans.lineage import cut_lineage, work_folder
 
 LEAST_CHANCE = 0.3
 
@@ -39,7 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     groups = ngram_groups(keyed, id_col="__key", words=5, percent=80).select(F.col("doc_id").alias("__key"), "component_id").distinct()
     first = keyed.select("__key", "doc_id").distinct().join(groups, "__key").groupBy("component_id").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__key")).alias("first"))
-    kept = keyed.join(first.select("first.__key"), "__key", "left_semi")
+    kept = keyed.join(cut_lineage(first.select("first.__key")), "__key", "left_semi")
     return kept.dropDuplicates(["__key"]).select(*docs.columns)
 
 

@@ -15,13 +15,14 @@ from evalspark.llm.common import join_by_size, maybe_among, plain
 from evalspark.llm.shingles import shingle_set
 from evalspark.plans.components import connected_components
 from evalspark.plans.groups import join_skewed
-from evalspark.plans.lineage import cut_lineage
+from evalspark.plans.lineage import cut_lineage, stored
 
 BUCKET_BITS = 18
 CHUNKS = 64
 FRAGMENTS = 8
 HUB_ROWS = 1000
 BITMAP_BITS = 23
+SKETCH_BITS = 1024
 
 
 def _bucket(tokens: np.ndarray) -> np.ndarray:
@@ -74,9 +75,16 @@ def fragment_table(counts: np.ndarray, fragments: int = FRAGMENTS) -> np.ndarray
     return out
 
 
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """Of each of SKETCH_BITS hash values, whether an odd number of the tokens has it, as 64-bit words. The sketches of two
+    sets differ in no more bits than the sets in tokens, as tokens of both cancel out."""
+    odd = np.bincount((tokens & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def _signatures(docs: DataFrame, counts, words: int, percent: int, kind: str) -> DataFrame:
-    """(doc_id, n, digest, typical, prefix): set size, digest of the set, how common its n-grams are, and the rarest
-    n-grams, of which any partner must hold one: a set of n shares at least ceil(percent * n / 100)."""
+    """(doc_id, n, digest, typical, prefix, sketch): set size, digest of the set, how common its n-grams are, the rarest
+    n-grams, of which any partner must hold one (a set of n shares at least ceil(percent * n / 100)), and its sketch."""
     least = -(-percent // (100 - percent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,18 +92,19 @@ def _signatures(docs: DataFrame, counts, words: int, percent: int, kind: str) ->
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                n, digest, typical, prefix = [], [], [], []
+                n, digest, typical, prefix, odd = [], [], [], [], []
                 for t in part.column("text"):
                     s = shingle_set(t.as_py(), words)
                     n.append(len(s))
                     digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     typical.append(int(1000 * np.log2(1 + sizes[_bucket(s)]).mean()) if len(s) else 0)
                     prefix.append(_order(s, sizes)[:len(s) - (percent * len(s) + 99) // 100 + 1].view(np.int64) if len(s) >= least else [])
+                    odd.append(sketch(s) if len(s) >= least else [])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()),
-                                                  pa.array(typical, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))],
-                                                 ["doc_id", "n", "digest", "typical", "prefix"])
+                                                  pa.array(typical, pa.int32()), pa.array(prefix, pa.list_(pa.int64())),
+                                                  pa.array(odd, pa.list_(pa.int64()))], ["doc_id", "n", "digest", "typical", "prefix", "sketch"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n bigint, digest binary, typical int, prefix array<bigint>")
+    return docs.mapInArrow(run, f"doc_id {kind}, n bigint, digest binary, typical int, prefix array<bigint>, sketch array<bigint>")
 
 
 def _bitmap(ids: DataFrame) -> np.ndarray:
@@ -138,6 +147,22 @@ def _possible(n1: Column, at1: Column, n2: Column, at2: Column, percent: int) ->
     return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & ((100 + percent) * most >= need)
 
 
+def _bounded(pairs: DataFrame, heads: DataFrame) -> DataFrame:
+    """(a, na, b, nb, most): the pairs with an upper bound of their overlap, from two sketches of fixed size. Sets whose
+    sketches differ in h bits differ in at least h n-grams, so they share at most (na + nb - h) / 2."""
+    pairs = stored(pairs, "pairs")
+    degree = stored(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("degree")), "degree")
+    owners = heads.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa")).join(degree, "a")
+    both = join_skewed(pairs, owners, ["a"], "degree", limit=HUB_ROWS, sizes=degree).join(
+        heads.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb")), "b")
+    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    return stored(both.select("a", "na", "b", "nb", F.floor((F.col("na") + F.col("nb") - apart) / 2).alias("most")), "pairs")
+
+
+def _may_link(percent: int) -> Column:
+    return (100 + percent) * F.col("most") >= percent * (F.col("na") + F.col("nb"))
+
+
 def _overlaps(pairs: DataFrame, docs: DataFrame, cuts, words: int, percent: int, kind: str) -> DataFrame:
     """(a, b, near, far) of the pairs (a, na, b, nb) that share an n-gram: whether they link, and their Jaccard distance.
     Overlaps are counted per fragment and summed per pair. A hub with very many pairs is repeated over salts."""
@@ -148,7 +173,7 @@ def _overlaps(pairs: DataFrame, docs: DataFrame, cuts, words: int, percent: int,
     owners = maybe_among(segments.withColumnsRenamed({"doc_id": "a", "tokens": "ta"}), degree, "a")  # few sets are a hub's, only those move twice
     hubs = owners.join(degree, "a").groupBy("a").agg(
         F.collect_list(F.struct("fragment", "ta")).alias("segs"), F.max("degree").alias("degree"))
-    one = join_skewed(pairs, hubs, ["a"], "degree", limit=HUB_ROWS)
+    one = join_skewed(pairs, hubs, ["a"], "degree", limit=HUB_ROWS, sizes=degree)
     one = one.select("a", "na", "b", "nb", F.inline("segs"))
     both = one.join(segments.withColumnsRenamed({"doc_id": "b", "tokens": "tb"}), ["b", "fragment"])
     partial = both.select("a", "na", "b", "nb", F.size(F.array_intersect("ta", "tb")).cast("bigint").alias("common"))
@@ -171,6 +196,8 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     that each member of a list that did not link to its hub is compared with the others. Two members that link to the hub
     are in one component already, so a family costs as many comparisons as it has members, not pairs; and as the Jaccard
     distance is a metric, two members whose distances to the hub differ by more than the bound need no comparison.
+    Before two sets meet, sketches of SKETCH_BITS bits bound their overlap from above; pairs that cannot reach the
+    threshold go no further, so the sets that move are nearly all of pairs that link.
     Comparisons ship sets cut at FRAGMENTS fragments of the global order; each fragment counts its part of the overlap
     and the parts are summed per pair.
 
@@ -186,7 +213,7 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = cut_lineage(_signatures(base, counts, words, percent, kind))
     classes = cut_lineage(rows.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("members")))
     heads = cut_lineage(rows.filter("size(prefix) > 0").join(classes.select("digest", F.col("class_id").alias("doc_id")), ["digest", "doc_id"])
-                        .select("doc_id", F.col("n").alias("nb"), "typical", "prefix").dropDuplicates(["doc_id"]))
+                        .select("doc_id", F.col("n").alias("nb"), "typical", "prefix", "sketch").dropDuplicates(["doc_id"]))
     listed = heads.select(F.col("doc_id").alias("b"), F.posexplode("prefix").alias("at", "token"))
     lists = cut_lineage(listed.groupBy("token").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
     shared = join_by_size(listed, lists, ["token"], "size").join(heads.select(F.col("doc_id").alias("b"), "nb", "typical"), "b")
@@ -196,22 +223,26 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = join_by_size(shared.drop("typical"), hubs, ["token"], "size").select(
         "token", "b", "nb", "at", F.col("hub.b").alias("a"), F.col("hub.nb").alias("na"), F.col("hub.at").alias("a_at"))
     shared = cut_lineage(shared.filter("a <> b"))
-    first = cut_lineage(shared.filter(_possible(F.col("nb"), F.col("at"), F.col("na"), F.col("a_at"), percent))
-                        .select("a", "na", "b", "nb").distinct())
-    compared = cut_lineage(_overlaps(first, base, cuts, words, percent, kind))
+    first = _bounded(shared.filter(_possible(F.col("nb"), F.col("at"), F.col("na"), F.col("a_at"), percent))
+                     .select("a", "na", "b", "nb").distinct(), heads)
+    counted = _overlaps(first.filter(_may_link(percent)).drop("most"), base, cuts, words, percent, kind)
+    least_far = 1.0 - F.col("most") / (F.col("na") + F.col("nb") - F.col("most"))  # of pairs that cannot link only this is known
+    compared = stored(first.join(counted, ["a", "b"], "left").select(
+        "a", "b", F.coalesce("near", F.lit(False)).alias("near"), F.coalesce("far", least_far).alias("far"), F.col("far").isNotNull().alias("exact")), "pairs")
     links = compared.filter("near").select("a", "b")
 
-    placed = cut_lineage(shared.join(compared, ["a", "b"], "left").select("token", "b", "nb", "at", F.coalesce("near", F.lit(False)).alias("near"), "far"))
-    out = placed.filter("not near").select("token", *[F.col(c).alias(f"o_{c}") for c in ("b", "nb", "at", "far")])
-    apart = F.abs(F.col("far") - F.col("o_far")) > 1.0 - percent / 100 + 1e-9
+    placed = cut_lineage(shared.join(compared, ["a", "b"], "left").select("token", "b", "nb", "at", F.coalesce("near", F.lit(False)).alias("near"), "far", "exact"))
+    out = placed.filter("not near").select("token", *[F.col(c).alias(f"o_{c}") for c in ("b", "nb", "at", "far", "exact")])
+    bound = F.lit(1.0 - percent / 100 + 1e-9)
+    apart = (F.col("exact") & (F.col("o_far") - F.col("far") > bound)) | (F.col("o_exact") & (F.col("far") - F.col("o_far") > bound))
     crossing = out.join(placed, "token").filter((F.col("b") != F.col("o_b")) & (F.col("near") | (F.col("b") < F.col("o_b")))
                                                 & ~F.coalesce(apart, F.lit(False))
                                                 & _possible(F.col("nb"), F.col("at"), F.col("o_nb"), F.col("o_at"), percent))
     second = crossing.select(F.greatest("b", "o_b").alias("a"), F.when(F.col("b") > F.col("o_b"), F.col("nb")).otherwise(F.col("o_nb")).alias("na"),
                              F.least("b", "o_b").alias("b"), F.when(F.col("b") > F.col("o_b"), F.col("o_nb")).otherwise(F.col("nb")).alias("nb")).distinct()
     known = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    second = second.join(known, ["a", "b"], "left_anti").select("a", "na", "b", "nb")
-    links = cut_lineage(links.unionByName(_overlaps(second, base, cuts, words, percent, kind).filter("near").select("a", "b")))
+    second = _bounded(second.join(known, ["a", "b"], "left_anti").select("a", "na", "b", "nb"), heads).filter(_may_link(percent)).drop("most")
+    links = stored(links.unionByName(_overlaps(second, base, cuts, words, percent, kind).filter("near").select("a", "b")), "links")
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     linked = connected_components(ends.select("node"), links, out="component_id").join(ends, "node")
     final = cut_lineage(classes.join(linked.withColumnRenamed("node", "class_id"), "class_id", "left").select(

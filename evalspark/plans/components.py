@@ -6,29 +6,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.plans.groups import join_skewed
-from evalspark.plans.lineage import cut_lineage
+from evalspark.plans.lineage import stored
 
 
 def _star(e: DataFrame) -> DataFrame:
-    """Every edge (u, v) with the smallest member m of the neighbourhood of u; hubs are split over tasks."""
+    """Every edge (u, v) with the smallest member m of the neighbourhood of u; hubs are split over tasks. `e` should be
+    stored, or a plain projection of stored rows: it is read twice."""
     m = e.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("deg"))
-    m = m.withColumn("m", F.least("m", "u"))
-    return join_skewed(e, m, ["u"], "deg")
+    return join_skewed(e, stored(m.withColumn("m", F.least("m", "u")), "least"), ["u"], "deg")
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "node", a: str = "a",
                          b: str = "b", out: str = "component", max_rounds: int = 100) -> DataFrame:
     """Smallest node id of the component of every node. The number of rounds grows with the logarithm of the longest
-    chain; the edge set is checkpointed once per round."""
+    chain. The smallest members and the edges of each star are written as tables: a checkpoint would keep the size that
+    Spark guessed, joins multiply guesses, and after a few rounds the guess alone is a number of millions of digits, copied
+    into every plan on the driver."""
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
-    e = cut_lineage(e)
+    e = stored(e, "edges")
     before = None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        s = _star(large)
-        small = s.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut_lineage(small.unionByName(s.select("u", F.col("m").alias("v"))).distinct())
+        large = stored(_star(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        ends = F.explode(F.array("u", "v")).alias("u")
+        e = stored(_star(large).select(ends, F.col("m").alias("v")).filter("u <> v").distinct(), "edges")
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
