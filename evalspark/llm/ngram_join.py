@@ -176,8 +176,9 @@ def _overlaps(pairs: DataFrame, docs: DataFrame, cuts, words: int, percent: int,
     one = join_skewed(pairs, hubs, ["a"], "degree", limit=HUB_ROWS, sizes=degree)
     one = one.select("a", "na", "b", "nb", F.inline("segs"))
     both = one.join(segments.withColumnsRenamed({"doc_id": "b", "tokens": "tb"}), ["b", "fragment"])
-    partial = both.select("a", "na", "b", "nb", F.size(F.array_intersect("ta", "tb")).cast("bigint").alias("common"))
-    total = partial.groupBy("a", "na", "b", "nb").agg(F.sum("common").alias("common"))
+    partial = both.select("a", "na", "b", "nb", "fragment", F.size(F.array_intersect("ta", "tb")).cast("bigint").alias("common"))
+    once = partial.groupBy("a", "na", "b", "nb", "fragment").agg(F.max("common").alias("common"))  # a repeated row counts nothing again
+    total = once.groupBy("a", "na", "b", "nb").agg(F.sum("common").alias("common"))
     size = F.col("na") + F.col("nb")
     return total.select("a", "b", ((100 + percent) * F.col("common") >= percent * size).alias("near"),
                         (1.0 - F.col("common") / (size - F.col("common"))).alias("far"))

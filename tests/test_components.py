@@ -32,3 +32,14 @@ def test_sketches_never_rule_out_a_link(seed):
         apart = int(np.unpackbits((sketch(x) ^ sketch(y)).view(np.uint8)).sum())
         assert n <= (len(x) + len(y) - apart) // 2
     assert not sketch(np.empty(0, np.uint64)).any()
+
+
+def test_repeated_rows_do_not_count_an_overlap_twice(spark):
+    """Two texts share 85 of 100 n-grams; at 90 % they do not link, however often one of them was delivered."""
+    from evalspark.llm.ngram_join import ngram_groups
+
+    words = [f"w{i}" for i in range(200)]
+    a, b = " ".join(words[:100]), " ".join(words[8:108])
+    rows = [(1, a), (1, a), (2, b), (2, b), (3, a + " end")]
+    got = ngram_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), words=3, percent=90).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (1, 1), (2, 2), (2, 2), (3, 1)]
