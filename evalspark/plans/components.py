@@ -20,8 +20,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "node",
                          b: str = "b", out: str = "component", max_rounds: int = 100) -> DataFrame:
     """Smallest node id of the component of every node. The number of rounds grows with the logarithm of the longest
     chain. The smallest members and the edges of each star are written as tables: a checkpoint would keep the size that
-    Spark guessed, joins multiply guesses, and after a few rounds the guess alone is a number of millions of digits, copied
-    into every plan on the driver."""
+    Spark guessed, joins multiply guesses, and after a few rounds the guess alone is a number of very many digits in
+    every plan on the driver."""
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
     e = stored(e, "edges")
     before = None
