@@ -14,7 +14,7 @@ from evalspark.operators import metrics as M
 from evalspark.operators.curate import build_manifest
 from evalspark.plans.fits import least_squares, linear, logistic
 from evalspark.plans.groups import join_groups, join_skewed, rank_rows
-from evalspark.plans.lineage import cut_lineage
+from evalspark.plans.lineage import cut_lineage, stored
 from evalspark.plans.prefix import exact_quantiles
 
 FOLDS = 5
@@ -209,9 +209,9 @@ def coverage(Fr: DataFrame, sets: Sequence[Column]) -> DataFrame:
 
 def transfer_audit(Fr: DataFrame, source: str, fit_source: str, cols: Sequence[str], y: str = "y") -> DataFrame:
     """A rule fitted on one source and applied unchanged to every source: rows used, rows dropped for a missing feature
-    and AUC; the fit source also out of fold."""
+    and AUC; the fit source also out of fold. The features are written once: moments, fits, folds and scores read them."""
     complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
-    d = Fr.withColumn("__ok", complete)
+    d = stored(Fr.withColumn("__ok", complete), "features")
     fit = d.filter(F.col("__ok") & (F.col(source) == fit_source))
     beta = logistic(standardise(fit, cols).withColumn("m", F.lit(0)), ["m"], cols, y)
     weights = F.array(*[F.lit(v) for v in beta.first()["beta"]])

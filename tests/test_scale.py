@@ -14,6 +14,7 @@ from evalspark.operators import infer as B
 from evalspark.operators import metrics as M
 from evalspark.plans import vectors as V
 from evalspark.queries import REGISTRY
+from evalspark.sources import views
 from evalspark.streaming import stream as W
 
 
@@ -114,3 +115,22 @@ def test_boxes_are_not_searched_for_conflicts_that_nobody_reads(spark, tmp_path,
     monkeypatch.setattr(C, "flag_conflicts", lambda boxes, real=C.flag_conflicts: asked.append(1) or real(boxes))
     assert REGISTRY[name][0](spark, str(tmp_path)).count() > 0
     assert not asked
+
+
+def test_features_are_joined_without_their_texts_and_an_audit_reads_them_once(spark, folder):
+    plan = views.features(spark, folder)._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "Join":
+        plan = plan.children().apply(0)
+    assert "f3" in plan.output().mkString(",") and "text#" not in plan.output().mkString(",")
+
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def seen(v):
+        read.add(1)
+        return v
+
+    rows = [(i, int((i * 7 + i // 5) % 10 < 5 + i % 3), "ab"[i % 2], i % 7 / 7.0, None if i % 11 == 0 else i % 5 / 5.0) for i in range(110)]
+    Fr = spark.createDataFrame(rows, "item_id int, y int, part string, f1 double, f2 double").withColumn("f1", seen("f1"))
+    found = {r["part"]: (r["n"], r["dropped"]) for r in X.transfer_audit(Fr, "part", "a", ["f1", "f2"]).collect()}
+    assert found == {"a": (50, 5), "b": (50, 5), "a (cross-validated)": (None, None)} and read.value == len(rows)
