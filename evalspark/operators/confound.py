@@ -139,19 +139,34 @@ def control_score(Fr: DataFrame, cols: Sequence[str], groups: str | None = None)
 
 # --- swaps ---
 
+def swap_shifts(S: DataFrame, swaps: Mapping[str, str], by: Sequence[str], item: str) -> DataFrame:
+    """(by, kind, dp): mean over all pairs of a score after a swap and the same item's score before, then over the conditions
+    of a kind. The pairs of an item are summed from its sums, in one aggregate: no row meets another in a join."""
+    own, p = F.col("condition") == "original", F.col("p").cast("double")
+    sign = F.when(F.col("y") == 1, F.lit(1.0)).otherwise(F.lit(-1.0))
+    sums = [F.sum(F.when(own, p)).alias("__p"), F.count(F.when(own, p)).alias("__n")]
+    for i, c in enumerate(swaps):
+        at = (F.col("condition") == c) & p.isNotNull()
+        sums += [F.sum(F.when(at, sign)).alias(f"__s{i}"), F.sum(F.when(at, sign * p)).alias(f"__t{i}"), F.count(F.when(at, 1)).alias(f"__n{i}")]
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in (*by, item)])
+    each = S.filter(known & F.col("condition").isin("original", *swaps)).groupBy(*by, item).agg(*sums)
+    shift = [ratio(F.sum(F.col(f"__s{i}") * F.col("__p") - F.col("__n") * F.col(f"__t{i}")), F.sum(F.col(f"__n{i}") * F.col("__n")))
+             .alias(f"__{i}") for i in range(len(swaps))]
+    runs = each.groupBy(*by).agg(F.max("__n"), *shift)
+    cells = F.array(F.struct(F.lit("original").alias("kind"), F.lit(None).cast("double").alias("dp")),
+                    *[F.struct(F.lit(k).alias("kind"), F.col(f"__{i}").alias("dp")) for i, k in enumerate(swaps.values())])
+    return runs.select(*by, F.explode(cells).alias("c")).groupBy(*by, F.col("c.kind").alias("kind")).agg(F.avg("c.dp").alias("dp"))
+
+
 def swap_effects(S: DataFrame, by: Sequence[str] = ("cohort", "arm", "seed"), item: str = "item_id") -> DataFrame:
     """Per run: AUC of each condition (mean over donor draws), mean shift towards the other class, drops, and the
-    class-specific effect same - other. The scores before a swap are as many as the items, so they are shuffled to their
-    swaps whatever Spark estimates."""
+    class-specific effect same - other. The names of the conditions come out of the table of their AUCs."""
     by = list(by)
-    kind = F.regexp_replace("condition", r"\d+$", "")
-    auc = M.roc_auc(S, [*by, "condition"]).groupBy(*by, kind.alias("kind")).agg(F.avg("roc_auc").alias("auc"))
-    own = S.filter(F.col("condition") == "original").select(*by, item, F.col("p").alias("p0"))
-    moved = S.filter(kind.isin("other", "same")).join(own.hint("merge"), [*by, item])
-    toward = F.when(F.col("y") == 1, F.col("p0") - F.col("p")).otherwise(F.col("p") - F.col("p0"))
-    shift = moved.groupBy(*by, "condition").agg(F.avg(toward).alias("dp")).groupBy(*by, kind.alias("kind")).agg(
-        F.avg("dp").alias("dp"))
-    t = auc.join(shift, [*by, "kind"], "left")
+    kind = F.regexp_replace("condition", r"\d+$", "").alias("kind")
+    per = stored(M.roc_auc(S, [*by, "condition"]), "conditions")
+    swaps = per.select("condition", kind).filter(F.col("kind").isin("other", "same")).distinct().orderBy("condition").collect()
+    auc = per.groupBy(*by, kind).agg(F.avg("roc_auc").alias("auc"))
+    t = auc.join(swap_shifts(S, {r["condition"]: r["kind"] for r in swaps}, by, item), [*by, "kind"], "left")
 
     def pick(k: str, c: str) -> Column:
         return F.max(F.when(F.col("kind") == k, F.col(c)))

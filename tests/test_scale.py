@@ -134,3 +134,24 @@ def test_features_are_joined_without_their_texts_and_an_audit_reads_them_once(sp
     Fr = spark.createDataFrame(rows, "item_id int, y int, part string, f1 double, f2 double").withColumn("f1", seen("f1"))
     found = {r["part"]: (r["n"], r["dropped"]) for r in X.transfer_audit(Fr, "part", "a", ["f1", "f2"]).collect()}
     assert found == {"a": (50, 5), "b": (50, 5), "a (cross-validated)": (None, None)} and read.value == len(rows)
+
+
+def test_shifts_of_swaps_are_those_of_the_pairs_without_a_join(spark):
+    rng = np.random.default_rng(4)
+    rows = [("a", s, i, c, int(i % 3 > 0), None if rng.random() < 0.1 else float(rng.integers(0, 1000)) / 1000)
+            for s in range(2) for i in range(40) for c in ("original", "none", "other0", "other1", "same0") for _ in range(rng.integers(0, 3))]
+    rows += [("a", 0, None, "original", 1, 0.5), ("a", 0, None, "other0", 1, 0.25), ("a", 0, 90, "other0", 1, 0.25), (None, 0, 3, "same0", 1, 0.25)]
+    S = spark.createDataFrame(rows, "arm string, seed int, item_id int, condition string, y int, p double")
+    t = X.swap_effects(S, ["arm", "seed"])
+    plan = t._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Join" in line and "item_id" in line]
+    got = {(r["arm"], r["seed"]): (r["dp_towards_other_other"], r["dp_towards_other_same"]) for r in t.collect()}
+    for seed in range(2):
+        means = {}
+        for c in ("other0", "other1", "same0"):
+            d = [(o[5] - m[5]) * (1 if m[4] == 1 else -1) for m in rows for o in rows if o[3] == "original" and m[3] == c and o[1] == m[1] == seed
+                 and o[0] == m[0] == "a" and o[2] == m[2] is not None and o[5] is not None and m[5] is not None]
+            means.setdefault(c[:-1], []).append(sum(d) / len(d))
+        assert got["a", seed] == pytest.approx((np.mean(means["other"]), np.mean(means["same"])), abs=1e-12)
+    assert got[None, 0] == (None, None)
+    assert X.swap_effects(S.filter("condition = 'original'"), ["arm", "seed"]).first()["dp_towards_other_same"] is None
