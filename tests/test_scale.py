@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from evalspark.operators import confound as X
 from evalspark.operators import curate as C
+from evalspark.operators import fuse
 from evalspark.operators import infer as B
 from evalspark.operators import metrics as M
 from evalspark.plans import vectors as V
@@ -155,3 +156,28 @@ def test_shifts_of_swaps_are_those_of_the_pairs_without_a_join(spark):
         assert got["a", seed] == pytest.approx((np.mean(means["other"]), np.mean(means["same"])), abs=1e-12)
     assert got[None, 0] == (None, None)
     assert X.swap_effects(S.filter("condition = 'original'"), ["arm", "seed"]).first()["dp_towards_other_same"] is None
+
+
+def test_bags_are_scored_in_one_reading_of_their_instances(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def seen(v):
+        read.add(1)
+        return v
+
+    rng = np.random.default_rng(2)
+    rows = [("a", s, i, None if i % 9 == 8 else float(rng.integers(0, 1000)) / 1000) for s in range(2) for i in range(30) for _ in range(i % 6)]
+    whole = [("a", s, i, i % 2, 0.25) for s in range(2) for i in range(30)]
+    I = spark.createDataFrame(rows, "arm string, seed int, item_id int, p double").withColumn("p", seen("p"))
+    P = spark.createDataFrame(whole, "arm string, seed int, item_id int, y int, p double")
+    got = {r["scoring"]: r["auc_mean"] for r in fuse.compare_scorings(I, P, 2).collect()}
+    assert read.value == len(rows)
+    for name, score in (("whole", None), ("mean", np.mean), ("max", max), ("topk", lambda v: np.mean(sorted(v)[-2:]))):
+        aucs = []
+        for seed in range(2):
+            bag = {i: [r[3] for r in rows if r[1] == seed and r[2] == i and r[3] is not None] for i in range(30)}
+            p = {i: round(float(score(v)), 12) if score and v else 0.25 for i, v in bag.items()}
+            pairs = [(p[i] > p[j]) + (p[i] == p[j]) / 2 for i in p for j in p if i % 2 == 1 and j % 2 == 0]
+            aucs.append(np.mean(pairs))
+        assert got[name] == pytest.approx(np.mean(aucs), abs=1e-12)
