@@ -181,3 +181,21 @@ def test_bags_are_scored_in_one_reading_of_their_instances(spark):
             pairs = [(p[i] > p[j]) + (p[i] == p[j]) / 2 for i in p for j in p if i % 2 == 1 and j % 2 == 0]
             aucs.append(np.mean(pairs))
         assert got[name] == pytest.approx(np.mean(aucs), abs=1e-12)
+
+
+def test_a_manifest_judges_its_boxes_once(spark, monkeypatch):
+    judged, real = spark.sparkContext.accumulator(0), C.greedy_iou_dedup
+
+    @F.udf("boolean")
+    def seen(kept):
+        judged.add(1)
+        return kept
+
+    monkeypatch.setattr(C, "greedy_iou_dedup", lambda d: real(d).withColumn("kept", seen("kept")))
+    rows = [("p", f"f{i % 2}", "s", f"i{i % 2}", "ALL", "blast", 40.0 * (i // 4 % 8) + 10, 40.0 * (i // 32) + 10, 16.0, 16.0, 640, 640, i, "a.json") for i in range(64)]
+    raw = spark.createDataFrame(rows, "image_path string, file_name string, slide string, image string, leukemia_type string, category string, "
+                                      "x double, y double, w double, h double, img_w int, img_h int, annotation_id bigint, source_json string")
+    same = spark.createDataFrame([], "file_name string, x double, y double, w double, h double, cell_group string")
+    found = C.build_manifest(raw, same, {"lymph": 0, "blast": 1}, {0: ["blast"], 1: ["lymph"]}).collect()
+    assert [r["annotation_id"] for r in found] == sorted((i for i in range(64) if i % 4 < 2), key=lambda i: f"ALL/s_i{i % 2}_{i}.png")
+    assert judged.value == 32
